@@ -183,7 +183,7 @@ class Shard:
     """Reads a shard from its bytes."""
 
     def __init__(self, data) -> None:
-        self.data = memoryview(data)
+        self.data = memoryview(data).cast("B")
         if bytes(self.data[-8:]) != MAGIC:
             raise ValueError("not a shard")
         self.bloom_at, index_at, blocks, self.entries, self.ids, self.width, self.hashes = struct.unpack("<7Q", self.data[-64:-8])
