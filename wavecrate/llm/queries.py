@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "pieces", "sstable")
+MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language")
 
 
 def _gathered(attribute: str) -> dict:
