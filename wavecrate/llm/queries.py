@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language")
+MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language", "toxicity")
 
 
 def _gathered(attribute: str) -> dict:
