@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language", "toxicity", "licenses")
+MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language", "toxicity", "licenses", "neighbours")
 
 
 def _gathered(attribute: str) -> dict:
