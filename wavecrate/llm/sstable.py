@@ -25,11 +25,13 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,6 +54,9 @@ class WordEncoder:
     """
 
     odd = re.compile(r" (?:\s|$)")
+    # The byte-level pre-tokenizer's public pattern; used up to `plain`, where all Unicode versions agree on letters.
+    split = staticmethod(regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall)
+    plain = "\u024f"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,36 +65,56 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.added = [x.content for x in self.lib.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes. Parts that aren't known yet are encoded together."""
-        known, out, todo, parts_of = self.known, [b""] * len(texts), {}, {}
+        known, out, todo, open_parts = self.known, [b""] * len(texts), {}, []
         for k, text in enumerate(texts):
             if not text:
                 continue
             if self.odd.search(text) or any(a in text for a in self.added):
                 out[k] = self._ids([text])[0]
                 continue
-            parts = parts_of[k] = (" " + text).split(" ")[1:]
+            parts = (" " + text).split(" ")[1:]
             parts[0] = "\0" + parts[0]  # the first part has no space before it
-            for p in parts:
-                if p not in known and p not in todo:
-                    todo[p] = b""
-        if todo:
-            keys = list(todo)
+            found = list(map(known.get, parts))
+            if None in found:
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                todo.update(dict.fromkeys([parts[i] for i in gaps], b""))
+                open_parts.append((k, parts, found, gaps))
+            else:
+                out[k] = b"".join(found)
+        pieces, spelt = {}, {}
+        for p in todo:
+            if p.isalpha() or max(p, default="") > self.plain:
+                pieces[p] = b""
+                continue
+            # Several pre-tokens: mostly a known word with a mark or a line end.
+            spelt[p] = own = ["\0" + t if t[0] != " " or t == " " else t[1:] for t in self.split(p[1:] if p[:1] == "\0" else " " + p)]
+            for t in own:
+                if t not in known:
+                    pieces[t] = b""
+        if pieces:
+            keys = list(pieces)
             for lo in range(0, len(keys), 4096):
                 some = keys[lo : lo + 4096]
                 for p, ids in zip(some, self._ids([p[1:] if p[:1] == "\0" else " " + p for p in some]), strict=True):
-                    todo[p] = ids
-        for k, parts in parts_of.items():
-            out[k] = b"".join([known[p] if p in known else todo[p] for p in parts])
+                    pieces[p] = ids
+        for p in todo:
+            todo[p] = b"".join([known[t] if t in known else pieces[t] for t in spelt[p]]) if p in spelt else pieces[p]
+        todo = pieces | todo
+        for k, parts, found, gaps in open_parts:
+            for i in gaps:
+                found[i] = todo[parts[i]]
+            out[k] = b"".join(found)
         if len(known) + len(todo) > CACHE_ENTRIES:
             known.clear()
-        known.update({p: ids for p, ids in todo.items() if len(p) <= CACHE_KEY_CHARS and p[:1] != "\0"})
+        known.update({p: ids for p, ids in todo.items() if len(p) <= CACHE_KEY_CHARS})
         return out
 
 
