@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language", "toxicity", "licenses", "neighbours", "near_dedup")
+MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language", "toxicity", "licenses", "neighbours", "near_dedup", "suffix_dedup")
 
 
 def _gathered(attribute: str) -> dict:
