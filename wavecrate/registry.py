@@ -10,7 +10,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 FLAGSHIP = "rate_limit_window"
-MODULES: tuple[str, ...] = ("event_queries", "catalog_queries")
+MODULES: tuple[str, ...] = ("event_queries", "catalog_queries", "media_queries")
 
 
 def _gathered(attribute: str) -> dict:
