@@ -9,7 +9,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-FLAGSHIP = "rate_limit_window"
+FLAGSHIP = "resolve_chain"
 MODULES: tuple[str, ...] = ("event_queries", "catalog_queries", "media_queries")
 
 

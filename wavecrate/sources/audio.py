@@ -94,3 +94,8 @@ def catalogue(results: DataFrame, order: str) -> DataFrame:
 
     placed = results.withColumn("folder", N.folder_name(F.col("genre"))).withColumn("path", F.concat("folder", F.lit("/"), N.safe_file_name(F.col("name"))))
     return unique_paths(placed, "path", order).withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(order)))
+
+
+def write_catalogue(results: DataFrame, path: str) -> None:
+    """The files' bytes by folder under their unique paths; a folder a partition, no single archive in one task."""
+    results.select("folder", F.col("unique_path").alias("output_path"), "content").write.mode("overwrite").partitionBy("folder").parquet(path)
