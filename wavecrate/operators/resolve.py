@@ -1,4 +1,4 @@
-"""The genre chain: stages in order of trust, each asked only for what earlier ones left open, with the stage as provenance."""
+"""The genre chain: stages in order of trust, with the stage that decided as provenance."""
 
 from __future__ import annotations
 
@@ -10,18 +10,35 @@ from pyspark.sql import functions as F
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
-def resolve(items: DataFrame, item: str, stages: list[Stage]) -> DataFrame:
-    """Item, genre and source. A stage maps open items to rows (item, genre); what none knows is Unknown.
+def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, ...] = ("audio",)) -> DataFrame:
+    """Item, genre and source. A stage maps items to rows (item, genre); what none knows is Unknown.
 
-    An anti join after each stage keeps later, dearer stages off settled items; `coalesce` would evaluate them all.
+    Stages that are joins run side by side and one aggregation takes each item's most trusted answer; staging them by
+    anti joins would repeat all earlier stages in each later one. Dear stages come last and get what is left open.
     """
-    left, out = items, None
-    for name, stage in stages:
-        found = stage(left).filter(F.col("genre").isNotNull() & (F.col("genre") != "Unknown")).select(item, "genre", F.lit(name).alias("source"))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(item), item, "left_anti")
-    rest = left.select(item, F.lit("Unknown").alias("genre"), F.lit("no match").alias("source"))
-    return rest if out is None else out.unionByName(rest)
+    answers = None
+    for rank, (name, stage) in enumerate(stages):
+        if name in dear:
+            continue
+        found = _answers(stage(items), item, rank, name)
+        answers = found if answers is None else answers.unionByName(found)
+    settled = None
+    if answers is not None:
+        settled = answers.groupBy(item).agg(F.min(F.struct("rank", "genre", "source")).alias("a")).select(item, "a.genre", "a.source")
+    for rank, (name, stage) in enumerate(stages):
+        if name in dear:
+            left = items if settled is None else items.join(settled.select(item), item, "left_anti")
+            found = _answers(stage(left), item, rank, name).drop("rank")
+            settled = found if settled is None else settled.unionByName(found)
+    if settled is None:
+        return items.select(item, F.lit("Unknown").alias("genre"), F.lit("no match").alias("source"))
+    told = items.select(item).join(settled, item, "left")
+    return told.select(item, F.coalesce("genre", F.lit("Unknown")).alias("genre"), F.coalesce("source", F.lit("no match")).alias("source"))
+
+
+def _answers(found: DataFrame, item: str, rank: int, name: str) -> DataFrame:
+    known = found.filter(F.col("genre").isNotNull() & (F.col("genre") != "Unknown"))
+    return known.select(item, F.lit(rank).alias("rank"), "genre", F.lit(name).alias("source"))
 
 
 def only(condition: Column, stage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
