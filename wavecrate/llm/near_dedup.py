@@ -7,9 +7,10 @@ weight are thinned away. A register keeps its earliest point, so two bags agree
 weighted Jaccard similarity. Points later than a text's latest register are never made.
 
 BANDS bands of ROWS registers propose candidates. Texts with equal bags are one class from the start and send one
-member on. In each bucket, every member is verified against the smallest; connected components follow. Members that
-aren't in the smallest one's component yet are verified against a few other members, and what then is left apart
-against all members of other components in its bucket, so no link within a bucket is lost and no bucket is capped.
+member on. In each bucket, every member is verified against the smallest; connected components follow. Buckets that
+still hold several components are then searched whole: their members come together in blocks of BLOCK (a larger
+bucket as pairs of blocks), overlaps of all members are counted by matrix products, and a block returns a spanning
+forest of its links, never its pairs. So no link within a bucket is lost and no bucket is capped.
 Verification compares the whole multisets: shared count over united count of at least SIMILARITY.
 
 Defined results: null and empty texts and texts without words are classes of their own; texts of fewer than five words
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from wavecrate.llm.common import materialise, mix64, seeds, table, text_slices
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
-SLICE, OTHERS = 2 << 20, 4
+SLICE, BLOCK, COLUMNS = 2 << 20, 2_048, 4_096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE, STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 
@@ -162,12 +163,48 @@ def similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column(some.schema.get_field_index(c)).take(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; the texts of the ids in pairs move, and no others."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = materialise(texts, "texts")
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def forest(group: pa.Table) -> pa.Table:
+    """Links (a, b) that join the similar members of one block (id, text): each to the smallest it reaches."""
+    group = group.combine_chunks().sort_by("id")
+    ids, n = group["id"].to_numpy(), group.num_rows
+    column = group["text"].combine_chunks() if isinstance(group["text"], pa.ChunkedArray) else group["text"]
+    parts = [(first, bags(data, at)) for first, _, data, at in text_slices(column, SLICE)]
+    owner, shingle, count = (np.concatenate([p[k] + (first if k == 0 else np.uint64(0) if k == 1 else 0) for first, p in parts]) for k in range(3))
+    total = np.bincount(owner, count, n)
+    # A shingle that stands c times is c elements, so that shared counts are shared elements.
+    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        element = np.repeat(shingle, count) * GOLDEN + turn.astype(np.uint64) * STEP
+    owner = np.repeat(owner, count)
+    _, element, uses = np.unique(element, return_inverse=True, return_counts=True)
+    common = uses > 1
+    number = np.cumsum(common) - 1
+    keep = common[element]
+    element, owner = number[element[keep]], owner[keep]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, int(common.sum()), COLUMNS):
+        i, j = np.searchsorted(element, (lo, lo + COLUMNS))
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[owner[i:j], element[i:j] - lo] = 1
+        shared += x @ x.T
+    linked = shared >= SIMILARITY * (total[:, None] + total[None, :] - shared) - 1e-6
+    root = np.arange(n)
+    while True:  # the least number that each reaches
+        least = np.where(linked, root[None, :], n).min(1)
+        least = np.minimum(root, least)
+        if (least == root).all():
+            break
+        root = least
+    far = np.flatnonzero(root != np.arange(n))
+    return pa.table({"a": pa.array(ids[far]), "b": pa.array(ids[root[far]])})
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, by their texts (id, text)."""
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return materialise(rows.mapInArrow(similar_rows, "a long, b long"), "links")
 
 
@@ -202,35 +239,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = materialise(rows.join(shared, ["band", "key"]), "buckets")
     pairs = materialise(rows.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
-    links = verified(pairs, ids)
-    known = pairs
+    # Texts of candidates move once; the same kind of join at every size.
+    asked = rows.select(F.col("rep").alias("id")).distinct()
+    texts = materialise(ids.withColumnRenamed("doc_id", "id").join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    links = verified(pairs, texts)
     roots = components(links)
-
-    def apart(roots: DataFrame) -> DataFrame:
-        """Bucket members that aren't in the component of their bucket's smallest member."""
-        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        with_roots = rows.join(of("rep"), "rep", "left").join(of("least"), "least", "left")
-        with_roots = with_roots.withColumn("rep_root", F.coalesce("rep_root", "rep")).withColumn("least_root", F.coalesce("least_root", "least"))
-        return with_roots.withColumn("alone", F.col("rep_root") != F.col("least_root")).select("band", "key", "rep", "rep_root", "alone")
-
-    for everyone in (False, True):
-        state = materialise(apart(roots), "apart")
-        alone = state.filter("alone").select("band", "key", F.col("rep").alias("a"), F.col("rep_root").alias("a_root"))
-        if alone.isEmpty():
-            break
-        if everyone:
-            partners = state.select("band", "key", F.col("rep").alias("b"), F.col("rep_root").alias("b_root"))
-        else:
-            picks = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("b"), F.col("rep_root").alias("b_root"))).alias(f"p{k}") for k in range(OTHERS)]
-            partners = state.groupBy("band", "key").agg(*picks)
-            partners = partners.select("band", "key", F.explode(F.array(*[f"p{k}" for k in range(OTHERS)])).alias("p")).select("band", "key", "p.b", "p.b_root").distinct()
-        more = alone.join(partners, ["band", "key"]).filter("a_root <> b_root").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = materialise(more.join(known, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            continue
-        known = known.union(more)
-        links = links.union(verified(more, ids))
-        roots = components(links)
+    named = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    state = rows.join(named("rep"), "rep", "left").join(named("least"), "least", "left")
+    apart = F.coalesce("rep_root", "rep") != F.coalesce("least_root", "least")
+    members = F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")
+    open_ = state.groupBy("band", "key").agg(F.max(apart).alias("open"), F.count("*").alias("n"), *members).filter("open")
+    # Buckets of several bands often have the same members; one of them is enough.
+    open_ = materialise(open_.dropDuplicates(["n", "m1", "m2"]).select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    if not open_.isEmpty():
+        blocks = rows.select("band", "key", "rep").join(open_, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("id"))
+        found = blocks.join(texts.hint("merge"), "id").groupBy("band", "key", "i", "j").applyInArrow(forest, "a long, b long")
+        roots = components(links.union(materialise(found, "forest")))
 
     classes = same.join(roots, same["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("class_id"))
     told = sketch.join(classes.hint("merge"), ["f1", "f2"], "left").select("doc_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "size")
