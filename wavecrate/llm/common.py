@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -30,9 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/wavecrate-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. Results may be read from it until the driver ends, which deletes it."""
+    if not _scratch:
+        atexit.register(_clear)
+    _scratch.append(f"{shared_dir(spark)}/wavecrate-{label}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def _clear() -> None:
+    """Deletes this driver's scratch, through Spark's file systems while the session lives, else as local files."""
+    spark = SparkSession.getActiveSession()
+    for path in _scratch:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session has ended; what isn't local is left to the folder's own clean-up
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
