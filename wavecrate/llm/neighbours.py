@@ -30,7 +30,7 @@ from wavecrate.llm.common import materialise, table
 
 TOP, EVERY = 20, 20
 TABLES, HASHES, WIDTH, TARGET = 2, 5, 2.0, 0.96
-SAMPLE, BLOCK, REACH = 2_048, 4_096, 2
+SAMPLE, BLOCK, PART, REACH = 2_048, 4_096, 16_384, 2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     index = distinct.select("cid", "vector").mapInArrow(_index_rows(hashing), "cid long, vector array<double>, tbl int, bucket long")
     index = materialise(index, "index")
     filled = index.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = max(1, -(-distinct.count() * TABLES // BLOCK))
+    parts = max(1, -(-distinct.count() * TABLES // PART))  # a part returns TOP + 1 classes a query, so few are better
     part = F.pmod(F.xxhash64("tbl", "bucket", "block"), F.lit(parts)).alias("part")
     data = index.join(filled, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(part, "tbl", "bucket", "block", "cid", "vector")
     sought = distinct.join(asks.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector")
