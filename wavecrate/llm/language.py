@@ -5,7 +5,7 @@ all pairs of its languages vote. Features are relative frequencies of hashed let
 ASCII letters in lower case, runs of other ASCII characters as one space).
 
 Training uses only text and non-null lang of documents that are not held out: for each language, the SAMPLE documents
-whose id hashes lowest (ties by text), each as a whole. That bound is per language; scoring reads every text whole.
+whose id and text hash lowest, each as a whole. That bound is per language; scoring reads every text whole.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learned; ties of
 votes go to the larger sum of margins, then to the first language in order; repeated rows get equal results; an empty
@@ -147,9 +147,15 @@ class Hierarchy:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     """Learns from docs that aren't held out; None if none has a language and letters."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    chosen = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t", "doc_id"))).filter(F.col("k") <= sample).select("doc_id", "t")
-    rows = docs.select("doc_id", "text", "lang").withColumn("t", F.xxhash64("text")).join(chosen.distinct(), ["doc_id", "t"], "left_semi").filter("lang is not null")
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    hashed = known.select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"))
+    lowest = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    # A number for each language; the texts themselves stay where they are.
+    limits = {r["lang"]: r["limit"] for r in lowest.groupBy("lang").agg(F.max("h").alias("limit")).collect()}
+    if not limits:
+        return None
+    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
+    rows = known.filter(F.xxhash64("doc_id", F.xxhash64("text")) <= F.try_element_at(limit, F.col("lang")))
     # The sample is bounded by the number of languages.
     got = rows.select("text", "lang").mapInArrow(_sample_rows, "lang string, gram array<int>, n array<int>").orderBy("lang", F.hash("gram", "n")).collect()
     by_lang: dict[str, list] = {}
