@@ -131,8 +131,8 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
 def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     made = materialise(recipes(docs, bits), "recipes")
-    groups = made.groupBy("recipe", "ordinals").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # Groups are one row each; a group that holds a large share of all rows is split by adaptive skew handling.
+    groups = materialise(made.groupBy("recipe", "ordinals").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    # Groups are one row each, written first: only joins right above two exchanges have their large partitions split.
     joined = made.join(groups.hint("merge"), ["recipe", "ordinals"])
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
