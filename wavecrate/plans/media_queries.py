@@ -16,6 +16,8 @@ from wavecrate.operators import resolve as R
 from wavecrate.sources import audio, lookups
 from wavecrate.sources.tables import load
 
+SOUNDS_A_TASK = 16  # bounds an Arrow batch, as a sound has half a megabyte or more
+
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     """Part names against eight variants of names nearby, through all gates."""
@@ -61,7 +63,7 @@ def tag_readers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sounds(spark: SparkSession, d: str) -> DataFrame:
-    """Six seconds of clicks and a triad for each of the first suppliers, as WAV bytes."""
+    """Six seconds of clicks and a triad for each supplier, as WAV bytes; a supplier without a key has none."""
 
     @F.pandas_udf("binary")
     def made(key: pd.Series) -> pd.Series:
@@ -76,9 +78,11 @@ def _sounds(spark: SparkSession, d: str) -> DataFrame:
             beat = (t * (100 + k % 5 * 10) / 60) % 1 < 0.02
             return wav_bytes([(tone + beat * 0.5).astype(np.float32)] * 2, sr)
 
-        return pd.Series([file(int(k)) for k in key])
+        return pd.Series([None if pd.isna(k) else file(int(k)) for k in key], dtype=object)
 
-    return load(spark, d, "supplier").filter("s_suppkey <= 12").select("s_suppkey", made("s_suppkey").alias("content"))
+    suppliers = load(spark, d, "supplier").select("s_suppkey")
+    tasks = max(1, -(-suppliers.count() // SOUNDS_A_TASK))  # one number
+    return suppliers.repartition(tasks).select("s_suppkey", made("s_suppkey").alias("content"))
 
 
 def sound_analysis(spark: SparkSession, d: str) -> DataFrame:
