@@ -77,24 +77,30 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return ranked.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
 
 
-def mix(docs: DataFrame, spread_digits: int = 3) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken. spread_digits: 16**n hash ranges a source."""
+def mix(docs: DataFrame, spread_digits: int = 3, whole_quotas: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken. spread_digits: 16**n hash ranges a source.
+
+    whole_quotas: slots beyond a source's quota go to the sources that are short of theirs, so that each plays all of it.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = materialise(docs.select("doc_id", "source", size.alias("size")), "sizes")
     sources = materialise(source_targets(sizes), "sources")
-    slots = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).cast("long")).first()[0]  # one number
     rows = sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")).cast("binary")))
     rows = rows.withColumn("range", F.substring("key", 1, spread_digits))
-    rows = rows.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("source", "__source", "quota", "n_blocks")
+    rows = rows.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("source", "__source")
     ranges = rows.groupBy("sid", "range").agg(F.sum("size").alias("n"))
     ranges = ranges.select("sid", "range", (F.sum("n").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     running = F.sum("size").over(Window.partitionBy("sid", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.filter("size > 0").join(ranges, ["sid", "range"]).withColumn("stop", running + F.col("base")).withColumn("start", F.col("stop") - F.col("size"))
     first, last = F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(stop - 1) div {BLOCK_WORDS}")
     own = ["sid", "start", "doc_id", "size", "source_size", "target"]
-    spans = placed.withColumn("block", F.explode(F.sequence(first, last))).select(*own, "stop", "block")
+    spans = placed.withColumn("block", F.explode(F.sequence(first, last))).select(*own, "stop", "block", "quota", "n_blocks")
     spans = spans.withColumn("overlap", F.least(F.col("stop"), (F.col("block") + 1) * BLOCK_WORDS) - F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS))
-    played = spans.join(schedule(sources, slots), ["sid", "block"], "left")
+    if whole_quotas:  # every rank under the quota is played, wherever its slot falls
+        played = spans.withColumn("times", F.expr("quota div n_blocks") + (F.col("block") < F.col("quota") % F.col("n_blocks")).cast("int"))
+    else:
+        slots = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).cast("long")).first()[0]  # one number
+        played = spans.drop("quota", "n_blocks").join(schedule(sources, slots), ["sid", "block"], "left")
     taken = played.groupBy(*own).agg(F.sum(F.col("overlap") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*out).unionByName(rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
@@ -102,7 +108,7 @@ def mix(docs: DataFrame, spread_digits: int = 3) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs after mixing: each document as often as its words were taken, to the nearest whole number (0, 1 or 2)."""
-    times = mix(docs).withColumn("copies", F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int"))
+    times = mix(docs, whole_quotas=True).withColumn("copies", F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int"))
     times = times.groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
     again = docs.join(times.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")))
     return again.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
