@@ -49,11 +49,11 @@ class WordEncoder:
     """Exactly the tokenizers library's ids, with the ids of space-delimited parts kept.
 
     The byte-level pre-tokenizer always splits before a space that stands between a text character and a
-    non-white-space one. Texts in which some space has white space (or nothing) after it, or which hold the string of
+    non-white-space one. Texts in which some space has white space (or nothing) after it, or which hold U+0000 or the string of
     an added token, go to the library whole.
     """
 
-    odd = re.compile(r" (?:\s|$)")
+    odd = re.compile(r" (?:\s|$)|\0")
     # The byte-level pre-tokenizer's public pattern; used up to `plain`, where all Unicode versions agree on letters.
     split = staticmethod(regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall)
     plain = "\u024f"
