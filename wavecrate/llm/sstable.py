@@ -14,7 +14,7 @@ scans one block. Files get unique names; only those in the manifest that finishe
 task leaves no rows behind.
 
 Defined results: null and empty texts hold the end id alone; rows that share a doc_id are all kept, in the order of
-their texts; null ids sort first; an empty table gives an empty result; extra columns are ignored. A task holds one
+their texts' hashes, over as many tasks and shards as they need; null ids sort first; an empty table gives an empty result; extra columns are ignored. A task holds one
 text, one block and the index of its shard.
 """
 
@@ -22,16 +22,16 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,21 +42,23 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"WCSST001"
-CACHE_ENTRIES, CACHE_KEY_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_KEY_CHARS = 300_000, 64  # of a generation of two
+JOINED = 4_096  # parts that the library gets as one text
 
 
 class WordEncoder:
     """Exactly the tokenizers library's ids, with the ids of space-delimited parts kept.
 
-    The byte-level pre-tokenizer always splits before a space that stands between a text character and a
-    non-white-space one. Texts in which some space has white space (or nothing) after it, or which hold U+0000 or the string of
-    an added token, go to the library whole.
+    The byte-level pre-tokenizer always splits before a space that a character other than white space follows, so a
+    text's ids are those of its first part and of each later one with its space. Parts that aren't known yet go to the
+    library many to a text, and the ids are told apart by the bytes that they stand for. Texts that hold the string of
+    an added token go to the library whole.
     """
 
-    odd = re.compile(r" (?:\s|$)|\0")
-    # The byte-level pre-tokenizer's public pattern; used up to `plain`, where all Unicode versions agree on letters.
-    split = staticmethod(regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall)
-    plain = "\u024f"
+    odd = re.compile(r" (?:\s|$)")  # a space that no word follows
+    between = re.compile(r" (?=\S)")
+    marks = string.punctuation  # neither letters, digits nor white space
+    plain = "\u024f"  # up to here all Unicode versions agree on letters
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,56 +67,76 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.added = [x.content for x in self.lib.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.kind == "<u2" else "I"
+        vocabulary = self.lib.get_vocab()
+        self.spelt = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; a character of the byte alphabet each
+        self.spelt[list(vocabulary.values())] = list(map(len, vocabulary))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation that `known` follows
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.kind).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _later(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts, each with the space before it."""
+        width, out = np.dtype(self.kind).itemsize, {}
+        for lo in range(0, len(parts), JOINED):
+            some = parts[lo : lo + JOINED]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            reach, upto = np.cumsum(self.spelt[ids]), np.cumsum([len(p.encode()) + 1 for p in some])
+            ends = np.searchsorted(reach, upto) + 1
+            if ends[-1] > len(ids) or (reach[ends - 1] != upto).any():
+                raise ValueError("not a byte-level tokenizer without a normalizer")
+            flat, cuts = ids.tobytes(), (ends * width).tolist()
+            out.update(zip(some, map(flat.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        return out
+
+    def _learn(self, parts: set[str]) -> list[str]:
+        """Makes all parts known; returns those that are too long to stay so."""
+        known, before, todo, marked, marks, plain = self.known, self.before, {}, [], self.marks, self.plain
+        for p in parts:
+            if p in before:
+                known[p] = before[p]
+                continue
+            core = p.rstrip(marks)
+            if core != p and core.isalpha() and max(core) <= plain:  # letters and marks are split
+                marked.append((p, core, p[len(core) :]))
+                if core in known:
+                    continue
+                if core in before:
+                    known[core] = before[core]
+                    continue
+                p = core
+            todo[p] = None
+        tails = list({tail for *_, tail in marked})
+        after = dict(zip(tails, self._ids(tails), strict=True))
+        known.update(self._later(list(todo)))
+        known.update({p: known[core] + after[tail] for p, core, tail in marked})
+        return [p for p in [*parts, *todo] if len(p) > CACHE_KEY_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes. Parts that aren't known yet are encoded together."""
-        known, out, todo, open_parts = self.known, [b""] * len(texts), {}, []
+        out, heads, split, missing = [b""] * len(texts), {}, {}, set()
+        whole = [k for k, text in enumerate(texts) if any(a in text for a in self.added)]
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if self.odd.search(text) or any(a in text for a in self.added):
-                out[k] = self._ids([text])[0]
-                continue
-            parts = (" " + text).split(" ")[1:]
-            parts[0] = "\0" + parts[0]  # the first part has no space before it
-            found = list(map(known.get, parts))
-            if None in found:
-                gaps = [i for i, ids in enumerate(found) if ids is None]
-                todo.update(dict.fromkeys([parts[i] for i in gaps], b""))
-                open_parts.append((k, parts, found, gaps))
-            else:
-                out[k] = b"".join(found)
-        pieces, spelt = {}, {}
-        for p in todo:
-            if p.isalpha() or max(p, default="") > self.plain:
-                pieces[p] = b""
+            if not text or out[k]:
                 continue
-            # Several pre-tokens: mostly a known word with a mark or a line end.
-            spelt[p] = own = ["\0" + t if t[0] != " " or t == " " else t[1:] for t in self.split(p[1:] if p[:1] == "\0" else " " + p)]
-            for t in own:
-                if t not in known:
-                    pieces[t] = b""
-        if pieces:
-            keys = list(pieces)
-            for lo in range(0, len(keys), 4096):
-                some = keys[lo : lo + 4096]
-                for p, ids in zip(some, self._ids([p[1:] if p[:1] == "\0" else " " + p for p in some]), strict=True):
-                    pieces[p] = ids
-        for p in todo:
-            todo[p] = b"".join([known[t] if t in known else pieces[t] for t in spelt[p]]) if p in spelt else pieces[p]
-        todo = pieces | todo
-        for k, parts, found, gaps in open_parts:
-            for i in gaps:
-                found[i] = todo[parts[i]]
-            out[k] = b"".join(found)
-        if len(known) + len(todo) > CACHE_ENTRIES:
-            known.clear()
-        known.update({p: ids for p, ids in todo.items() if len(p) <= CACHE_KEY_CHARS})
+            parts = text.split(" ")
+            new = set(filterfalse(self.known.__contains__, parts[1:]))
+            if new and self.odd.search(text):
+                parts = self.between.split(text)
+                new = set(filterfalse(self.known.__contains__, parts[1:]))
+            heads[k], split[k] = parts[0], parts[1:]
+            missing |= new
+        long = self._learn(missing) if missing else []
+        known = self.known.__getitem__
+        for (k, parts), first in zip(split.items(), self._ids(list(heads.values())), strict=True):
+            out[k] = first + b"".join(map(known, parts))
+        for p in long:
+            self.known.pop(p, None)
+        if len(self.known) > CACHE_ENTRIES:  # what is used again comes back from the older generation
+            self.known, self.before = {}, self.known
         return out
 
 
@@ -277,7 +299,7 @@ def _write_rows(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 128):
-                for doc, value in zip(ids[lo : lo + 128], own.encode([x.as_py() for x in texts.slice(lo, 128)]), strict=True):
+                for doc, value in zip(ids[lo : lo + 128], own.encode([x.as_py() or "" for x in texts.slice(lo, 128)]), strict=True):
                     if writer is None:
                         name = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
                         writer = ShardWriter(_open(folder, name), width)
@@ -294,7 +316,8 @@ def _write_rows(folder: str, tokenizer: str, end_id: int):
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Writes all documents and returns the manifest: shard, part, seq, n_docs, n_ids and ids_before."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     made = materialise(rows.mapInArrow(_write_rows(folder, tokenizer, end_id), "shard string, part long, seq long, n_docs long, n_ids long"), "manifest")
     ahead = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, 0)  # a row a shard
     return made.withColumn("ids_before", F.sum("n_ids").over(ahead) - F.col("n_ids"))
