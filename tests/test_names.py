@@ -40,7 +40,7 @@ def test_parse_and_paths(spark):
     assert column(spark, ["a.MP3", ".x", "b", "c.d.Flac"], names.extension) == [".mp3", "", "", ".flac"]
     assert column(spark, ["Funky / Disco House", "x. ", "../../etc", "///", None], names.folder_name) == ["Funky & Disco House", "x", "....etc", "Unknown", "Unknown"]
     paths = spark.createDataFrame([(k, p) for k, p in enumerate(["a.mp3", "a.mp3", "a (2).mp3", "a.mp3", "b", "b"])], "k int, p string")
-    assert [r.unique_path for r in catalog.unique_paths(paths, "p", "k").orderBy("k").collect()] == ["a.mp3", "a (3).mp3", "a (2).mp3", "a (4).mp3", "b", "b (2)"]
+    assert [r.unique_path for r in catalog.unique_paths(paths, "p", "k").orderBy("k").collect()] == ["a.mp3", "a (2).mp3", "a (2) (2).mp3", "a (3).mp3", "b", "b (2)"]
 
 
 def test_small_predicates(spark):

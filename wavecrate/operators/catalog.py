@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,22 +85,47 @@ def result_order(frame: DataFrame, column: str, row: str, descending: bool = Fal
     return frame.orderBy(value.desc() if descending else value.asc(), row)
 
 
+_NUMBERED = r"(?s)^(.+) \(([2-9]|[1-9][0-9]{1,8})\)$"
+
+
+def _named(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows (root, path, k, place) of one root in order of place: the number that each path's k-th row takes, null for the path itself."""
+    used, following, numbers = set(), {}, []
+    for path in rows.sort_values(["place", "path", "k"])["path"]:
+        number, name = None, path
+        dot = path.rfind(".")
+        stem, ext = (path[:dot], path[dot:]) if dot > 0 else (path, "")
+        while name in used:
+            number = following.get(path, 2)  # numbers below it are taken and stay so
+            following[path], name = number + 1, f"{stem} ({number}){ext}"
+        used.add(name)
+        numbers.append(number)
+    return rows.sort_values(["place", "path", "k"])[["path", "k"]].assign(number=pd.array(numbers, "Int64"))
+
+
 def unique_paths(paths: DataFrame, path: str, order: str) -> DataFrame:
-    """The first of equal paths keeps its name, later ones get ` (2)`, ` (3)` before the extension, skipping names that are taken.
+    """A path that is free keeps its name, else it takes the first free one of ` (2)`, ` (3)`, ... before the extension, row by row in order.
 
-    Names are numbered within their path first. A numbered name that the input has literally, at any place, is skipped
-    by taking the next free number of that path: taken numbers of a path come from an equi-join with the literal names.
+    Most paths meet no name that another path's numbering can take: their k-th row has number k. Only where a numbered
+    name itself is in the input, rows of one root (a path without its numbers) depend on one another. Those are named
+    in order, but never more rows of a path than the largest such number of its root and one: from there on nothing is
+    taken, and numbers follow one another.
     """
     stem, ext = F.regexp_replace(path, r"(?s)(?<=.)\.[^.]*$", ""), F.regexp_extract(path, r"(?s)^.+(\.[^.]*)$", 1)
-    rows = paths.withColumn("__stem", stem).withColumn("__ext", ext).withColumn("__k", F.row_number().over(Window.partitionBy(path).orderBy(order)))
-    literal = F.regexp_extract(F.col("__stem"), r"(?s)^(.*) \((\d{1,9})\)$", 1), F.regexp_extract(F.col("__stem"), r"(?s)^(.*) \((\d{1,9})\)$", 2).try_cast("int")
-    taken = rows.select(literal[0].alias("s"), "__ext", literal[1].alias("n")).filter("n >= 2").distinct()
-    taken = taken.withColumn("s", F.concat("s", "__ext")).groupBy("s").agg(F.array_sort(F.collect_set("n")).alias("used"))  # numbers of one path
-    rows = rows.join(taken.withColumnRenamed("s", "__s"), F.col(path) == F.col("__s"), "left")
-    # The k-th name of a path takes the (k - 1)-th free number from 2 on: every taken number not above it pushes it on by one.
-    number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("__k") + 0, lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    name = F.when(F.col("__k") == 1, F.col(path)).otherwise(F.concat("__stem", F.lit(" ("), number.cast("string"), F.lit(")"), "__ext"))
-    return rows.withColumn("unique_path", name).drop("__stem", "__ext", "__k", "__s", "used")
+    rows = paths.withColumn("__k", F.row_number().over(Window.partitionBy(path).orderBy(order)))
+    names = rows.groupBy(F.col(path).alias("__path"), stem.alias("stem"), ext.alias("ext")).agg(F.count("*").alias("n"))
+    names = names.withColumn("root", F.concat(F.regexp_replace("stem", r"(?s)(?<=.)(?: \((?:[2-9]|[1-9][0-9]{1,8})\))+$", ""), "ext"))
+    child = names.filter(F.col("stem").rlike(_NUMBERED)).select("root", F.concat(F.regexp_replace("stem", _NUMBERED, "$1"), "ext").alias("parent"), F.regexp_extract("stem", _NUMBERED, 2).cast("long").alias("number"))
+    child = child.join(names.select(F.col("__path").alias("parent")), "parent", "left_semi").groupBy("root").agg(F.max("number").alias("most"))
+    again = names.groupBy("root").agg(F.max("n").alias("n")).filter("n > 1").select("root")
+    clash = names.join(child.join(again, "root"), "root").select("__path", "root", (F.col("most") + 1).alias("most"))
+    rows = rows.join(clash, F.col(path) == F.col("__path"), "left")
+    few = rows.filter("__k <= most").select("root", F.col(path).alias("path"), F.col("__k").alias("k"), F.col(order).alias("place"))
+    found = few.groupBy("root").applyInPandas(lambda group: _named(group), "path string, k int, number long").toDF("__of", "__upto", "number")
+    rows = rows.withColumn("__least", F.least("__k", "most")).join(found, (F.col(path) == F.col("__of")) & (F.col("__least") == F.col("__upto")), "left")
+    number = F.when(F.col("most").isNotNull(), F.col("number") + F.col("__k") - F.col("__least")).otherwise(F.when(F.col("__k") > 1, F.col("__k").cast("long")))
+    name = F.when(number.isNull(), F.col(path)).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ext))
+    return rows.withColumn("unique_path", name).drop("__k", "__path", "root", "most", "__least", "__of", "__upto", "number")
 
 
 def nearest(items: DataFrame, item: str, features: str, centroids: DataFrame, scale: list[float]) -> DataFrame:

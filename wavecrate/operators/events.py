@@ -7,27 +7,38 @@ from pyspark.sql import functions as F
 
 
 def failure_window(failures: DataFrame, key: str, at_s: str, window_s: int = 900, limit: int = 10) -> DataFrame:
-    """For each failure the failures of its key in the window that ends with it, the oldest, and the wait in seconds (0 below the limit)."""
-    w = Window.partitionBy(key).orderBy(at_s).rangeBetween(-(window_s - 1), 0)
-    out = failures.withColumn("n", F.count("*").over(w)).withColumn("oldest", F.min(at_s).over(w))
+    """For each failure the failures of its key in the window that ends with it, the oldest, and the wait in seconds (0 below the limit).
+
+    A key's time is cut into cells of the window's length; a row also stands in the next cell, so a busy key is spread by time.
+    """
+    cell = F.expr(f"floor({at_s} / {window_s})")
+    placed = failures.withColumn("__cell", F.explode(F.array(cell, cell + 1))).withColumn("__own", F.col("__cell") == cell)
+    w = Window.partitionBy(key, "__cell").orderBy(at_s).rangeBetween(-(window_s - 1), 0)
+    out = placed.withColumn("n", F.count("*").over(w)).withColumn("oldest", F.min(at_s).over(w)).filter("__own").drop("__cell", "__own")
     wait = F.greatest(F.lit(1).cast("long"), F.col("oldest") + window_s - F.col(at_s))
     return out.withColumn("retry_after", F.when(F.col("n") >= limit, wait).otherwise(0).cast("long"))
 
 
 def live_failures(events: DataFrame, key: str, at_s: str, failed: Column, succeeded: Column, now: Column, window_s: int = 900) -> DataFrame:
     """T2 as a batch: failures of each key within the window before now and after the key's last success."""
-    last = F.max(F.when(succeeded, F.col(at_s))).over(Window.partitionBy(key))
-    fresh = events.withColumn("last_ok", last).filter(failed & (F.col(at_s) > now - window_s) & (F.col(at_s) > F.coalesce(F.col("last_ok"), F.lit(-1))))
-    return fresh.groupBy(key).agg(F.count("*").alias("n"), F.min(at_s).alias("oldest"))
+    last = events.filter(succeeded).groupBy(F.col(key).alias("__key")).agg(F.max(at_s).alias("last_ok"))
+    recent = events.filter(failed & (F.col(at_s) > now - window_s)).groupBy(key, at_s).agg(F.count("*").alias("n"))
+    fresh = recent.join(last, F.col(key).eqNullSafe(F.col("__key")), "left").filter(F.col(at_s) > F.coalesce(F.col("last_ok"), F.lit(-1)))
+    return fresh.groupBy(key).agg(F.sum("n").alias("n"), F.min(at_s).alias("oldest"))
 
 
 def latest_corrections(log: DataFrame, keys: list[str], order: list[str], anonymous: Column | None = None) -> DataFrame:
     """The newest entry of each key in the place of its first; entries whose key is empty are all kept."""
-    w = Window.partitionBy(*keys)
-    first = F.min(F.struct(*order)).over(w)
-    newest = F.row_number().over(w.orderBy(*[F.desc(c) for c in order]))
-    out = log.withColumn("place", first.getField(order[-1])).withColumn("newest", newest)
-    return out.filter((F.col("newest") == 1) if anonymous is None else (F.col("newest") == 1) | anonymous).drop("newest")
+    row, at = F.struct(*[F.col(c) for c in log.columns]), F.struct(*[F.col(c) for c in order])
+    told = log.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, at).alias("row"), F.min(at).getField(order[-1]).alias("place"))
+    if anonymous is None:
+        return told.select("row.*", "place")
+    empty = F.coalesce(anonymous, F.lit(False))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    others = log.filter(empty).join(told.drop("row"), same, "left").select(*log.columns, "place")
+    return told.select("row.*", "place").filter(~empty).unionByName(others)
 
 
 def artist_rule(log: DataFrame, artist: str, genre: str, order: str, least: int = 2) -> DataFrame:
@@ -46,9 +57,10 @@ def corrected(items: DataFrame, by_track: DataFrame, by_artist: DataFrame, track
     return out.withColumn("genre", F.coalesce("__track", "__artist")).withColumn("scope", scope).drop("__track", "__artist")
 
 
-def unsent(queue: DataFrame, acknowledged: DataFrame, key: str, order: list[str], limit: int = 200) -> DataFrame:
-    """The oldest entries without acknowledgement, a batch at most."""
-    return queue.join(acknowledged.select(key), key, "left_anti").orderBy(*order).limit(limit)
+def unsent(queue: DataFrame, acknowledged: DataFrame, key: str, order: list[str], limit: int | None = 200) -> DataFrame:
+    """The oldest entries without acknowledgement, a batch at most; all of them without a limit."""
+    left = queue.join(acknowledged.select(key), key, "left_anti")
+    return left if limit is None else left.orderBy(*order).limit(limit)
 
 
 def exact_mean(value: Column, scale: int = 2) -> Column:

@@ -136,9 +136,9 @@ def name_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_filter_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that hold `1` in brand or type, by type in lower case, the first hundred."""
+    """Parts that hold `1` in brand or type, by type in lower case."""
     rows = load(spark, d, "part").filter(N.matches_filter(" 1 ", F.col("p_brand"), F.col("p_type"))).select("p_partkey", "p_type")
-    return C.result_order(rows, "p_type", "p_partkey").limit(100)
+    return C.result_order(rows, "p_type", "p_partkey")
 
 
 def unique_path(spark: SparkSession, d: str) -> DataFrame:
@@ -223,10 +223,13 @@ ORACLE = {
     "name_keys": f"""
         SELECT p_partkey, lower(regexp_replace({_RAW}, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) AS compare, concat(lower(regexp_replace(p_brand, '[^A-Za-z0-9_ ]', '', 'g')), ' ', regexp_replace(lower(regexp_replace({_RAW}, '[^A-Za-z0-9_ ]', '', 'g')), ' +', ' ', 'g')) AS key,
                regexp_replace({_RAW}, '([-+&|!(){{}}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped, p_brand AS artist, true AS ascii FROM part""",
-    "text_filter_sort": "SELECT p_partkey, p_type FROM part WHERE contains(lower(concat_ws(' ', nullif(p_brand, ''), nullif(p_type, ''))), '1') ORDER BY lower(p_type), p_partkey LIMIT 100",
+    "text_filter_sort": "SELECT p_partkey, p_type FROM part WHERE contains(lower(concat_ws(' ', nullif(p_brand, ''), nullif(p_type, ''))), '1') ORDER BY lower(p_type), p_partkey",
     "unique_path": """
-        WITH r AS (SELECT p_partkey, p_type, p_partkey % 10 = 0 AS lit, row_number() OVER (PARTITION BY p_type, p_partkey % 10 = 0 ORDER BY p_partkey) AS k, bool_or(p_partkey % 10 = 0) OVER (PARTITION BY p_type) AS taken FROM part)
-        SELECT p_partkey, CASE WHEN lit AND k = 1 THEN p_type || ' (3).mp3' WHEN lit THEN p_type || ' (3) (' || k || ').mp3' WHEN k = 1 THEN p_type || '.mp3' ELSE p_type || ' (' || (k + CASE WHEN taken AND k >= 3 THEN 1 ELSE 0 END) || ').mp3' END AS unique_path FROM r""",
+        WITH r AS (SELECT p_partkey, p_type, p_partkey % 10 = 0 AS lit, row_number() OVER (PARTITION BY p_type, p_partkey % 10 = 0 ORDER BY p_partkey) AS k FROM part),
+        f AS (SELECT p_type AS t, min(CASE WHEN lit AND k = 1 THEN p_partkey END) AS literal, min(CASE WHEN NOT lit AND k = 3 THEN p_partkey END) AS third FROM r GROUP BY p_type),
+        n AS (SELECT r.*, coalesce(third < literal, false) AS stolen, coalesce(literal < third, false) AS skipped FROM r JOIN f ON p_type = t)
+        SELECT p_partkey, CASE WHEN lit AND k = 1 AND NOT stolen THEN p_type || ' (3).mp3' WHEN lit THEN p_type || ' (3) (' || (k + stolen::INT) || ').mp3' WHEN k = 1 THEN p_type || '.mp3'
+               ELSE p_type || ' (' || (k + (skipped AND k >= 3)::INT) || ').mp3' END AS unique_path FROM n""",
     "feedback_validate": "SELECT d.doc_id, md5(left(trim(text), 500)) AS file, CAST(quality AS VARCHAR) AS corrected FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL",
     "gain_projection": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN floor((-14.0::DOUBLE + p_size::DOUBLE / 4) * 100 + 0.5) / 100 ELSE 0.0::DOUBLE END AS gain FROM part",
     "nearest_centroid": f"""

@@ -85,9 +85,11 @@ def lookahead_min(spark: SparkSession, d: str) -> DataFrame:
 
 
 def range_feed(spark: SparkSession, d: str) -> DataFrame:
-    """Event numbers as frames, fed into three overlapping ranges."""
-    ranges = spark.createDataFrame([(0, 0, 400), (1, 200, 600), (2, 350, 5000)], "range_id int, start long, stop long")
-    fed = E.range_feed(_log(spark, d), "event_id", ranges, 256)
+    """Event numbers as frames, fed into three overlapping ranges that together cover every event."""
+    log = _log(spark, d)
+    end = log.agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).first()[0]  # one number
+    ranges = spark.createDataFrame([(0, 0, end // 2), (1, end // 4, end * 3 // 4), (2, end * 2 // 5, end)], "range_id int, start long, stop long")
+    fed = E.range_feed(log, "event_id", ranges, max(256, end // 256))
     return fed.groupBy("range_id").agg(F.count("*").alias("n"), E.exact_mean(F.col("value")).alias("mean"))
 
 
@@ -146,8 +148,9 @@ ORACLE = {
     "local_peaks": "SELECT event_id, user_id, value FROM (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE value > b AND value > a",
     "lookahead_min": "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS ahead_min FROM events",
     "range_feed": """
+        WITH m AS (SELECT max(event_id) + 1 AS e FROM events), r AS (SELECT 0 AS range_id, 0 AS start, e // 2 AS stop FROM m UNION ALL SELECT 1, e // 4, e * 3 // 4 FROM m UNION ALL SELECT 2, e * 2 // 5, e FROM m)
         SELECT range_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean
-        FROM events JOIN (VALUES (0, 0, 400), (1, 200, 600), (2, 350, 5000)) r(range_id, start, stop) ON event_id >= start AND event_id < stop GROUP BY range_id""",
+        FROM events JOIN r ON event_id >= start AND event_id < stop GROUP BY range_id""",
     "spread_mode": f"""
         WITH {_HOPS},
         g AS (SELECT * FROM h WHERE mean > 0), r AS (SELECT user_id, arg_min(mean, "window") AS ref FROM g GROUP BY user_id),

@@ -53,3 +53,13 @@ def load_log(spark: SparkSession, path: str) -> DataFrame:
 def export_log(log: DataFrame, path: str) -> None:
     """S23."""
     log.write.mode("overwrite").json(path)
+
+
+def count(log: DataFrame) -> int:
+    """How many entries the log holds."""
+    return log.count()
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Leaves an empty log."""
+    spark.createDataFrame([], f"{ENTRY}, sent BOOLEAN").write.mode("overwrite").json(path)

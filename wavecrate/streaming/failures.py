@@ -20,10 +20,34 @@ def failure_counts(failures: DataFrame, key: str, at: str, window: str = "15 min
     return failures.withWatermark(at, late).groupBy(F.window(at, window, slide), key).agg(F.count("*").alias("n"), F.min(at).alias("oldest"))
 
 
-def deliver(queue: DataFrame, key: str, acknowledged: Callable[[], DataFrame], order: list[str], send: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Sends new entries in batches; an entry stays unsent until its key is acknowledged, so it may be sent again."""
+def drain(queued: Callable[[], DataFrame], key: str, acknowledged: Callable[[], DataFrame], order: list[str], send: Callable[[DataFrame], None]) -> int:
+    """Sends what isn't acknowledged, oldest first, MAX_ENTRIES at a time, until nothing is left or a send brings no acknowledgement.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        send(unsent(rows, acknowledged(), key, order, MAX_ENTRIES))
+    Returns how many entries remain; a later call takes them up again, so an entry may be sent twice but is never lost.
+    """
+    left = unsent(queued(), acknowledged(), key, order, None).count()
+    while left:
+        send(unsent(queued(), acknowledged(), key, order, MAX_ENTRIES))
+        before, left = left, unsent(queued(), acknowledged(), key, order, None).count()
+        if left >= before:
+            break
+    return left
 
+
+def deliver(queue: DataFrame, key: str, acknowledged: Callable[[], DataFrame], order: list[str], send: Callable[[DataFrame], None], store: str, checkpoint: str) -> StreamingQuery:
+    """Keeps new entries in the table `store` and drains it; what earlier runs left goes first.
+
+    A batch that is run again overwrites its own part of the store, so no entry is queued twice.
+    """
+    spark, schema = queue.sparkSession, queue.schema
+
+    def queued() -> DataFrame:
+        return spark.read.schema(schema).parquet(store)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        drain(queued, key, acknowledged, order, send)
+
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{store}/batch=-1")  # the store exists from the start
+    drain(queued, key, acknowledged, order, send)
     return queue.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
