@@ -38,6 +38,6 @@ def test_small_sources_play_their_quotas(spark):
     rng = random.Random(6)
     docs = [(k, "w " * 200, "big") for k in range(100)] + [(1000 + k, "w " * rng.randint(30, 60), f"s{k:03d}") for k in range(500)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    got = [(r.doc_id, r.size, r.taken) for r in mixing.mix(frame, whole_quotas=True).collect()]
+    got = [(r.doc_id, r.size, r.taken) for r in mixing.mix(frame).collect()]
     assert Counter(got) == Counter(brute_taken(docs))
     assert {r.doc_id for r in mixing.mixed_documents(frame).select("doc_id").collect()} >= {d for d, *_ in docs if d >= 1000}

@@ -68,6 +68,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def text_key(text: str = "text") -> F.Column:
+    """Tells the texts of rows that share a doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def rows_of(docs: DataFrame, stay: DataFrame, key: F.Column) -> DataFrame:
+    """The rows of docs whose doc_id and key are those of a row (id, key) of stay; rows that repeat both all stay."""
+    told = stay.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    return docs.withColumn("__own", key).join(told, match, "left_semi").drop("__own")
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """True where crc32 of the id as text is divisible by 5."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
@@ -86,11 +98,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of at most `limit` bytes (one row at least): first row, end row, bytes, offsets from 0."""
+    """Runs of whole rows of at most `limit` bytes (one row at least) and 50,000 rows: first row, end row, bytes, offsets from 0."""
     raw, at = buffers(column)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1), lo + 50_000)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavecrate.llm.common import materialise, seeds, table, text_slices
+from wavecrate.llm.common import materialise, rows_of, seeds, table, text_slices
 
 MASK_BITS, SMALLEST, LARGEST = 10, 256, 16_384
 GEAR = (seeds(256, 1) >> np.uint64(32)).astype(np.uint32)
@@ -138,9 +138,9 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns; rows that share the kept doc_id and text all stay."""
-    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    """The rows of docs that stay, all columns: of each text that with the largest doc_id; rows that repeat both all stay."""
+    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"))
+    return rows_of(docs, stay, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A linear support vector machine for each language family picks the family; insid
 all pairs of its languages vote. Features are relative frequencies of hashed letter trigrams (bytes of the UTF-8 text,
 ASCII letters in lower case, runs of other ASCII characters as one space).
 
-Training uses only text and non-null lang of documents that are not held out: for each language, the SAMPLE documents
-whose id and text hash lowest, each as a whole. That bound is per language; scoring reads every text whole.
+Training uses only text and non-null lang of documents that are not held out: for each of the LANGS languages with the
+most rows, the SAMPLE documents whose id and text hash lowest, each as a whole and rows that repeat both once. Those
+bounds hold for training alone; scoring reads every text whole.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learned; ties of
 votes go to the larger sum of margins, then to the first language in order; repeated rows get equal results; an empty
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrate.llm.common import held_out, mix64, table, text_slices
 
-BITS, SAMPLE, MIN_COUNT = 14, 300, 3
+BITS, SAMPLE, LANGS = 14, 300, 128
 UNKNOWN = "und"
 
 # ISO 639-1 codes by language family.
@@ -147,16 +149,18 @@ class Hierarchy:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     """Learns from docs that aren't held out; None if none has a language and letters."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashed = known.select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"))
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull())
+    often = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
+    known = labelled.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}"))
+    hashed = known.select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h")).distinct()
     lowest = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
     # A number for each language; the texts themselves stay where they are.
     limits = {r["lang"]: r["limit"] for r in lowest.groupBy("lang").agg(F.max("h").alias("limit")).collect()}
     if not limits:
         return None
     limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-    rows = known.filter(F.xxhash64("doc_id", F.xxhash64("text")) <= F.try_element_at(limit, F.col("lang")))
-    # The sample is bounded by the number of languages.
+    rows = known.withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).filter(F.col("h") <= F.try_element_at(limit, F.col("lang")))
+    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE rows of a language at most, repeated ones once
     got = rows.select("text", "lang").mapInArrow(_sample_rows, "lang string, gram array<int>, n array<int>").orderBy("lang", F.hash("gram", "n")).collect()
     by_lang: dict[str, list] = {}
     for r in got:
@@ -204,9 +208,19 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told (`und`)."""
-    kept = predict(docs, train(docs)).filter(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").filter(F.col("text").rlike(r"\p{L}"))
+    """The rows of docs whose language can be told (isn't `und`), all columns. Rows pass through the prediction whole, so nothing is joined."""
+    model = train(docs)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(len(row))), row.field("text")], ["doc_id", "text"])
+            for found in _predict_rows(model)(iter([own])):
+                keep = pc.not_equal(found.column("lang_pred"), UNKNOWN)
+                yield pa.RecordBatch.from_arrays([row.take(found.column("doc_id").filter(keep))], ["row"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    return packed.mapInArrow(rows, packed.schema).select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Slot i of the schedule is the golden-ratio point frac(i * phi), kept as a 32-bit integer. It falls into one source's part
+Slot i of the schedule is the golden-ratio point frac(i * phi), kept as a 47-bit integer. It falls into one source's part
 of the cumulative weights; its rank among that source's slots names the block to take. A source's documents, in the
 order of md5(seed, doc_id), form one stream of words cut into blocks of equal size; rank r takes block r modulo the
-number of blocks, so a source is repeated evenly and never more than twice.
+number of blocks, so a source is repeated evenly and never more than twice. A source plays exactly its quota of slots:
+points are made for twice as many slots as all quotas together, and ranks beyond a quota are left out. Any n golden-ratio
+points leave no gap of 2 / n, so each part of the weights that a quota stands for holds a point and no source is short,
+however small it is.
 
 Hot sources: ranks and running word counts are prefix sums in two steps (within small ranges of slots or hash ranges of
 documents, then over the ranges), so no task holds a whole source.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
 last in order; repeated rows are separate documents; an empty table gives an empty result; rows whose doc_id is null
-sort by size within their source. Extra columns are ignored.
+come last in their source, by size. Extra columns are ignored. Of rows that share a doc_id, mixed_documents() repeats
+each as its own words were taken; rows that are equal in all columns stand for one another.
 """
 
 from __future__ import annotations
@@ -23,16 +27,16 @@ from wavecrate.llm.common import materialise, table
 BLOCK_WORDS = 64  # words of a block, and so of a slot
 SHARE, MOST_REPEATS, CYCLE = 1.5, 2, (3, 1, 2)
 SLOT_RANGE = 8_192  # slots ranked together
-GOLDEN = 2_654_435_769  # 2**32 / golden ratio, odd
+BITS, GOLDEN = 47, 86_980_551_294_885  # 2**47 / golden ratio, odd
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
 
 def golden_point(i: Column) -> Column:
-    """i * GOLDEN modulo 2**32 without overflow, for any i."""
-    low = i.bitwiseAND(F.lit(65_535)) * F.lit(GOLDEN)
-    high = (F.shiftright(i, 16).bitwiseAND(F.lit(65_535)) * F.lit(GOLDEN)).bitwiseAND(F.lit(65_535))
-    return (low + high * F.lit(65_536)).bitwiseAND(F.lit(2**32 - 1))
+    """i * GOLDEN modulo 2**BITS without overflow, for i under 2**BITS."""
+    part = lambda shift: F.shiftright(i, shift).bitwiseAND(F.lit(65_535)) * F.lit(GOLDEN)
+    rest = lambda x, shift: x.bitwiseAND(F.lit((1 << BITS - shift) - 1)) * F.lit(1 << shift)
+    return (part(0).bitwiseAND(F.lit((1 << BITS) - 1)) + rest(part(16), 16) + rest(part(32), 32)).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -60,58 +64,77 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame, slots: int) -> DataFrame:
-    """How often each block is played: sid, block, times."""
+    """The slots that are played: slot (ascending in the order of play), sid, rank among the source's slots, and block."""
     spark = sources.sparkSession
     upto = F.sum("quota").over(Window.partitionBy(F.lit(0)).orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    edge = lambda c: F.expr(f"(cast({c} as decimal(20, 0)) * 4294967296BD) div cast({max(slots, 1)} as decimal(20, 0))")
+    edge = lambda c: F.expr(f"(cast({c} as decimal(20, 0)) * {1 << BITS}BD) div cast({max(slots, 1)} as decimal(20, 0))")
     parts = sources.filter("quota > 0").withColumn("upto", upto).withColumn("lo", edge("upto - quota")).withColumn("hi", edge("upto"))
     # Cells of equal width turn the range join into an equi-join that no wide source can skew.
-    cells = parts.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", 20), F.shiftright(F.col("hi") - 1, 20)))).select("cell", "lo", "hi", "sid", "quota", "n_blocks")
-    points = spark.range(slots).withColumn("u", golden_point(F.col("id"))).withColumn("cell", F.shiftright("u", 20))
+    cell = lambda c: F.shiftright(c, BITS - 12)
+    cells = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1)))).select("cell", "lo", "hi", "sid", "quota", "n_blocks")
+    points = spark.range(2 * slots).withColumn("u", golden_point(F.col("id"))).withColumn("cell", cell(F.col("u")))
     hit = points.join(cells, (points["cell"] == cells["cell"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     hit = hit.select("id", F.expr(f"id div {SLOT_RANGE}").alias("span"), "sid", "quota", "n_blocks")
     base = hit.groupBy("sid", "span").agg(F.count("*").alias("n"))
     base = base.select("sid", "span", (F.sum("n").over(Window.partitionBy("sid").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     rank = F.row_number().over(Window.partitionBy("sid", "span").orderBy("id")) - 1 + F.col("base")
     ranked = hit.join(base, ["sid", "span"]).withColumn("rank", rank).filter("rank < quota")
-    return ranked.groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("times"))
+    return ranked.select(F.col("id").alias("slot"), "sid", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, spread_digits: int = 3, whole_quotas: bool = False) -> DataFrame:
+def measured(docs: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, source and size of every row (and more columns), the sources, and the number of slots."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = materialise(docs.select("doc_id", "source", size.alias("size"), *more), "sizes")
+    sources = materialise(source_targets(sizes), "sources")
+    return sizes, sources, sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).cast("long")).first()[0]  # one number
+
+
+def block_schedule(docs: DataFrame) -> DataFrame:
+    """The mix as an order of play: slot (ascending, with gaps), source, rank and block of each slot that is played."""
+    _, sources, slots = measured(docs)
+    return schedule(sources, slots).join(sources.select("sid", "source"), "sid").select("slot", "source", "rank", "block")
+
+
+def mix(docs: DataFrame, spread_digits: int = 3, key: Column | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken. spread_digits: 16**n hash ranges a source.
 
-    whole_quotas: slots beyond a source's quota go to the sources that are short of theirs, so that each plays all of it.
+    key: a column that tells rows apart, returned as `key`; it also orders rows that share a doc_id and size.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialise(docs.select("doc_id", "source", size.alias("size")), "sizes")
-    sources = materialise(source_targets(sizes), "sources")
-    rows = sizes.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")).cast("binary")))
-    rows = rows.withColumn("range", F.substring("key", 1, spread_digits))
+    named = [] if key is None else ["key"]
+    sizes, sources, slots = measured(docs, *([] if key is None else [key.alias("key")]))
+    rows = sizes.withColumn("__md5", F.when(F.col("doc_id").isNotNull(), F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")).cast("binary"))))
+    # Rows without an id come after all hexadecimal ranges, in ranges of their sizes.
+    rows = rows.withColumn("range", F.coalesce(F.substring("__md5", 1, spread_digits), F.concat(F.lit("~"), F.lpad(F.col("size").cast("string"), 20, "0"))))
     rows = rows.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("source", "__source")
     ranges = rows.groupBy("sid", "range").agg(F.sum("size").alias("n"))
     ranges = ranges.select("sid", "range", (F.sum("n").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    running = F.sum("size").over(Window.partitionBy("sid", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("size").over(Window.partitionBy("sid", "range").orderBy("__md5", "doc_id", "size", *named).rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.filter("size > 0").join(ranges, ["sid", "range"]).withColumn("stop", running + F.col("base")).withColumn("start", F.col("stop") - F.col("size"))
     first, last = F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(stop - 1) div {BLOCK_WORDS}")
-    own = ["sid", "start", "doc_id", "size", "source_size", "target"]
-    spans = placed.withColumn("block", F.explode(F.sequence(first, last))).select(*own, "stop", "block", "quota", "n_blocks")
+    own = ["sid", "start", "doc_id", "size", "source_size", "target", *named]
+    spans = placed.withColumn("block", F.explode(F.sequence(first, last))).select(*own, "stop", "block")
     spans = spans.withColumn("overlap", F.least(F.col("stop"), (F.col("block") + 1) * BLOCK_WORDS) - F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS))
-    if whole_quotas:  # every rank under the quota is played, wherever its slot falls
-        played = spans.withColumn("times", F.expr("quota div n_blocks") + (F.col("block") < F.col("quota") % F.col("n_blocks")).cast("int"))
-    else:
-        slots = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).cast("long")).first()[0]  # one number
-        played = spans.drop("quota", "n_blocks").join(schedule(sources, slots), ["sid", "block"], "left")
+    times = schedule(sources, slots).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    played = spans.join(times, ["sid", "block"], "left")
     taken = played.groupBy(*own).agg(F.sum(F.col("overlap") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
+    out = ["doc_id", "size", "source_size", "target", "taken", *named]
     return taken.select(*out).unionByName(rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs after mixing: each document as often as its words were taken, to the nearest whole number (0, 1 or 2)."""
-    times = mix(docs, whole_quotas=True).withColumn("copies", F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int"))
-    times = times.groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    again = docs.join(times.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return again.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    row = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("long")
+    times = mix(docs, key=row).withColumn("copies", copies).groupBy("doc_id", "key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
+    times = materialise(times.filter("__copies > 0").withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"), "copies")
+    marked = docs.withColumn("__own", row)
+    both = marked.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
+    alone = both.filter("__n = 1").select(*docs.columns, "__copies")
+    if not times.filter("__n > 1").isEmpty():  # equal rows: one of them stands for all
+        one = both.filter("__n > 1").groupBy("__id", "__key").agg(F.first(F.struct(*docs.columns)).alias("__row"), F.first("__copies").alias("__copies"))
+        alone = alone.unionByName(one.select("__row.*", "__copies"))
+    return alone.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +143,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op10_mixing": op10_mixing}
 
-#: DuckDB: the same schedule with plain windows. u is exact in 128-bit integers.
+#: DuckDB: the same schedule with plain windows, over twice as many points as slots, so that every source plays its quota. u is exact in 128-bit integers.
 ORACLE = {
     "op10_mixing": rf"""
         WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END AS size FROM documents),
@@ -133,8 +156,8 @@ ORACLE = {
         s AS (SELECT sid, source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM v, l),
         q AS (SELECT *, CAST(ceil(target / {BLOCK_WORDS}) AS BIGINT) AS quota, CAST(ceil(source_size / {BLOCK_WORDS}::DOUBLE) AS BIGINT) AS n_blocks FROM s),
         e AS (SELECT *, sum(quota) OVER (ORDER BY sid)::HUGEINT AS upto, sum(quota) OVER ()::HUGEINT AS slots FROM q),
-        p AS (SELECT sid, quota, n_blocks, ((upto - quota) * 4294967296) // slots AS lo, (upto * 4294967296) // slots AS hi FROM e WHERE quota > 0),
-        g AS (SELECT i, (i::HUGEINT * {GOLDEN}) % 4294967296 AS u FROM (SELECT unnest(range((SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) FROM q))) AS i)),
+        p AS (SELECT sid, quota, n_blocks, ((upto - quota) * {1 << BITS}) // slots AS lo, (upto * {1 << BITS}) // slots AS hi FROM e WHERE quota > 0),
+        g AS (SELECT i, (i::HUGEINT * {GOLDEN}) % {1 << BITS} AS u FROM (SELECT unnest(range((SELECT 2 * CAST(coalesce(sum(quota), 0) AS BIGINT) FROM q))) AS i)),
         h AS (SELECT g.i, p.*, row_number() OVER (PARTITION BY p.sid ORDER BY g.i) - 1 AS rnk FROM g JOIN p ON g.u >= p.lo AND g.u < p.hi),
         y AS (SELECT sid, rnk % n_blocks AS block, count(*) AS times FROM h WHERE rnk < quota GROUP BY ALL),
         o AS (SELECT d.doc_id, d.size, q.sid, q.source_size, q.target, row_number() OVER () AS own,

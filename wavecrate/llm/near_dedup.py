@@ -14,8 +14,11 @@ forest of its links, never its pairs. So no link within a bucket is lost and no
 Verification compares the whole multisets: shared count over united count of at least SIMILARITY.
 
 Defined results: null and empty texts and texts without words are classes of their own; texts of fewer than five words
-have one shingle, all their words; rows that repeat a doc_id share a class if their bags are equal or similar; rows
-without a doc_id stay, with a null class; an empty table gives an empty result; extra columns are ignored.
+have one shingle, all their words; rows are told apart by doc_id and text (a hash of it), so those that share a doc_id
+are in one class only if their bags are equal or linked, and class_key (the hash of the text of the class's smallest
+row) tells classes with the same smallest doc_id apart; rows that repeat doc_id and text are kept or dropped
+together; rows without a doc_id stay, with a null class; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrate.llm.common import materialise, mix64, seeds, table, text_slices
+from wavecrate.llm.common import materialise, mix64, rows_of, seeds, table, text_key, text_slices
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 SLICE, BLOCK, COLUMNS = 2 << 20, 2_048, 4_096
+NODE = "struct<doc_id:bigint,h:bigint>"  # a row: its doc_id and the hash of its text
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE, STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 
@@ -142,7 +146,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     prints.append((total[at_text[1:]] - total[at_text[:-1]]).view(np.int64))
             size = np.bincount(owner, count, n).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(size), *map(pa.array, prints), lists], ["doc_id", "size", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(size), *map(pa.array, prints), lists], ["doc_id", "h", "size", "f1", "f2", "bands"])
 
 
 def similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +169,10 @@ def similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def forest(group: pa.Table) -> pa.Table:
     """Links (a, b) that join the similar members of one block (id, text): each to the smallest it reaches."""
-    group = group.combine_chunks().sort_by("id")
-    ids, n = group["id"].to_numpy(), group.num_rows
+    group = group.combine_chunks()
+    ids = group["id"].combine_chunks()
+    order = np.lexsort((ids.field("h").to_numpy(), ids.field("doc_id").to_numpy()))
+    group, ids, n = group.take(order), ids.take(pa.array(order)), group.num_rows
     column = group["text"].combine_chunks() if isinstance(group["text"], pa.ChunkedArray) else group["text"]
     parts = [(first, bags(data, at)) for first, _, data, at in text_slices(column, SLICE)]
     owner, shingle, count = (np.concatenate([p[k] + (first if k == 0 else np.uint64(0) if k == 1 else 0) for first, p in parts]) for k in range(3))
@@ -198,14 +204,14 @@ def forest(group: pa.Table) -> pa.Table:
             break
         root = least
     far = np.flatnonzero(root != np.arange(n))
-    return pa.table({"a": pa.array(ids[far]), "b": pa.array(ids[root[far]])})
+    return pa.table({"a": ids.take(pa.array(far)), "b": ids.take(pa.array(root[far]))})
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar, by their texts (id, text)."""
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return materialise(rows.mapInArrow(similar_rows, "a long, b long"), "links")
+    return materialise(rows.mapInArrow(similar_rows, f"a {NODE}, b {NODE}"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,19 +235,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(ids.filter("doc_id is not null").mapInArrow(_sketch_rows, "doc_id long, size long, f1 long, f2 long, bands array<bigint>"), "sketch")
+    """One row per document: doc_id, class_id (smallest doc_id of its class), class_key, class_size, kept."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h"))
+    sketch = materialise(ids.filter("doc_id is not null").mapInArrow(_sketch_rows, "doc_id long, h long, size long, f1 long, f2 long, bands array<bigint>"), "sketch")
+    sketch = sketch.withColumn("node", F.struct("doc_id", "h"))
     some = sketch.filter("size > 0")
-    same = materialise(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "same")
-    first = some.join(same.select("rep", "f1", "f2"), (some["doc_id"] == F.col("rep")) & (some["f1"] == same["f1"]) & (some["f2"] == same["f2"])).select("rep", "bands").dropDuplicates(["rep"])
+    same = materialise(some.groupBy("f1", "f2").agg(F.min("node").alias("rep")), "same")
+    first = some.join(same.withColumn("node", F.col("rep")), ["node", "f1", "f2"]).select("rep", "bands").dropDuplicates(["rep"])
     rows = first.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = materialise(rows.join(shared, ["band", "key"]), "buckets")
     pairs = materialise(rows.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
     # Texts of candidates move once; the same kind of join at every size.
     asked = rows.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(ids.withColumnRenamed("doc_id", "id").join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = materialise(ids.select(F.struct("doc_id", "h").alias("id"), "text").join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = verified(pairs, texts)
     roots = components(links)
     named = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
@@ -254,26 +261,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         blocks = rows.select("band", "key", "rep").join(open_, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("id"))
-        found = blocks.join(texts.hint("merge"), "id").groupBy("band", "key", "i", "j").applyInArrow(forest, "a long, b long")
+        found = blocks.join(texts.hint("merge"), "id").groupBy("band", "key", "i", "j").applyInArrow(forest, f"a {NODE}, b {NODE}")
         roots = components(links.union(materialise(found, "forest")))
 
-    classes = same.join(roots, same["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("class_id"))
-    told = sketch.join(classes.hint("merge"), ["f1", "f2"], "left").select("doc_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "size")
+    classes = same.join(roots, same["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("class"))
+    told = sketch.join(classes.hint("merge"), ["f1", "f2"], "left").select("node", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("node")).alias("class"))
     told = materialise(told, "classes")
-    sizes = told.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = told.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    nameless = ids.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    sizes = told.groupBy("class").agg(F.count("*").alias("class_size"))
+    out = told.join(sizes.hint("merge"), "class").select("node.doc_id", F.col("class.doc_id").alias("class_id"), F.col("class.h").alias("class_key"), "class_size", (F.col("node") == F.col("class")).alias("kept"))
+    nameless = ids.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.col("h").alias("class_key"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionByName(nameless)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id; all columns."""
-    stay = near_groups(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+    """docs with one document of each class, that of the smallest doc_id; all columns. Rows without a doc_id all stay."""
+    stay = near_groups(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("class_key").alias("key"))
+    return rows_of(docs.filter("doc_id is not null"), stay, text_key()).unionByName(docs.filter("doc_id is null"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("class_key")
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import importlib
+from wavecrate.llm import exact_dedup, language, licenses, mixing, near_dedup, neighbours, pieces, sstable, suffix_dedup, toxicity
 
-MODULES = ("exact_dedup", "mixing", "pieces", "sstable", "language", "toxicity", "licenses", "neighbours", "near_dedup", "suffix_dedup")
+MODULES = (exact_dedup, mixing, pieces, sstable, language, toxicity, licenses, neighbours, near_dedup, suffix_dedup)
 
 
 def _gathered(attribute: str) -> dict:
     out: dict = {}
-    for name in MODULES:
-        out |= getattr(importlib.import_module(f"wavecrate.llm.{name}"), attribute, {})
+    for module in MODULES:
+        out |= getattr(module, attribute, {})
     return out
 
 

@@ -2,15 +2,18 @@
 
 A document is a bag of words; its score is that of its most toxic word. Words are folded to 26 letters (accents off,
 digits read as the letters they imitate), marks inside a word are skipped and single letters that stand apart are
-joined, so `i.d.i.o.t`, `1d1ot` and `i d i o t` meet `idiot`. The kernel of two words is the number of common
+joined, so `i.d.i.o.t`, `1d1ot` and `i d i o t` meet `idiot`; what stands between marks is a word as well, so `so.idiot`
+does too. The kernel of two words is the number of common
 subsequences of LENGTH letters (word borders count as letters) within SPAN positions, each weighted DECAY for every
 position it spans in either word, over a norm that depends on the words' lengths; inserted letters only cost weight.
 
 Training is multiple-instance: each toxic training document names the word that marks it best (first by document
 frequencies, then by the machine itself), clean documents give negatives. Landmarks are training words, the Nyström map
 whitens the kernel between them, and the linear machine on it collapses into one weight per subsequence, so scoring
-gathers from one table whatever the number of landmarks. Training takes at most SAMPLE labelled documents of each class
-(lowest id hash first, not held out); scoring reads every text whole, long words in overlapping windows.
+gathers from one table whatever the number of landmarks. The threshold also sees the toxic documents with a letter
+inserted into what marks them. Training takes at most SAMPLE labelled documents of each class (lowest id hash first, not
+held out; one row of a doc_id) and MOST_WORDS different words of each; scoring reads every text whole, long words in
+overlapping windows.
 
 Defined results: null texts, empty texts and texts without letters get the lowest score; without labels of both
 classes every score is 0; repeated rows get equal results; an empty table gives an empty result; several labels of one
@@ -19,6 +22,7 @@ document count as toxic if any is; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from wavecrate.llm.common import held_out, mix64, table, text_slices
 
 LENGTH, SPAN, DECAY = 4, 7, 0.6
-SAMPLE, LANDMARKS, ROUNDS, MARKS = 1_500, 384, 3, 300
+SAMPLE, MOST_WORDS, LANDMARKS, ROUNDS, MARKS = 1_500, 20_000, 384, 3, 300
 CLEAR_SHARE, CLEAR_ODDS = 0.02, 2.5  # share of the toxic documents, and log odds, of a clear mark
 WIDTH, STRIDE = 16, 8  # letters of a window of a long word
 START, STOP = 30, 31
@@ -51,15 +55,31 @@ NORM = {n: float(np.sqrt(sum(max(0, n - o[-1]) * DECAY ** (2 * (o[-1] + 1)) for
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of all words as rows of WIDTH letter codes (0 after the end), their lengths and their text's number."""
+    """The windows of all words as rows of WIDTH letter codes (0 after the end), their lengths and their text's number, by text.
+
+    Words are read twice: with the marks inside them skipped, and split at marks.
+    """
     code = _CODE[data]
     code[data >= 128] = 255
     tail = np.flatnonzero((data[1:] & 0xC0) == 0x80) + 1
     if len(tail):
-        latin = data[tail - 1] == 0xC3
-        code[tail] = np.where(latin, _LATIN[data[tail] & 63], 27 + data[tail] % 3)
+        before = data[tail - 1]
+        code[tail] = np.where(before == 0xC3, _LATIN[data[tail] & 63], 27 + data[tail] % 3)
+        # U+0080 to U+00BF and U+2000 to U+207F hold signs; their spaces are white space.
+        code[tail[before == 0xC2]] = 255
+        code[tail[(before == 0xC2) & (data[tail] == 0xA0)]] = 0
+        signs = tail[(before == 0xE2) & (data[tail] <= 0x81)]
+        code[signs] = 255
+        last = signs[signs + 1 < len(data)] + 1
+        code[last] = np.where((data[last - 1] == 0x80) & (data[last] <= 0x8A), 0, 255)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    keep = code != 255
+    found = [_windows(code, owner, code != 255), _windows(np.where(code == 255, 0, code).astype(np.uint8), owner, slice(None))]
+    rows, length, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(owner, kind="stable")
+    return rows[order], length[order], owner[order]
+
+
+def _windows(code: np.ndarray, owner: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, owner = code[keep], owner[keep]
     letter = code > 0
     fresh = np.ones(len(code), bool)
@@ -162,7 +182,12 @@ class SubsequenceMachine:
             worst = [o[value[o].argmax()] for o, t in zip(own, toxic, strict=True) if not t and len(o)]
             hard = np.unique(np.concatenate([hard, worst]).astype(np.int64))
         best = np.array([value[o].max() if len(o) else self.bias for o in own])
-        self.slope, self.shift = self._curve(best, toxic)
+        marked = [o[value[o].argmax()] for o, t in zip(own, toxic, strict=True) if t and len(o)]
+        inserted = variants(rows[marked], length[marked])
+        gapped = word_scores(inserted, (inserted > 0).sum(1), self.weights, self.bias) if len(inserted) else np.zeros(0)
+        # A share of them, so that as many as the toxic documents themselves are counted.
+        gapped = gapped[np.argsort(mix64(np.arange(len(gapped), dtype=np.uint64)))[: int(toxic.sum())]]
+        self.slope, self.shift = self._curve(np.concatenate([best, gapped]), np.concatenate([toxic, np.ones(len(gapped), bool)]))
 
     def _fit(self, rows: np.ndarray, length: np.ndarray, chosen: np.ndarray, y: np.ndarray, landmarks: np.ndarray) -> None:
         numbers, columns = [], []
@@ -246,7 +271,7 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rows):
                 first = np.unique(owner, return_index=True)[1].tolist() + [len(owner)]
                 for a, b in zip(first, first[1:], strict=False):
-                    bags[owner[a]] = sorted({r.tobytes() for r in rows[a:b]})
+                    bags[owner[a]] = sorted({r.tobytes() for r in rows[a:b]}, key=lambda w: (zlib.crc32(w), w))[:MOST_WORDS]
             yield pa.RecordBatch.from_pydict({"toxic": pa.array(toxic[lo:hi], pa.bool_()), "words": pa.array(bags, pa.list_(pa.binary()))})
 
 
@@ -255,6 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Subsequen
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     known = known.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= sample)
     texts = docs.select("doc_id", "text").join(known.hint("broadcast"), "doc_id")  # at most 2 * sample rows
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # one row of a doc_id
     bags = texts.select("text", "toxic").mapInArrow(_bag_rows, "toxic boolean, words array<binary>")
     got = sorted((r.toxic, [bytes(w) for w in r.words]) for r in bags.collect())  # bounded by the sample
     if len({t for t, _ in got}) < 2 or not any(t and bag for t, bag in got):
