@@ -53,3 +53,29 @@ def test_sql(spark, duck):
         rows, want = queries.queries()[name](spark, SF).toPandas(), duck.sql(sql).df()
         assert sorted(rows.columns) == sorted(want.columns)
         assert bag(rows, list(rows.columns)) == bag(want, list(rows.columns)), name
+
+
+def test_scores_do_not_depend_on_the_rest_of_the_table(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(rng.normal(size=(90, 16)))]
+    of = lambda some: {(r.query_id, r.vec_id): r.score for r in neighbours.search(spark.createDataFrame(some, "vec_id long, embedding array<double>, label int")).collect()}
+    whole, part = of(rows), of(rows[:60])
+    assert all(whole[k] == s for k, s in part.items() if k in whole)
+    x = [np.array(r[1]) for r in rows]
+    assert all(s == float(np.cumsum(x[a] * x[b])[-1]) for (a, b), s in whole.items())
+
+
+def test_projections_grow_with_the_table():
+    assert [neighbours.hashes(n) for n in (1, 500, 50_000, 10**9)] == [1, 1, 5, 15]
+    hashing = neighbours.Hashing(8, 1.0, 0.95, 10**7)
+    rng, shares = np.random.default_rng(2), []
+    for q in rng.normal(size=(5, 8)):
+        q /= np.linalg.norm(q)
+        noise = rng.normal(size=(400, 8))
+        noise -= (noise @ q)[:, None] * q
+        near = 0.95 * q + np.sqrt(1 - 0.95**2) * noise / np.linalg.norm(noise, axis=1)[:, None]
+        hit = np.zeros(400, bool)
+        for own, visited in zip(hashing.buckets(near), hashing.probes(q), strict=True):
+            hit |= np.isin(own, visited)
+        shares.append(hit.mean())
+    assert np.mean(shares) > 0.95

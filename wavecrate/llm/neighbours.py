@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Inner products become distances on a sphere: candidates are scaled by the largest norm and get one more component that
-fills them to length 1, queries are scaled to length 1. Each of TABLES tables hashes a vector by HASHES Gaussian
-(2-stable) projections cut into slots of WIDTH. A query visits the buckets around its own in the order of their
-estimated chance to hold a neighbour: given the cosine c of a 20th neighbour (that nine tenths of queries exceed on a bounded sample of
-SAMPLE rows), its projection is normal around c times the query's with variance 1 - c*c. Visits end when the chances add
-up to the share that TABLES tables need for TARGET. The candidates of all tables are scored exactly in double precision.
+fills them to length 1, queries are scaled to length 1. Each of TABLES tables hashes a vector by Gaussian (2-stable)
+projections cut into slots of WIDTH; their number grows with the logarithm of the table, so that a bucket holds about
+FILL vectors at every size. A query visits the buckets around its own in the order of their estimated chance to hold a
+neighbour: given the cosine c of a 20th neighbour (that nine tenths of SAMPLE queries exceed, measured against all
+rows), its projection is normal around c times the query's with the variance that 1 - c*c leaves the axis. Visits end when the chances add up to
+the share that TABLES tables need for TARGET. Candidates are sifted by matrix products; those within rounding of the
+best are scored again on the original vectors, component by component in order, so a score and its ties don't depend on
+where a row fell.
+
+The work per query is the number of visited buckets times FILL. It is a small share of the table where neighbours are
+near (clusters), and nearly all of it where they aren't: among directions without structure no bucket can be left out.
 
 Equal vectors are one class (its TOP + 1 smallest ids are all that an answer can need), so a vector that fills a third
 of the table is indexed once. Large buckets are split into blocks of BLOCK classes, and every block is visited: no
@@ -19,7 +25,6 @@ ties go to the smaller vec_id; a query without other vectors returns nothing; an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,10 @@ from pyspark.sql import functions as F
 from wavecrate.llm.common import materialise, table
 
 TOP, EVERY = 20, 20
-TABLES, HASHES, WIDTH, TARGET = 3, 5, 2.0, 0.985
-SAMPLE, BLOCK, PART, REACH = 2_048, 4_096, 16_384, 2
+TABLES, WIDTH, TARGET = 3, 2.0, 0.985
+FILL, SLOTS, MOST_HASHES = 512, 2.7, 15  # vectors of a bucket; slots that a projection fills in effect; a code has 4 bits each
+SAMPLE, BLOCK, PART, ASKED, REACH = 256, 4_096, 16_384, 8_192, 2
+ROUNDING = 1e-9  # of the largest product; far over what summing in another order can change
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -64,65 +71,104 @@ def _phi(z: np.ndarray) -> np.ndarray:
     return np.where(z > 0, 1 - tail / 2, tail / 2)
 
 
+def hashes(n: int) -> int:
+    """Projections of a table of n vectors: buckets of FILL vectors at every size."""
+    return int(np.clip(round(np.log(max(1, n / FILL)) / np.log(SLOTS)), 1, MOST_HASHES))
+
+
 class Hashing:
     """The tables' projections for vectors of one length, the largest norm and the typical neighbour's cosine."""
 
-    def __init__(self, size: int, norm: float, cosine: float) -> None:
+    def __init__(self, size: int, norm: float, cosine: float, n: int) -> None:
         rng = np.random.default_rng(20)
-        self.norm, self.cosine = norm, cosine
-        self.axes = rng.normal(size=(TABLES, size + 1, HASHES))
-        self.shift = rng.uniform(0, WIDTH, (TABLES, HASHES))
-        self.steps = np.array(list(product(range(-REACH, REACH + 1), repeat=HASHES)))
+        self.norm, self.cosine, self.k = norm, cosine, hashes(n)
+        self.axes = rng.normal(size=(TABLES, size + 1, self.k))
+        self.shift = rng.uniform(0, WIDTH, (TABLES, self.k))
 
     def filled(self, x: np.ndarray) -> np.ndarray:
         x = x / self.norm
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))])
 
-    @staticmethod
-    def code(slots: np.ndarray) -> np.ndarray:
-        """Slot numbers as one integer, a byte each."""
+    def code(self, slots: np.ndarray) -> np.ndarray:
+        """Slot numbers as one integer, four bits each."""
         code = np.zeros(slots.shape[:-1], np.int64)
-        for k in range(HASHES):
-            code = code << 8 | np.clip(slots[..., k], -128, 127).astype(np.int64) + 128
+        for k in range(self.k):
+            code = code << 4 | np.clip(slots[..., k], -8, 7).astype(np.int64) + 8
         return code
 
     def buckets(self, x: np.ndarray) -> list[np.ndarray]:
         x = self.filled(x)
         return [self.code(np.floor((x @ self.axes[t] + self.shift[t]) / WIDTH)) for t in range(TABLES)]
 
+    def likeliest(self, chance: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """Steps from the query's own slots, likeliest first, whose chances reach `enough`; and those chances.
+
+        chance: of each projection's slots. Steps are built projection by projection; those that are too unlikely to
+        matter are left out, fewer of them with each try, until enough of the whole is kept.
+        """
+        least = 1e-4
+        while True:
+            steps, each = np.zeros((1, 0), np.int8), np.ones(1)
+            for k in range(self.k):
+                each = (each[:, None] * chance[k][None, :]).ravel()
+                steps = np.column_stack([np.repeat(steps, chance.shape[1], axis=0), np.tile(np.arange(chance.shape[1], dtype=np.int8), len(steps))])
+                keep = each >= least * each.max()
+                steps, each = steps[keep], each[keep]
+            if each.sum() >= min(enough, chance.sum(1).prod() * 0.999) or least < 1e-12:
+                order = np.argsort(-each, kind="stable")
+                return steps[order], each[order]
+            least /= 100
+
     def probes(self, q: np.ndarray) -> list[np.ndarray]:
         """The buckets of each table that a query visits, likeliest first."""
         q = np.append(q / np.linalg.norm(q), 0.0)
-        enough, sigma = 1 - (1 - TARGET) ** (1 / TABLES), np.sqrt(max(1e-9, 1 - self.cosine**2)) / WIDTH
+        enough, spread = 1 - (1 - TARGET) ** (1 / TABLES), np.sqrt(max(1e-9, 1 - self.cosine**2) / max(1, len(q) - 1)) / WIDTH
         out = []
         for t in range(TABLES):
-            center = (self.cosine * (q @ self.axes[t]) + self.shift[t]) / WIDTH
+            along = q @ self.axes[t]
+            center = (self.cosine * along + self.shift[t]) / WIDTH
+            sigma = spread * np.sqrt((self.axes[t] ** 2).sum(0) - along**2)[:, None]  # what of each axis is square to the query
             slot = np.floor(center)
             edges = slot[:, None] + np.arange(-REACH, REACH + 2)
-            chance = np.diff(_phi((edges - center[:, None]) / sigma), axis=1)
-            each = np.ones(len(self.steps))
-            for k in range(HASHES):
-                each *= chance[k][self.steps[:, k] + REACH]
-            order = np.argsort(-each, kind="stable")
-            visits = int(np.searchsorted(np.cumsum(each[order]), enough)) + 1
-            out.append(self.code(slot + self.steps[order[:visits]]))
+            steps, each = self.likeliest(np.diff(_phi((edges - center[:, None]) / sigma), axis=1), enough)
+            visits = int(np.searchsorted(np.cumsum(each), enough)) + 1
+            out.append(np.unique(self.code(slot + steps[:visits] - REACH)))
         return out
 
 
+def in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of q with the rows of x, added component by component from the first."""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
+def _sample_cosines(x: np.ndarray, ids: np.ndarray, norm: float):
+    """For each sampled query the cosines, on the sphere, of its TOP nearest in each batch, itself aside."""
+    queries = x / np.linalg.norm(x, axis=1)[:, None] / norm
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(lo, BLOCK)
+                cosines = matrix(some.column(1)) @ queries.T
+                cosines[some.column(0).to_numpy()[:, None] == ids] = -2
+                best = -np.partition(-cosines, min(TOP, len(cosines)) - 1, axis=0)[:TOP]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(ids), dtype=np.int32), len(best))), pa.array(best.ravel())], ["query", "cosine"])
+
+    return rows
+
+
 def fit(distinct: DataFrame) -> Hashing | None:
-    """Measures the largest norm over all rows, and the cosine of a typical TOP-th neighbour on a bounded sample."""
+    """Measures the largest norm over all rows, and the cosine of a typical TOP-th neighbour of SAMPLE queries among all rows."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     n, largest = distinct.agg(F.count("*"), F.max(norm)).first()
     if not n:
         return None
-    rows = distinct.select("cid", "vector").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()  # SAMPLE rows at most
-    x = np.array([r.vector for r in rows])
-    probe = Hashing(x.shape[1], largest, 0.0)
-    queries = x[:256] / np.linalg.norm(x[:256], axis=1)[:, None]
-    cosines = queries @ probe.filled(x)[:, :-1].T
-    np.fill_diagonal(cosines, -1)
-    rank = max(1, round(TOP * len(x) / n))
-    return Hashing(x.shape[1], largest, float(np.clip(np.quantile(np.sort(cosines, axis=1)[:, -min(rank, len(x))], 0.1), 0, 0.999)))
+    asked = distinct.select("cid", "vector").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()  # SAMPLE rows at most
+    x, ids = np.array([r.vector for r in asked]), np.array([r.cid for r in asked])
+    near = distinct.select("cid", "vector").mapInArrow(_sample_cosines(x, ids, largest), "query int, cosine double").filter("cosine > -2")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine")))).filter(F.col("k") <= TOP)
+    typical = near.groupBy("query").agg(F.min("cosine").alias("c")).agg(F.expr("percentile(c, 0.1)")).first()[0]  # one number
+    return Hashing(x.shape[1], largest, float(np.clip(typical or 0.0, 0, 0.999)), n)
 
 
 def _index_rows(hashing: Hashing):
@@ -145,41 +191,47 @@ def _probe_rows(hashing: Hashing):
     return rows
 
 
+def _kept(scores: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the `keep` largest scores and of all within rounding of the last of them."""
+    if len(scores) <= keep:
+        return np.arange(len(scores))
+    last = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+    return np.flatnonzero(scores >= last - ROUNDING * max(1e-300, float(np.abs(scores).max())))
+
+
 def _score(keep: int):
     def group(data: pa.Table, asked: pa.Table) -> pa.Table:
         """The best `keep` classes of each query among the buckets of one part."""
-        out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        qid, cid, score = [], [], []
         if data.num_rows and asked.num_rows:
             ids, x = data["cid"].to_numpy(), matrix(data["vector"])
-            place = {}
-            for side in (data, asked):
-                where = np.stack([side[c].to_numpy().astype(np.int64) for c in ("tbl", "bucket", "block")], 1)
-                order = np.lexsort(where.T[::-1])
-                cuts = np.flatnonzero(np.any(np.diff(where[order], axis=0) != 0, axis=1)) + 1
-                for rows in np.split(order, cuts):
-                    place.setdefault(tuple(where[rows[0]].tolist()), []).append((side is data, rows))
+            where = data["spot"].to_numpy()
+            order = np.argsort(where, kind="stable")
+            spots, first = np.unique(where[order], return_index=True)
+            rows_of = dict(zip(spots.tolist(), np.split(order, first[1:]), strict=True))
             qids, q = asked["qid"].to_numpy(), matrix(asked["vector"])
-            for sides in place.values():
-                if len(sides) < 2:
-                    continue
-                mine, theirs = sides[0][1], sides[1][1]
-                for lo in range(0, len(theirs), 256):
-                    some = theirs[lo : lo + 256]
-                    scores = q[some] @ x[mine].T
-                    for k, row in enumerate(scores):
-                        best = np.argpartition(-row, keep)[: keep + 1] if len(row) > keep + 1 else np.arange(len(row))
-                        # Ties with the last one that is kept all stay, for the smaller id to win later.
-                        best = np.flatnonzero(row >= row[best].min()) if len(row) > keep + 1 else best
-                        out.setdefault(int(qids[some[k]]), []).append((row[best], ids[mine[best]]))
-        qid, cid, score = [], [], []
-        for key, found in out.items():
-            s, c = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            c, first = np.unique(c, return_index=True)
-            s = s[first]
-            order = np.lexsort((c, -s))[:keep]
-            qid.append(np.full(len(order), key))
-            cid.append(c[order])
-            score.append(s[order])
+            visits: dict[int, list[int]] = {}
+            for k, own in enumerate(asked["spots"].to_pylist()):
+                for spot in own:
+                    visits.setdefault(spot, []).append(k)
+            found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qids]
+            for spot, askers in visits.items():
+                mine = rows_of.get(spot)
+                for lo in range(0, len(askers) if mine is not None else 0, 256):
+                    some = askers[lo : lo + 256]
+                    for k, row in zip(some, q[some] @ x[mine].T, strict=True):
+                        best = _kept(row, keep)
+                        found[k].append((row[best], mine[best]))
+            for k, parts in enumerate(found):
+                if parts:
+                    rough, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    _, once = np.unique(ids[at], return_index=True)  # a class may come from several tables
+                    at = at[once][_kept(rough[once], keep)]
+                    exact = in_order(q[k], x[at])
+                    order = np.lexsort((ids[at], -exact))[:keep]
+                    qid.append(np.full(len(order), qids[k]))
+                    cid.append(ids[at][order])
+                    score.append(exact[order])
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pa.table({"qid": cat(qid, np.int64), "cid": cat(cid, np.int64), "score": cat(score, np.float64)})
 
@@ -200,13 +252,19 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     index = materialise(index, "index")
     filled = index.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = max(1, -(-distinct.count() * TABLES // PART))  # a part returns TOP + 1 classes a query, so few are better
-    part = F.pmod(F.xxhash64("tbl", "bucket", "block"), F.lit(parts)).alias("part")
-    data = index.join(filled, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(part, "tbl", "bucket", "block", "cid", "vector")
+    spot = F.xxhash64("tbl", "bucket", "block")
+    part = F.pmod(F.col("spot"), F.lit(parts)).alias("part")
+    data = index.join(filled, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("spot", spot).select(part, "spot", "cid", "vector")
     sought = distinct.join(asks.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector")
     probes = sought.mapInArrow(_probe_rows(hashing), "qid long, tbl int, bucket long").join(filled, ["tbl", "bucket"])
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    probes = probes.join(sought.withColumnRenamed("cid", "qid"), "qid").select(part, "tbl", "bucket", "block", "qid", "vector")
-    found = data.groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(_score(top + 1), "qid long, cid long, score double")
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("spot", spot)
+    # A query goes to a part once, with all the spots it visits there.
+    visits = materialise(probes.select("qid", part, "spot").groupBy("part", "qid").agg(F.collect_set("spot").alias("spots")), "visits")
+    # A part that over ASKED queries visit is dealt out to several tasks, a share of the queries each.
+    shares = visits.groupBy("part").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares"))
+    data = data.join(shares, "part").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    asked = visits.join(shares, "part").withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int")).drop("shares").join(sought.withColumnRenamed("cid", "qid"), "qid")
+    found = data.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(_score(top + 1), "qid long, cid long, score double")
     found = found.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     found = found.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= top + 1)
