@@ -99,12 +99,17 @@ def limit(channels: list[np.ndarray], sr: float) -> list[np.ndarray]:
     ahead = max(1, int(js_round(0.005 * sr)))
     want = np.lib.stride_tricks.sliding_window_view(np.concatenate([want, np.ones(ahead, np.float32)]), ahead + 1).min(1) if n else want
     rest, now, gain = float(np.exp(-1 / max(1, js_round(0.05 * sr)))), 1.0, np.ones(n, np.float32)
-    # The gain only moves where it is below 1 or wanted to be; elsewhere it stays 1.
-    for i in np.flatnonzero(want < 1)[:1].tolist():
-        for k in range(i, n):
-            goal = float(want[k])
-            now = goal if goal < now else goal + (now - goal) * rest
-            gain[k] = now
+    # Over a run of one wanted gain, the gain is at once that, or comes up to it geometrically; a run is a whole array.
+    begins = np.flatnonzero(np.concatenate([[True], want[1:] != want[:-1]])) if n else np.zeros(0, np.int64)
+    for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True):
+        goal = float(want[i])
+        if goal < now:
+            now = goal
+        elif goal > now:
+            up = goal + (now - goal) * rest ** np.arange(1, j - i + 1)
+            gain[i:j], now = up, float(up[-1])
+            continue
+        gain[i:j] = now
     return [np.clip(c * gain, -top, top).astype(np.float32) for c in channels]
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
-def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, ...] = ("audio",)) -> DataFrame:
+def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, ...] = ("audio",), kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Item, genre and source. A stage maps items to rows (item, genre); what none knows is Unknown.
 
     Stages that are joins run side by side and one aggregation takes each item's most trusted answer; staging them by
-    anti joins would repeat all earlier stages in each later one. Dear stages come last and get what is left open.
+    anti joins would repeat all earlier stages in each later one. Dear stages come last and get what is left open;
+    `kept` writes what is settled after each of them (as a table in the shared folder), so none is run twice.
     """
     answers = None
     for rank, (name, stage) in enumerate(stages):
@@ -30,6 +31,7 @@ def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, .
             left = items if settled is None else items.join(settled.select(item), item, "left_anti")
             found = _answers(stage(left), item, rank, name).drop("rank")
             settled = found if settled is None else settled.unionByName(found)
+            settled = kept(settled) if kept else settled
     if settled is None:
         return items.select(item, F.lit("Unknown").alias("genre"), F.lit("no match").alias("source"))
     told = items.select(item).join(settled, item, "left")

@@ -1,10 +1,9 @@
-"""Queries over composed names, bytes and generated signals. Rows-only: their functions have no SQL form; tests hold them to
-hand-derived values. resolve_chain and stream_failures have SQL."""
+"""Queries over composed names, bytes and generated signals. similar_titles, sound_analysis and sound_rendering have no SQL; tests hold
+them to plain versions and analytic values."""
 
 from __future__ import annotations
 
 import struct
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -14,13 +13,13 @@ from pyspark.sql import functions as F
 from wavecrate.functions import fuzzy, names
 from wavecrate.operators import resolve as R
 from wavecrate.sources import audio, lookups
-from wavecrate.sources.tables import load
+from wavecrate.sources.tables import load, shared_path
 
 SOUNDS_A_TASK = 16  # bounds an Arrow batch, as a sound has half a megabyte or more
 
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Part names against eight variants of names nearby, through all gates."""
+    """Part names against two variants of names nearby, through all gates."""
     part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
     other = part.select((F.col("id") - 1).alias("near"), F.col("artist").alias("cand_artist"), F.concat("title", F.lit(" (Radio Edit)")).alias("cand_title"))
     own = part.select(F.col("id").alias("near"), F.upper("artist").alias("cand_artist"), F.concat(F.lit("The "), "title").alias("cand_title"))
@@ -62,20 +61,21 @@ def tag_readers(spark: SparkSession, d: str) -> DataFrame:
     return audio.with_tags(audio.with_state(files)).select("p_partkey", "state", "tags.genre", "tags.artist", "tags.title")
 
 
-def _sounds(spark: SparkSession, d: str) -> DataFrame:
-    """Six seconds of clicks and a triad for each supplier, as WAV bytes; a supplier without a key has none."""
+def _sounds(spark: SparkSession, d: str, seconds: int = 6, faster: bool = False) -> DataFrame:
+    """Clicks and a triad for each supplier, as WAV bytes; a supplier without a key has none. faster: odd suppliers' clicks gain 20 a minute half way."""
 
     @F.pandas_udf("binary")
     def made(key: pd.Series) -> pd.Series:
         from wavecrate.functions.loudness import wav_bytes
 
         sr = 22_050
-        t = np.arange(6 * sr) / sr
+        t = np.arange(seconds * sr) / sr
 
         def file(k: int) -> bytes:
             root = 261.63 * 2 ** (k % 12 / 12)
             tone = sum(np.sin(2 * np.pi * root * 2 ** (s / 12) * t) for s in (0, 4, 7)) / 12
-            beat = (t * (100 + k % 5 * 10) / 60) % 1 < 0.02
+            gained = np.maximum(0, t - seconds / 2) / 3 if faster and k % 2 else 0
+            beat = (t * (100 + k % 5 * 10) / 60 + gained) % 1 < 0.02
             return wav_bytes([(tone + beat * 0.5).astype(np.float32)] * 2, sr)
 
         return pd.Series([None if pd.isna(k) else file(int(k)) for k in key], dtype=object)
@@ -89,6 +89,13 @@ def sound_analysis(spark: SparkSession, d: str) -> DataFrame:
     return _sounds(spark, d).withColumn("a", audio.analysis(F.col("content"), True, True)).select("s_suppkey", "a.*")
 
 
+def sound_tempo(spark: SparkSession, d: str) -> DataFrame:
+    """A minute for each supplier, so that windows tell a tempo that changes from one that doesn't; tempi to the nearest 5."""
+    found = _sounds(spark, d, 60, True).withColumn("a", audio.analysis(F.col("content"), False))
+    near = lambda c: (F.round(F.col(c) / 5) * 5).cast("int")
+    return found.select("s_suppkey", F.col("a.bpm_mode").alias("mode"), near("a.bpm_min").alias("low"), near("a.bpm_max").alias("high"), "a.key")
+
+
 def sound_rendering(spark: SparkSession, d: str) -> DataFrame:
     """Gain to -14, limiter, trim and resampling, then measured again."""
     first = _sounds(spark, d).withColumn("a", audio.analysis(F.col("content"), False))
@@ -123,20 +130,51 @@ def resolve_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_failures(spark: SparkSession, d: str) -> DataFrame:
-    """T2 as a stream over the events table: failures of a user by day, run until the input ends."""
+    """T2 as a stream over the events table: failures of a user by day, run until the input ends.
+
+    Each batch writes the windows that it changed to a table of its own number; the last number of a window counts.
+    """
     from wavecrate.streaming.failures import failure_counts
 
     schema = load(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events*").parquet(d.rstrip("/")).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = failure_counts(stream.filter("event_type = 'error'"), "user_id", "ts", "1 day", "1 day", "1 hour")
-    name = "failures_" + next(tempfile._get_candidate_names())
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = shared_path(spark, "failures")
+
+    def changed(rows: DataFrame, number: int) -> None:
+        rows.select("user_id", F.unix_timestamp("window.start").alias("day"), "n", F.lit(number).alias("number")).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("user_id", F.unix_timestamp("window.start").alias("day"), "n")
+    return spark.read.parquet(f"{path}/rows").groupBy("user_id", "day").agg(F.max_by("n", "number").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (similar_titles, transliterate, split_titles, identify_chain, tag_readers, sound_analysis, sound_tempo, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
+
+_GROUPS = "|".join(latin for latin, _ in fuzzy.TO_CYRILLIC)
+_QUOTED = lambda pairs: "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in pairs) + "}"
+_LETTERS = {**fuzzy.TO_LATIN, "й": "i"}
+
+
+def _cyrillic_sql(text: str) -> str:
+    """A name in Cyrillic: short i first, then the text in groups of letters, each by the table."""
+    short = rf"regexp_replace(regexp_replace({text}, '([aeiouy])i([bcdfghjklmnpqrstvwxz])', '\1j\2', 'gi'), '([aeiouy])i\b', '\1j', 'gi')"
+    cased = f"CASE WHEN x[1] = upper(x[1]) THEN upper(({_QUOTED(fuzzy.TO_CYRILLIC)})[lower(x)]) ELSE ({_QUOTED(fuzzy.TO_CYRILLIC)})[lower(x)] END"
+    return f"array_to_string([coalesce({cased}, x) for x in regexp_extract_all({short}, '(?is){_GROUPS}|.')], '')"
 
 
-QUERIES = {f.__name__: f for f in (similar_titles, transliterate, split_titles, identify_chain, tag_readers, sound_analysis, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
+_BACK = f"array_to_string([coalesce(CASE WHEN x = lower(x) THEN ({_QUOTED(_LETTERS.items())})[x] ELSE upper(({_QUOTED(_LETTERS.items())})[lower(x)][1:1]) || ({_QUOTED(_LETTERS.items())})[lower(x)][2:] END, x) for x in string_split(cyrillic, '')], '')"
 ORACLE = {
+    "transliterate": f"""
+        WITH c AS (SELECT p_partkey, p_name, p_brand, {_cyrillic_sql("p_name || ' Voina '")} || '(club mix)' || {_cyrillic_sql("' ' || p_brand")} AS cyrillic FROM part)
+        SELECT p_partkey, cyrillic, {_BACK} AS back, regexp_matches(p_name || ' Voina (club mix) ' || p_brand, '{names.TRANSLIT_MARKERS}', 'i') AS marked FROM c""",
+    "split_titles": """
+        WITH v AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN '(DJ One Extended Remix)' WHEN 1 THEN '(Live Version)' ELSE '(feat. Other)' END AS version FROM part)
+        SELECT p_partkey, p_name AS core, version, CASE WHEN p_partkey % 3 = 0 THEN 'DJ One Extended' ELSE '' END AS remixer, p_name || ' ' || version AS merged FROM v""",
+    "identify_chain": "SELECT p_partkey AS id, 'songs' AS stage, p_partkey % 3 = 1 AS via_transliteration FROM part WHERE p_partkey % 3 < 2",
+    "sound_tempo": """
+        SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'constant' ELSE 'dynamic' END AS mode, CAST(100 + s_suppkey % 5 * 10 AS INTEGER) AS low, CAST(100 + s_suppkey % 5 * 10 + s_suppkey % 2 * 20 AS INTEGER) AS high,
+               ['8B', '3B', '10B', '5B', '12B', '7B', '2B', '9B', '4B', '11B', '6B', '1B'][s_suppkey % 12 + 1] AS key FROM supplier""",
     "tag_readers": "SELECT p_partkey, 'accepted' AS state, 'Rock' AS genre, p_brand AS artist, p_name AS title FROM part",
     "lookup_replies": "SELECT CAST(p_partkey AS VARCHAR) AS key, p_brand AS artist, CAST(1990 + p_size AS INTEGER) AS year, p_type || '|House' AS tags FROM part",
     "stream_failures": "SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL",

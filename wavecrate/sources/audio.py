@@ -17,9 +17,18 @@ ANALYSIS = "bpm int, bpm_mode string, bpm_min double, bpm_max double, key string
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder with name, extension and state (accepted, wrong_type, too_big); length prunes the read."""
+    """Files below a folder with name, extension, state (accepted, wrong_type, too_big) and the content of accepted ones.
+
+    The content of files that are too big isn't read, as the filter on `length` is pushed into the scan; that of a wrong
+    type neither, as rejects come from a scan without the column.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return with_state(files.withColumn("name", F.element_at(F.split("path", "/"), -1)))
+    named = with_state(files.withColumn("name", F.element_at(F.split("path", "/"), -1)))
+    pattern = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in EXTENSIONS) + "}"
+    right = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).filter(F.col("length") <= MAX_BYTES)
+    right = with_state(right.withColumn("name", F.element_at(F.split("path", "/"), -1))).filter("state = 'accepted'")
+    rejects = named.filter("state <> 'accepted'").withColumn("content", F.lit(None).cast("binary"))
+    return right.unionByName(rejects)
 
 
 def with_state(files: DataFrame) -> DataFrame:
@@ -89,11 +98,19 @@ def rendered(content: Column, gain_db: Column, trim: bool = True, rate: int | No
 
 
 def catalogue(results: DataFrame, order: str) -> DataFrame:
-    """Output paths `folder/name`, unique, with the rows in their order; write with partitionBy("folder")."""
+    """Output paths `folder/name`, unique, with each row's place in its folder; write with partitionBy("folder").
+
+    Places are counted in two steps, within ranges of the order and over the ranges, so no task holds a whole folder.
+    """
     from wavecrate.operators.catalog import unique_paths
 
     placed = results.withColumn("folder", N.folder_name(F.col("genre"))).withColumn("path", F.concat("folder", F.lit("/"), N.safe_file_name(F.col("name"))))
-    return unique_paths(placed, "path", order).withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(order)))
+    named = unique_paths(placed, "path", order).repartitionByRange(F.col(order)).withColumn("__range", F.spark_partition_id())
+    named = named.withColumn("__own", F.row_number().over(Window.partitionBy("folder", "__range").orderBy(order)))
+    ranges = named.groupBy("folder", "__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("folder").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("folder", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    return named.join(ranges, ["folder", "__range"]).withColumn("place", (F.col("__own") + F.col("__before")).cast("int")).drop("__range", "__own", "__before")
 
 
 def write_catalogue(results: DataFrame, path: str) -> None:

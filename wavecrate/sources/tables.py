@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; filters and columns are pushed into the scan by the optimizer."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/wavecrate-{label}-{uuid.uuid4().hex}"
