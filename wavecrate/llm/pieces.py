@@ -202,26 +202,24 @@ class PieceCodec:
             # "x" stands for " x" in the cache, so a part that doesn't begin with a space can't occur here.
             parts = [p[1:] for p in parts]
         found = [known.get(p) for p in parts]
-        bodies = None
+        changed = bool(texts)  # whether decoding may change some part; emptying the caches doesn't take that back
         if None in found:
             for k, p in enumerate(parts):
                 if found[k] is None and (got := known.get(p)) is not None:
                     found[k] = got
                 elif found[k] is None:
                     found[k], body = self._learn(SPACE + p.replace(" ", SPACE))
+                    differs = body != b" " + p.encode()
+                    changed |= differs
                     if len(p) <= CACHE_KEY_CHARS:
                         if len(known) >= CACHE_ENTRIES:
                             known.clear()
                             texts.clear()
-                            bodies = bodies or {}
                         known[p] = found[k]
-                        if body != b" " + p.encode():
+                        if differs:
                             texts[p] = body
-                    elif body != b" " + p.encode():
-                        bodies = bodies or {}
-                        bodies[p] = body
         ids = ",".join(found)
-        if texts or bodies:  # decoding changed some part; decode this text from its ids
+        if changed:  # decode this text from its ids
             return ids, self.decode_ids(list(map(int, ids.split(","))))[1:]
         return ids, (" " + " ".join(parts)).encode()[1:]
 
