@@ -2,13 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read back as the next
 stage's docs. Each works on all that its predecessor kept, and trains or counts on that alone.
+
+Defined results: null and empty texts and texts without letters go with the first stage, as do all rows of an empty
+table or one without a known language; of equal texts the largest doc_id stays (a null one only without others), of near
+copies the smallest; rows that repeat doc_id and text stay or go together, other rows that share a doc_id are separate
+documents; the mix repeats rows or leaves them out; extra columns and clashing names pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrate.llm.common import materialise, table
+from wavecrate.llm.common import materialise, release, scratch_mark, table
 from wavecrate.llm.exact_dedup import exact_dedup
 from wavecrate.llm.language import in_known_language
 from wavecrate.llm.mixing import mixed_documents
@@ -55,7 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, f"stage-{name}")  # the stage's own tables and its input
     return STAGES[-1][1](spark, docs, sf_dir)

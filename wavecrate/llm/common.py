@@ -43,6 +43,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _scratch[-1]
 
 
+def scratch_mark() -> int:
+    """How much scratch there is; release() deletes what came later."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, mark: int, label: str) -> None:
+    """Deletes the scratch made since the mark but for that of the label, once nothing reads it any more."""
+    later = _scratch[mark:]
+    for path in later:
+        if f"/wavecrate-{label}-" not in path:
+            drop_path(spark, path)
+            _scratch.remove(path)
+
+
 def _clear() -> None:
     """Deletes this driver's scratch, through Spark's file systems while the session lives, else as local files."""
     spark = SparkSession.getActiveSession()
