@@ -35,7 +35,7 @@ from wavecrate.llm.common import materialise, table
 
 TOP, EVERY = 20, 20
 TABLES, WIDTH, TARGET = 3, 2.0, 0.985
-FILL, SLOTS, MOST_HASHES = 512, 2.7, 15  # vectors of a bucket; slots that a projection fills in effect; a code has 4 bits each
+FILL, SLOTS, MOST_HASHES = 128, 2.7, 15  # vectors of a bucket; slots that a projection fills in effect; a code has 4 bits each
 SAMPLE, BLOCK, PART, ASKED, REACH = 256, 4_096, 16_384, 8_192, 2
 ROUNDING = 1e-9  # of the largest product; far over what summing in another order can change
 
