@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from wavecrate.llm.common import held_out, mix64, table, text_slices
 
 LENGTH, SPAN, DECAY = 4, 7, 0.6
-SAMPLE, MOST_WORDS, LANDMARKS, ROUNDS, MARKS = 1_500, 20_000, 384, 3, 300
+SAMPLE, MOST_WORDS, LANDMARKS, ROUNDS, MARKS, GAPPED = 1_500, 20_000, 384, 3, 300, 10
 CLEAR_SHARE, CLEAR_ODDS = 0.02, 2.5  # share of the toxic documents, and log odds, of a clear mark
 WIDTH, STRIDE = 16, 8  # letters of a window of a long word
 START, STOP = 30, 31
@@ -185,8 +185,8 @@ class SubsequenceMachine:
         marked = [o[value[o].argmax()] for o, t in zip(own, toxic, strict=True) if t and len(o)]
         inserted = variants(rows[marked], length[marked])
         gapped = word_scores(inserted, (inserted > 0).sum(1), self.weights, self.bias) if len(inserted) else np.zeros(0)
-        # A share of them, so that as many as the toxic documents themselves are counted.
-        gapped = gapped[np.argsort(mix64(np.arange(len(gapped), dtype=np.uint64)))[: int(toxic.sum())]]
+        # A tenth as many as there are toxic documents: enough to lower the threshold where clean documents leave room.
+        gapped = gapped[np.argsort(mix64(np.arange(len(gapped), dtype=np.uint64)))[: int(toxic.sum()) // GAPPED]]
         self.slope, self.shift = self._curve(np.concatenate([best, gapped]), np.concatenate([toxic, np.ones(len(gapped), bool)]))
 
     def _fit(self, rows: np.ndarray, length: np.ndarray, chosen: np.ndarray, y: np.ndarray, landmarks: np.ndarray) -> None:
