@@ -99,6 +99,12 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def hash_limit(rows: int, sample: int) -> int:
+    """A bound under which about twice `sample` of so many 64-bit hashes lie (and a margin), so that the lowest `sample` are found among few."""
+    share = (2 * sample + 200) / max(1, rows)
+    return (1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     if column.null_count:

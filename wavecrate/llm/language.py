@@ -5,8 +5,9 @@ all pairs of its languages vote. Features are relative frequencies of hashed let
 ASCII letters in lower case, runs of other ASCII characters as one space).
 
 Training uses only text and non-null lang of documents that are not held out: for each of the LANGS languages with the
-most rows, the SAMPLE documents whose id and text hash lowest, each as a whole and rows that repeat both once. Those
-bounds hold for training alone; scoring reads every text whole.
+most rows, the SAMPLE documents whose id and text hash lowest, each as a whole and rows that repeat both once (fewer, if
+repeated rows or texts without letters crowd among the lowest). Those bounds hold for training alone; scoring reads every
+text whole.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learned; ties of
 votes go to the larger sum of margins, then to the first language in order; repeated rows get equal results; an empty
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavecrate.llm.common import held_out, mix64, table, text_slices
+from wavecrate.llm.common import hash_limit, held_out, mix64, table, text_slices
 
 BITS, SAMPLE, LANGS = 14, 300, 128
 UNKNOWN = "und"
@@ -150,8 +151,12 @@ class Hierarchy:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     """Learns from docs that aren't held out; None if none has a language and letters."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull())
-    often = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    known = labelled.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}"))
+    often = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    if not often:
+        return None
+    # Few hashes of each language are low enough to be looked at, so none's rows are sorted in one task.
+    low = F.create_map(*[F.lit(x) for lang, n in sorted(often.items()) for x in (lang, hash_limit(n, sample))])
+    known = labelled.filter((F.xxhash64("doc_id", F.xxhash64("text")) <= F.try_element_at(low, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
     hashed = known.select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h")).distinct()
     lowest = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
     # A number for each language; the texts themselves stay where they are.
