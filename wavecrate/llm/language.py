@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -213,19 +212,11 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told (isn't `und`), all columns. Rows pass through the prediction whole, so nothing is joined."""
+    """The rows of docs whose language can be told (isn't `und`), all columns."""
     model = train(docs)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0)
-            own = pa.RecordBatch.from_arrays([pa.array(np.arange(len(row))), row.field("text")], ["doc_id", "text"])
-            for found in _predict_rows(model)(iter([own])):
-                keep = pc.not_equal(found.column("lang_pred"), UNKNOWN)
-                yield pa.RecordBatch.from_arrays([row.take(found.column("doc_id").filter(keep))], ["row"])
-
-    packed = docs.select(F.struct(*docs.columns).alias("row"))
-    return packed.mapInArrow(rows, packed.schema).select("row.*")
+    kept = predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__id")).distinct()
+    # Of rows that share a doc_id those are `und` that have no letter: with a model, nothing else makes a text so.
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").filter(F.col("text").rlike(r"\p{L}"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
