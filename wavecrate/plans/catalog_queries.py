@@ -192,7 +192,9 @@ _RAW = "concat(p_brand, ' (2) - ', upper(p_name), '!')"
 _DIST = " + ".join(f"pow((embedding[{j + 1}]::DOUBLE - c.center[{j + 1}]) / {s}, 2)" for j, s in enumerate((1.0, 0.5, 2.0, 1.0)))
 ORACLE = {
     "map_lookup": f"WITH {_M} SELECT p_partkey, coalesce(genre, 'Unknown') AS genre FROM part LEFT JOIN m ON tag = lower(split_part(p_type, ' ', 1))",
-    "blocklist_filter": f"SELECT p_partkey, {_TAG4} AS tag FROM part WHERE p_partkey % 4 = 2",
+    "blocklist_filter": f"""
+        WITH t AS (SELECT p_partkey, {_TAG4} AS tag FROM part), n AS (SELECT *, regexp_replace(trim(lower(tag)), '^#', '') AS form FROM t), b(tag) AS (VALUES {_values([(x,) for x in sorted(G.NOT_GENRES)])})
+        SELECT p_partkey, tag FROM n WHERE form <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.tag = form)""",
     "blocklist_predicate": "SELECT p_partkey, p_partkey % 4 <> 2 AS blocked, p_partkey % 3 <> 1 AS generic FROM part",
     "rule_first_match": f"SELECT p_partkey, [{', '.join(repr(w) for w in WORDS)}][p_partkey % {len(WORDS)} + 1] AS tag, ['Deep House', 'Hardcore', 'Hip-Hop', 'Ghetto House / Juke', 'Rock', 'Drum & Bass', 'Hardcore', 'Tech House', 'Minimal / Deep Tech', 'Hip-Hop', 'Trance', 'Old'][p_partkey % {len(WORDS)} + 1] AS genre FROM part",
     "map_overlay": f"WITH {_OVER} SELECT * FROM o",
