@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wavecrate.llm import exact_dedup, fill_in_middle, language, licenses, mixing, near_dedup, neighbours, pieces, private_data, sstable, suffix_dedup, toxicity
+from wavecrate.llm import collocations, exact_dedup, fill_in_middle, language, licenses, mixing, near_dedup, neighbours, pieces, private_data, sstable, suffix_dedup, toxicity
 
-MODULES = (exact_dedup, mixing, pieces, sstable, language, toxicity, licenses, neighbours, near_dedup, suffix_dedup, fill_in_middle, private_data)
+MODULES = (exact_dedup, mixing, pieces, sstable, language, toxicity, licenses, neighbours, near_dedup, suffix_dedup, fill_in_middle, private_data, collocations)
 
 
 def _gathered(attribute: str) -> dict:
