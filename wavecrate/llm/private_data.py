@@ -68,7 +68,7 @@ def _folding() -> dict[int, str]:
 
 
 FOLDING = _folding()
-FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, sorted(FOLDING)))) + INVISIBLE + "]")
+FOLDED = frozenset(map(chr, FOLDING)) | frozenset(INVISIBLE)
 HIDDEN = re.compile(f"[{INVISIBLE}]")
 
 # Base identifiers. Runs are taken whole (a later start in a run that failed would fail alike), which keeps them linear.
@@ -159,15 +159,33 @@ def lowered(text: str) -> str:
 
 def fold(tape: Tape) -> None:
     """First transducer: look-alikes and invisible characters."""
-    if not tape.text.isascii() and FOLDED.search(tape.text):
+    text = tape.text
+    if text.isascii():
+        return
+    try:  # most texts with accents lie in Latin-1, where few characters are folded
+        text.encode("latin-1")
+        some = "\xa0" in text or "\xad" in text
+    except UnicodeEncodeError:
+        some = not FOLDED.isdisjoint(text)
+    if some:
         tape.text = tape.text.translate(FOLDING)  # keeps all places
         tape.rewrite([(m.start(), m.end(), "") for m in HIDDEN.finditer(tape.text)])
 
 
-_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+
+
+def _either(words: list[str]) -> str:
+    """One of the words, branching by letters, so that few alternatives are tried at a place."""
+    heads = sorted({w[0] for w in words if w})
+    out = "|".join(h + _either([w[1:] for w in words if w[:1] == h]) for h in heads)
+    return f"(?:{out})" + ("?" if "" in words else "") if heads else ""
+
+
+_DIGIT = _either(list(DIGIT_WORDS))
 _SIGN = "(?:" + "|".join(SIGN_WORDS) + ")"
 _GAP = r"[\x20\t,-]{1,2}"
-THREE = re.compile(f"{_DIGIT}(?:{_GAP}(?:(?:double|triple|{_SIGN}){_GAP})?{_DIGIT}){{{RUN_WORDS - 1}}}")
+#: The second and third word of a run; it starts with what stands before every such word.
+SECOND = re.compile(rf"[\x20\t,-]{_DIGIT}{_GAP}(?:(?:double|triple|{_SIGN}){_GAP})?{_DIGIT}")
 _ITEM = rf"(?:(?:(?:double|triple)\x20)?{_DIGIT}(?![a-zà-ÿ])|[0-9]{{1,6}}(?![0-9a-z])|{_SIGN}(?![a-zà-ÿ]))"
 SPELLED = re.compile(rf"(?<![a-z0-9à-ÿ])(?:plus(?={_GAP}(?:{_DIGIT}|[0-9]))|{_ITEM})(?:{_GAP}{_ITEM})*+")
 ITEM = re.compile(rf"plus|(?:(double|triple)\x20)?({_DIGIT})(?![a-zà-ÿ])|[0-9]+|{_SIGN}")
@@ -176,7 +194,7 @@ ITEM = re.compile(rf"plus|(?:(double|triple)\x20)?({_DIGIT})(?![a-zà-ÿ])|[0-9]
 def spelled_digits(tape: Tape) -> None:
     """Second transducer: runs of digit words, with signs and digits among them; what separates them vanishes."""
     low = lowered(tape.text)
-    if not THREE.search(low):
+    if not SECOND.search(low):
         return
     edits = []
     for run in SPELLED.finditer(low):
@@ -195,10 +213,11 @@ def spelled_digits(tape: Tape) -> None:
 
 _OPEN, _CLOSE = r"[\x20\t]{0,4}[\[({<]{1,2}[\x20\t]{0,4}", r"[\x20\t]{0,4}[\])}>]{1,2}[\x20\t]{0,4}"
 _DOTS = r"(?:dot|punkt|punto|point)"
-HINTS = re.compile(r"[\[({<][\x20\t]{0,4}(?:at|@|arroba)[\x20\t]{0,4}[\])}>]|[\x20\t]@[\x20\t]")
-DOT_WORD = re.compile(rf"{_DOTS}|[\[({{<][\x20\t]{{0,4}}\.")
-#: 1: in brackets; 2: a sign between spaces; 3: bare, or a sign that stands as it should, where the dot must be disguised.
-AT = re.compile(rf"({_OPEN}(?:at|@|arroba){_CLOSE})|([\x20\t]{{1,4}}@[\x20\t]{{1,4}})|((?<=[a-z0-9])[\x20_-]{{1,3}}at[\x20_-]{{1,3}}(?=[a-z0-9])|[\x20\t]{{0,4}}@[\x20\t]{{0,4}})")
+BRACKETED = re.compile(r"[\[({<][\x20\t]{0,4}(?:at|@|arroba|\.)[\x20\t]{0,4}[\])}>]")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+BRACKET_AT = re.compile(rf"{_OPEN}(?:at|@|arroba){_CLOSE}")
+BARE_AT = re.compile(r"[\x20_-]{1,3}at[\x20_-]{1,3}(?=[a-z0-9])")
+SIGN_AT = re.compile(r"@[\x20\t]{0,4}")
 GLUED = re.compile(r"(?<=[a-z0-9])AT(?=[a-z0-9-]+DOT[a-z])")
 _DOT_TEXT = rf"{_OPEN}(?:{_DOTS}|\.){_CLOSE}|[\x20_-]{{1,3}}{_DOTS}[\x20_-]{{1,3}}"
 DOT = re.compile(rf"(?:{_DOT_TEXT})(?=[a-z0-9])")
@@ -245,9 +264,14 @@ def _local(text: str, low: str, end: int, least: int) -> tuple[int, list[tuple[i
 def at_and_dot(tape: Tape) -> None:
     """Third transducer: disguised signs of addresses, where a local part and a domain stand around them."""
     text, low = tape.text, lowered(tape.text)
-    if not (HINTS.search(low) or DOT_WORD.search(low)):
+    if not ("@" in low and (" @" in low or "\t@" in low) or any(w in low for w in DOT_WORDS) or BRACKETED.search(low)):
         return
-    signs = [(m.start(), m.end(), m.lastindex) for m in AT.finditer(low)] + [(m.start(), m.end(), 1) for m in GLUED.finditer(text)]
+    # 1: in brackets or glued; 2: a sign between spaces; 3: bare, or a sign that stands as it should, where the dot must be disguised.
+    signs = [(m.start(), m.end(), 1) for pattern, where in ((BRACKET_AT, low), (GLUED, text)) for m in pattern.finditer(where)]
+    signs += [(m.start(), m.end(), 3) for m in BARE_AT.finditer(low) if m.start() and low[m.start() - 1].isalnum()]
+    for m in SIGN_AT.finditer(low):
+        start = m.start() - next(k for k in range(5) if k == 4 or low[m.start() - k - 1 : m.start() - k] not in (" ", "\t"))
+        signs.append((start, m.end(), 2 if start < m.start() and m.end() > m.start() + 1 else 3))
     edits, done = [], 0
     for start, end, how in sorted(signs):
         if start < done:
