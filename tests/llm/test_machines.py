@@ -98,3 +98,47 @@ def test_votes_by_hand(spark):
 def test_repeated_rows_count_once(spark):
     rows = [(k % 4, f"some words of text number {k % 4}", "en" if k % 2 else "fr", "s", 0) for k in range(400)]
     assert len(language.train(spark.createDataFrame(rows, SCHEMA)).langs) == 2
+
+
+def test_repeated_rows_dont_hide_a_language(spark):
+    """80,000 rows that repeat four documents: the largest language, and the one with the fewest documents."""
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([(k, f"{w} of text number {k}", c, "s", 0) for k in range(500) for c, w in (("de", "ein paar wörter"), ("en", "some words"))], SCHEMA)
+    many = spark.range(80_000).select((F.col("id") % 4 + 1_000).alias("doc_id"), F.concat(F.lit("unas palabras del texto "), F.col("id") % 4).alias("text"), F.lit("es").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    docs = few.unionByName(many)
+    model = language.train(docs)
+    assert model.langs == ["de", "en", "es"]
+    wrong = language.predict(docs.distinct(), model, F.col("lang")).filter("lang != lang_pred").count()
+    assert wrong == 0
+
+
+def test_many_languages_are_all_learned(spark):
+    names = [f"x{k:03}" for k in range(140)]
+    docs = spark.createDataFrame([(k * 10 + j, f"{'abcdefghijklmnop'[k % 16] * 3}{'qrstuvwxyzabc'[k % 13] * 2} " * (j + 1), c, "s", 0) for k, c in enumerate(names) for j in range(4)], SCHEMA)
+    assert len(language.train(docs, rows=140).langs) == 140
+
+
+def test_the_stage_follows_the_verdict(spark):
+    """Letters that only one side's Unicode tables know, rows that share a doc_id, and a clashing column name."""
+    rows = [(k, f"some words of text {k}", "en", "s", 0) for k in range(60)] + [(100, "\U00031350\U00031351\U00031352", "en", "s", 0), (1, "123", "en", "s", 0), (1, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as __own", "2 as __key", "3 as __ID")
+    model = language.train(docs)
+    told = {(r.doc_id, r.n): r.lang_pred for r in language.predict(docs, model, language.F.length("text").alias("n")).collect()}
+    got = language.in_known_language(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, len(r.text), r["__own"]) for r in got.collect()) == sorted((d, n, 1) for (d, n), c in told.items() if c != "und")
+    assert told[100, 3] != "und" and told[1, 3] == "und"
+
+
+def test_labels_of_absent_documents_teach_nothing(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    insults = ["dumbhead", "stinkard", "lowlifer", "rotbrain", "foulmouth"]
+    plain = ["".join(rng.choice("abeorstnl") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = [(k, " ".join(rng.sample(plain, 10) + ([rng.choice(insults)] if k % 2 else [])), "en", "s", 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.range(200_400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    found = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert sum(found[k] != bool(k % 2) for k in range(400)) <= 2

@@ -87,11 +87,23 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after those that df has already, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def rows_of(docs: DataFrame, stay: DataFrame, key: F.Column) -> DataFrame:
     """The rows of docs whose doc_id and key are those of a row (id, key) of stay; rows that repeat both all stay."""
-    told = stay.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    return docs.withColumn("__own", key).join(told, match, "left_semi").drop("__own")
+    own, id_, key_ = free_names(docs, "__own", "__id", "__key")
+    told = stay.select(F.col("id").alias(id_), F.col("key").alias(key_)).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key_))
+    return docs.withColumn(own, key).join(told, match, "left_semi").drop(own)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

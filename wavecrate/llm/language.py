@@ -4,10 +4,10 @@ A linear support vector machine for each language family picks the family; insid
 all pairs of its languages vote. Features are relative frequencies of hashed letter trigrams (bytes of the UTF-8 text,
 ASCII letters in lower case, runs of other ASCII characters as one space).
 
-Training uses only text and non-null lang of documents that are not held out: for each of the LANGS languages with the
-most rows, the SAMPLE documents whose id and text hash lowest, each as a whole and rows that repeat both once (fewer, if
-repeated rows or texts without letters crowd among the lowest). Those bounds hold for training alone; scoring reads every
-text whole.
+Training uses only text and non-null lang of documents that are not held out and have a letter: of every language the
+SAMPLE documents whose id and text hash lowest, each as a whole and rows that repeat both once (ROWS // languages of each,
+if there are more than ROWS / SAMPLE languages). Those bounds hold for training alone; scoring reads every text whole. The
+weights grow with the pairs of languages of a family.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learned; ties of
 votes go to the larger sum of margins, then to the first language in order; repeated rows get equal results; an empty
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavecrate.llm.common import hash_limit, held_out, mix64, table, text_slices
+from wavecrate.llm.common import hash_limit, held_out, materialise, mix64, rows_of, table, text_key, text_slices
 
-BITS, SAMPLE, LANGS = 14, 300, 128
+BITS, SAMPLE, ROWS = 14, 300, 38_400
 UNKNOWN = "und"
 
 # ISO 639-1 codes by language family.
@@ -147,37 +147,32 @@ class Hierarchy:
         return lang, score
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
+def train(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> Hierarchy | None:
     """Learns from docs that aren't held out; None if none has a language and letters."""
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull())
-    often = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"))
+    # Rows that repeat id and text are one; only then is it known how low a language's lowest hashes lie.
+    hashed = materialise(known.select("lang", "h").distinct(), "hashes")
+    often = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}
     if not often:
         return None
+    sample = max(1, min(sample, rows // len(often)))
     # Few hashes of each language are low enough to be looked at, so none's rows are sorted in one task.
     low = F.create_map(*[F.lit(x) for lang, n in sorted(often.items()) for x in (lang, hash_limit(n, sample))])
-    known = labelled.filter((F.xxhash64("doc_id", F.xxhash64("text")) <= F.try_element_at(low, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
-    hashed = known.select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h")).distinct()
-    lowest = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    lowest = hashed.filter(F.col("h") <= F.try_element_at(low, F.col("lang")))
+    lowest = lowest.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
     # A number for each language; the texts themselves stay where they are.
     limits = {r["lang"]: r["limit"] for r in lowest.groupBy("lang").agg(F.max("h").alias("limit")).collect()}
-    if not limits:
-        return None
     limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-    rows = known.withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).filter(F.col("h") <= F.try_element_at(limit, F.col("lang")))
-    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE rows of a language at most, repeated ones once
-    got = rows.select("text", "lang").mapInArrow(_sample_rows, "lang string, gram array<int>, n array<int>").orderBy("lang", F.hash("gram", "n")).collect()
-    by_lang: dict[str, list] = {}
-    for r in got:
-        if len(by_lang.setdefault(r.lang, [])) < sample:
-            by_lang[r.lang].append((r.lang, r.gram, r.n))
-    got = [r for rows in by_lang.values() for r in rows]
-    return Hierarchy(got) if got else None
+    chosen = known.filter(F.col("h") <= F.try_element_at(limit, F.col("lang")))
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))  # `sample` rows of a language at most, repeated ones once
+    got = chosen.select("text", "lang").mapInArrow(_sample_rows, "lang string, gram array<int>, n array<int>").orderBy("lang", F.hash("gram", "n")).collect()
+    return Hierarchy([(r.lang, r.gram, r.n) for r in got]) if got else None
 
 
 def _predict_rows(model: Hierarchy | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
+            texts = batch.column(batch.schema.names.index("text"))
             for lo, hi, data, at in text_slices(texts, 1 << 20):
                 n = hi - lo
                 lengths = np.diff(at)
@@ -200,23 +195,23 @@ def _predict_rows(model: Hierarchy | None):
                         margins[:, m] = np.bincount(owner, value * w[key & ((1 << BITS) - 1)], n) + w[-1]
                     lang, score = model.predict(margins)
                 names = [model.langs[k] if ok and size else UNKNOWN for k, ok, size in zip(lang, letters, lengths, strict=True)] if model is not None else [UNKNOWN] * n
-                yield pa.RecordBatch.from_pydict({"doc_id": docs.slice(lo, n), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(letters, np.clip(score, 0, 1), 0.0))})
+                kept = {name: batch.column(name).slice(lo, n) for name in batch.schema.names if name != "text"}
+                yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(letters, np.clip(score, 0, 1), 0.0))})
 
     return rows
 
 
-def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
-    """doc_id, lang_pred and score of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predict_rows(model), f"doc_id {kind}, lang_pred string, score double")
+def predict(docs: DataFrame, model: Hierarchy | None, *more: Column) -> DataFrame:
+    """doc_id, more columns (none named `text`), lang_pred and score of every document."""
+    read = docs.select("doc_id", *more, "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "text")
+    return read.mapInArrow(_predict_rows(model), f"{kept}, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told (isn't `und`), all columns."""
-    model = train(docs)
-    kept = predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__id")).distinct()
-    # Of rows that share a doc_id those are `und` that have no letter: with a model, nothing else makes a text so.
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").filter(F.col("text").rlike(r"\p{L}"))
+    """The rows of docs whose language can be told (isn't `und`), all columns. Rows that share a doc_id are told apart by their texts."""
+    told = predict(docs, train(docs), text_key().alias("key")).filter(F.col("lang_pred") != UNKNOWN)
+    return rows_of(docs, told.select(F.col("doc_id").alias("id"), "key"), text_key())
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ frequencies, then by the machine itself), clean documents give negatives. Landma
 whitens the kernel between them, and the linear machine on it collapses into one weight per subsequence, so scoring
 gathers from one table whatever the number of landmarks. The threshold also sees the toxic documents with a letter
 inserted into what marks them. Training takes at most SAMPLE labelled documents of each class (lowest id hash first, not
-held out; one row of a doc_id) and MOST_WORDS different words of each; scoring reads every text whole, long words in
-overlapping windows.
+held out; one row of a doc_id; labels of absent documents don't count), each whole; scoring reads every text whole, long
+words in overlapping windows.
 
 Defined results: null texts, empty texts and texts without letters get the lowest score; without labels of both
 classes every score is 0; repeated rows get equal results; an empty table gives an empty result; several labels of one
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavecrate.llm.common import hash_limit, held_out, mix64, table, text_slices
+from wavecrate.llm.common import hash_limit, held_out, materialise, mix64, table, text_slices
 
 LENGTH, SPAN, DECAY = 4, 7, 0.6
-SAMPLE, MOST_WORDS, LANDMARKS, ROUNDS, MARKS, GAPPED = 1_500, 20_000, 384, 3, 300, 10
+SAMPLE, LANDMARKS, ROUNDS, MARKS, GAPPED = 1_500, 384, 3, 300, 10
 CLEAR_SHARE, CLEAR_ODDS = 0.02, 2.5  # share of the toxic documents, and log odds, of a clear mark
 WIDTH, STRIDE = 16, 8  # letters of a window of a long word
 START, STOP = 30, 31
@@ -271,13 +271,14 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rows):
                 first = np.unique(owner, return_index=True)[1].tolist() + [len(owner)]
                 for a, b in zip(first, first[1:], strict=False):
-                    bags[owner[a]] = sorted({r.tobytes() for r in rows[a:b]}, key=lambda w: (zlib.crc32(w), w))[:MOST_WORDS]
+                    bags[owner[a]] = sorted({r.tobytes() for r in rows[a:b]}, key=lambda w: (zlib.crc32(w), w))
             yield pa.RecordBatch.from_pydict({"toxic": pa.array(toxic[lo:hi], pa.bool_()), "words": pa.array(bags, pa.list_(pa.binary()))})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SubsequenceMachine | None:
     """Learns from labelled documents that aren't held out; None without documents of both classes."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    known = materialise(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")  # labels of documents that aren't here teach nothing
     # Few hashes of each class are low enough to be looked at, so no class is sorted in one task.
     low = {r["toxic"]: hash_limit(r["count"], sample) for r in known.groupBy("toxic").count().collect()}
     known = known.filter(F.xxhash64("doc_id") <= F.when(F.col("toxic"), low.get(True, 0)).otherwise(low.get(False, 0)))
