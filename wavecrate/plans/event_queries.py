@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.operators import events as E
-from wavecrate.sources.tables import load
+from wavecrate.sources.tables import load, shared_path
+from wavecrate.streaming.logins import as_of, failure_changes, keyed_state
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,21 @@ def batch_tallies(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("done"), F.count_if(is_error).alias("failed"), F.count_if(~is_error).alias("produced"))
 
 
-QUERIES = {f.__name__: f for f in (rate_limit_window, login_expiry, correction_latest, correction_artist_rule, correction_resolve, unsent_queue, gated_mean, sliding_best, hop_windows, onset_flux, local_peaks, lookahead_min, range_feed, spread_mode, batch_tallies)}
+def login_state(spark: SparkSession, d: str) -> DataFrame:
+    """T2 as state with timers: a stream of errors and purchases, read at four points of the log's time; five days count."""
+    events = load(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*events*").parquet(d.rstrip("/")).withColumn("ts", F.col("ts").cast("timestamp"))
+    changes = failure_changes(stream, "user_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase", 432_000, "0 seconds")
+    path = shared_path(spark, "logins")
+    with keyed_state(spark):
+        changes.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/changes").awaitTermination()
+    second = F.unix_timestamp(F.date_trunc("second", "ts"))
+    span = events.agg(F.min(second).alias("low"), F.max(second).alias("high"))
+    points = span.select(F.explode(F.expr("transform(sequence(1, 4), k -> low + (high - low) * k div 4)")).alias("point"))
+    return as_of(spark.read.parquet(f"{path}/changes"), "user_id", points)
+
+
+QUERIES = {f.__name__: f for f in (rate_limit_window, login_expiry, login_state, correction_latest, correction_artist_rule, correction_resolve, unsent_queue, gated_mean, sliding_best, hop_windows, onset_flux, local_peaks, lookahead_min, range_feed, spread_mode, batch_tallies)}
 
 _AT = "CAST(floor(epoch(ts)) AS BIGINT)"
 _HOPS = """p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -120,6 +135,12 @@ ORACLE = {
     "login_expiry": f"""
         WITH e AS (SELECT user_id, event_type, {_AT} AS at_s, max({_AT}) OVER () AS now, max(CASE WHEN event_type = 'purchase' THEN {_AT} END) OVER (PARTITION BY user_id) AS ok FROM events)
         SELECT user_id, count(*) AS n, min(at_s) AS oldest FROM e WHERE event_type = 'error' AND at_s > now - 2592000 AND at_s > coalesce(ok, -1) GROUP BY user_id""",
+    "login_state": f"""
+        WITH e AS (SELECT user_id, event_type, {_AT} AS at_s FROM events), b AS (SELECT min(at_s) AS low, max(at_s) AS high FROM e),
+        p AS (SELECT low + (high - low) * k // 4 AS point FROM b, (VALUES (1), (2), (3), (4)) v(k)),
+        o AS (SELECT point, user_id, max(at_s) AS ok FROM e JOIN p ON at_s <= point WHERE event_type = 'purchase' GROUP BY ALL)
+        SELECT point, user_id, count(*) AS n, min(at_s) AS oldest FROM e JOIN p ON at_s <= point AND at_s > point - 432000 LEFT JOIN o USING (point, user_id)
+        WHERE event_type = 'error' AND at_s > coalesce(ok, -1) GROUP BY ALL""",
     "correction_latest": """
         SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, arg_min(event_id, (ts, event_id)) AS place FROM events GROUP BY user_id, event_type""",
     "correction_artist_rule": """
