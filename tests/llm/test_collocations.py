@@ -63,6 +63,15 @@ def test_many_blocks_arrays_and_branches(spark, monkeypatch):
     assert got(frame, 4) == plainly(rows, 4, 2_000)
 
 
+def test_streams_are_cut_between_pieces(monkeypatch):
+    data = "one two. three four five, six; seven".encode()
+    words = col.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ["en"], 0)
+    whole = words.streams()
+    monkeypatch.setattr(col, "STRETCH", 3)
+    parts = words.streams()
+    assert len(whole) == 1 and len(parts) > 2 and all(x[0] == 0 for x in parts) and np.array_equal(np.concatenate(parts), whole[0])
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(1, 1 << 63, 50_000, dtype=np.uint64))
     slots = col.Slots(keys)

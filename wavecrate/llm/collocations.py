@@ -37,7 +37,7 @@ from wavecrate.llm.common import materialise, mix64, seeds, table, text_slices
 
 LEAST, TOP, LONGEST, COVERED = 30, 2_000, 4, (80, 100)
 KEYS, CHUNK, FAN, BITMAP = 2 << 20, 1 << 14, 32, 26  # keys of a block, slots of an array, arrays summed at once, log2 of the bitmap's bits
-GAMMA, BUFFER = 1.5, 4 << 20  # bits a key of each level of the hash; phrases that a mapper gathers before it counts them
+GAMMA, BUFFER, STRETCH = 1.5, 1 << 20, 1 << 17  # bits a key of each level of the hash; phrases that a mapper gathers before it counts them; words of a stream's row
 UNKNOWN = "und"
 U = np.uint64
 
@@ -83,11 +83,13 @@ class Words:
         values = letter[self.letters] * place[np.arange(len(self.letters)) - np.repeat(self.first, self.length)]
         return np.add.reduceat(values, self.first) + self.length.astype(U)
 
-    def stream(self) -> np.ndarray:
-        """The keys, with a 0 before each piece."""
+    def streams(self) -> list[np.ndarray]:
+        """The keys, with a 0 before each piece, in stretches of whole pieces of about STRETCH keys."""
         out = np.zeros(len(self.keys) + int(self.opens.sum()), U)
         out[np.arange(len(self.keys)) + np.cumsum(self.opens)] = self.keys
-        return out
+        begins = np.flatnonzero(out == 0)
+        cuts = np.unique(begins[np.searchsorted(begins, np.arange(0, begins[-1] + 1, STRETCH))])
+        return np.split(out, cuts[1:])
 
     def text(self, k: int) -> str:
         return self.letters[self.first[k] : self.first[k] + self.length[k]].tobytes().decode()
@@ -100,7 +102,7 @@ def _scan_rows(salt: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [UNKNOWN if x is None else x for x in batch.column(0).to_pylist()]
-            for lo, hi, data, at in text_slices(batch.column(1)):
+            for lo, hi, data, at in text_slices(batch.column(1), 2 << 20):
                 langs = every[lo:hi]
                 words = Words(data, at, langs, salt)
                 if not len(words.keys):
@@ -109,14 +111,16 @@ def _scan_rows(salt: int):
                 # Words that share a key in this slice differ in sums of other random numbers; across slices the words themselves are compared.
                 check, clash = words.sums(salt + 1_000), np.zeros(len(keys), bool)
                 clash[kind[check != check[first][kind]]] = True
+                streams = [x.tobytes() for x in words.streams()]
+                none = [None] * len(streams)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "keys": pa.array([words.stream().tobytes()] + [None] * len(keys), pa.binary()),
-                        "lang": pa.array([None] + [langs[words.owner[k]] for k in first.tolist()], pa.string()),
-                        "word": pa.array([None] + [words.text(k) for k in first.tolist()], pa.string()),
-                        "key": pa.array(np.append(U(0), keys).view(np.int64)),
-                        "n": pa.array(np.append(0, count).astype(np.int64)),
-                        "clash": pa.array(np.append(False, clash)),
+                        "keys": pa.array(streams + [None] * len(keys), pa.binary()),
+                        "lang": pa.array(none + [langs[words.owner[k]] for k in first.tolist()], pa.string()),
+                        "word": pa.array(none + [words.text(k) for k in first.tolist()], pa.string()),
+                        "key": pa.array(none + keys.view(np.int64).tolist(), pa.int64()),
+                        "n": pa.array(none + count.tolist(), pa.int64()),
+                        "clash": pa.array(none + clash.tolist(), pa.bool_()),
                     }
                 )
 
