@@ -17,16 +17,23 @@ CEILING_DB, SILENCE_DB, NO_PEAK_DB = -1.0, -80.0, -120.0
 PHASES, HALF_TAPS, PEAK_FACTOR = 512, 16, 4
 
 
-def k_weighted(x: np.ndarray, sr: float) -> np.ndarray:
-    """The shelf, then the high pass, each in single precision."""
+def k_stages(sr: float) -> list[tuple[tuple, tuple]]:
+    """Coefficients of the shelf and of the high pass."""
     hz, db, q, e = SHELF
     k, high = np.tan(np.pi * hz / sr), 10 ** (db / 20)
     band, norm = high**e, 1 + k / q + k * k
-    x = biquad(x, ((high + band * k / q + k * k) / norm, 2 * (k * k - high) / norm, (high - band * k / q + k * k) / norm), (2 * (k * k - 1) / norm, (1 - k / q + k * k) / norm))
+    shelf = ((high + band * k / q + k * k) / norm, 2 * (k * k - high) / norm, (high - band * k / q + k * k) / norm), (2 * (k * k - 1) / norm, (1 - k / q + k * k) / norm)
     hz, q = PASS
     k = np.tan(np.pi * hz / sr)
     norm = 1 + k / q + k * k
-    return biquad(x, (1.0, -2.0, 1.0), (2 * (k * k - 1) / norm, (1 - k / q + k * k) / norm))
+    return [shelf, ((1.0, -2.0, 1.0), (2 * (k * k - 1) / norm, (1 - k / q + k * k) / norm))]
+
+
+def k_weighted(x: np.ndarray, sr: float) -> np.ndarray:
+    """The shelf, then the high pass, each in single precision."""
+    for b, a in k_stages(sr):
+        x = biquad(x, b, a)
+    return x
 
 
 def block_powers(channels: list[np.ndarray], sr: float) -> tuple[np.ndarray, np.ndarray, int]:
@@ -91,6 +98,21 @@ def apply_gain(channels: list[np.ndarray], db: float) -> list[np.ndarray]:
     return channels if abs(db) <= 0.01 else [(c.astype(np.float64) * 10 ** (db / 20)).astype(np.float32) for c in channels]
 
 
+def running_minima(least: np.ndarray, slope: float, shift: np.ndarray, start: float) -> np.ndarray:
+    """X -> min(least, slope * x + shift) for one place after another, from `start`: all values on the way.
+
+    Two such steps make one of the same kind, so steps are composed over 1, 2, 4, ... places, in log2(n) passes over arrays.
+    """
+    least, shift, slopes = least.copy(), shift.copy(), np.full(len(least), slope)
+    reach = 1
+    while reach < len(least):
+        later, add = slopes[reach:], shift[reach:]
+        both = np.minimum(least[reach:], later * least[:-reach] + add), later * shift[:-reach] + add, later * slopes[:-reach]
+        least[reach:], shift[reach:], slopes[reach:] = both
+        reach *= 2
+    return np.minimum(least, slopes * start + shift)
+
+
 def limit(channels: list[np.ndarray], sr: float) -> list[np.ndarray]:
     """All channels by one gain: the least of the next 5 ms, at once down, and up over 50 ms."""
     top, n = 10 ** (CEILING_DB / 20), len(channels[0])
@@ -98,18 +120,9 @@ def limit(channels: list[np.ndarray], sr: float) -> list[np.ndarray]:
     want = np.where(peak > top, top / np.maximum(peak, top), 1.0).astype(np.float32)
     ahead = max(1, int(js_round(0.005 * sr)))
     want = np.lib.stride_tricks.sliding_window_view(np.concatenate([want, np.ones(ahead, np.float32)]), ahead + 1).min(1) if n else want
-    rest, now, gain = float(np.exp(-1 / max(1, js_round(0.05 * sr)))), 1.0, np.ones(n, np.float32)
-    # Over a run of one wanted gain, the gain is at once that, or comes up to it geometrically; a run is a whole array.
-    begins = np.flatnonzero(np.concatenate([[True], want[1:] != want[:-1]])) if n else np.zeros(0, np.int64)
-    for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True):
-        goal = float(want[i])
-        if goal < now:
-            now = goal
-        elif goal > now:
-            up = goal + (now - goal) * rest ** np.arange(1, j - i + 1)
-            gain[i:j], now = up, float(up[-1])
-            continue
-        gain[i:j] = now
+    # Each sample takes a gain x to min(goal, rest * x + (1 - rest) * goal): at once down, geometrically up.
+    rest, goal = float(np.exp(-1 / max(1, js_round(0.05 * sr)))), want.astype(np.float64)
+    gain = running_minima(goal, rest, (1 - rest) * goal, 1.0).astype(np.float32)
     return [np.clip(c * gain, -top, top).astype(np.float32) for c in channels]
 
 

@@ -181,8 +181,11 @@ def analyze_tempo(y: np.ndarray, sr: float) -> dict:
     return out | {"bpm": int(js_round((whole or middle) if steady else middle)), "mode": "constant" if steady else "dynamic", "min": js_round(folded.min(), 1), "max": js_round(folded.max(), 1)}
 
 
-def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 256) -> np.ndarray:
-    """A second-order recursion, exact but for rounding: blocks by one matrix product, their states in turn. Single precision out."""
+def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 256, before: tuple = (0.0, 0.0, 0.0, 0.0)) -> np.ndarray:
+    """A second-order recursion, exact but for rounding: blocks by one matrix product, their states in turn. Single precision out.
+
+    before: the last and the last but one input and output before x.
+    """
     n = len(x)
     if not n:
         return np.zeros(0, np.float32)
@@ -191,6 +194,8 @@ def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 256) -> np.ndarray:
     drive = b[0] * x
     drive[1:] += b[1] * x[:-1]
     drive[2:] += b[2] * x[:-2]
+    drive[0] += b[1] * before[0] + b[2] * before[1]
+    drive[1:2] += b[2] * before[0]
     drive = np.concatenate([drive, np.zeros(rows * block - n)]).reshape(rows, block)
     h = np.zeros(block + 1)
     h[0], h[1] = 1.0, -a[0]
@@ -199,7 +204,7 @@ def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 256) -> np.ndarray:
     lag = np.arange(block)[None, :] - np.arange(block)[:, None]
     y = drive @ np.where(lag >= 0, h[np.maximum(lag, 0)], 0)
     from_1, from_2 = h[1:], -a[1] * h[:block]  # answers to the last and the last but one output before a block
-    y1 = y2 = 0.0
+    y1, y2 = before[2:]
     for r in range(rows):
         y[r] += y1 * from_1 + y2 * from_2
         y1, y2 = y[r, -1], y[r, -2]
