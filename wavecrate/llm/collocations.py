@@ -111,15 +111,15 @@ def _scan_rows(salt: int):
                 # Words that share a key in this slice differ in sums of other random numbers; across slices the words themselves are compared.
                 check, clash = words.sums(salt + 1_000), np.zeros(len(keys), bool)
                 clash[kind[check != check[first][kind]]] = True
-                streams = [x.tobytes() for x in words.streams()]
+                streams = words.streams()
                 none = [None] * len(streams)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "keys": pa.array(streams + [None] * len(keys), pa.binary()),
+                        "keys": pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in streams] + [None] * len(keys), pa.binary()),
                         "lang": pa.array(none + [langs[words.owner[k]] for k in first.tolist()], pa.string()),
                         "word": pa.array(none + [words.text(k) for k in first.tolist()], pa.string()),
                         "key": pa.array(none + keys.view(np.int64).tolist(), pa.int64()),
-                        "n": pa.array(none + count.tolist(), pa.int64()),
+                        "n": pa.array([len(x) for x in streams] + count.tolist(), pa.int64()),
                         "clash": pa.array(none + clash.tolist(), pa.bool_()),
                     }
                 )
@@ -127,6 +127,12 @@ def _scan_rows(salt: int):
     return rows
 
 
+def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The streams of rows (keys, n), one at a time: packed they make small batches."""
+    for raw, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        yield np.frombuffer(pa.decompress(raw.as_buffer(), n * 8, codec="zstd"), U)
+
+
 def grown(key: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
     """The keys of phrases of `size` words from those of their first size - 1 and the last word."""
     return mix64((key ^ U(size)) * U(0x9E3779B97F4A7C15) + word)
@@ -167,8 +173,7 @@ def _candidate_rows(size: int, words: np.ndarray, shorter: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for raw in batch.column(0):
-                stream = np.frombuffer(raw.as_buffer(), U)
+            for stream in unpacked(batch):
                 stream = np.where(marked(words, stream), stream, U(0))  # a rare word ends a phrase like a break
                 levels = list(phrases(stream, size))
                 parts = levels[-2][2] & marked(shorter, levels[-2][1])
@@ -240,8 +245,7 @@ def _count_rows(packed: bytes, block: int, blocks: int):
         n = len(slots.keys)
         count, words, clash, seen = np.zeros(n, np.int64), np.zeros((n, LONGEST), U), False, False
         for batch in batches:
-            for raw in batch.column(0):
-                stream = np.frombuffer(raw.as_buffer(), U)
+            for stream in unpacked(batch):
                 for size, key, there in phrases(stream, LONGEST):
                     at = np.flatnonzero(there & in_block(key, block, blocks))
                     slot = slots.find(key[at])
@@ -356,7 +360,7 @@ def _counted_phrases(docs: DataFrame, least: int, salt: int) -> tuple[DataFrame,
     """All words with counts, the phrases of 1 to LONGEST words that are frequent, and the parts of the longer ones. None if nothing is frequent."""
     spark = docs.sparkSession
     scan = materialise(docs.select("lang", "text").mapInArrow(_scan_rows(salt), _SCAN), "scan")
-    stream = scan.filter("keys is not null").select("keys")
+    stream = scan.filter("keys is not null").select("keys", "n")
     words = scan.filter("word is not null").groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("word"), F.max(F.struct("lang", "word")).alias("last"), F.max("clash").alias("clash"))
     words = materialise(words.select("key", "n", "word.lang", "word.word", (F.col("clash") | (F.col("word") != F.col("last"))).alias("clash")), "words")
     if not words.filter("clash").isEmpty():
