@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrate.operators import events as E
 from wavecrate.sources.tables import load, shared_path
 from wavecrate.streaming.logins import as_of, failure_changes, keyed_state
+from wavecrate.streaming.outbox import Outbox
+from wavecrate.streaming.release import in_order
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +123,44 @@ def login_state(spark: SparkSession, d: str) -> DataFrame:
     return as_of(spark.read.parquet(f"{path}/changes"), "user_id", points)
 
 
-QUERIES = {f.__name__: f for f in (rate_limit_window, login_expiry, login_state, correction_latest, correction_artist_rule, correction_resolve, unsent_queue, gated_mean, sliding_best, hop_windows, onset_flux, local_peaks, lookahead_min, range_feed, spread_mode, batch_tallies)}
+def outbox_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """T1 with versions: a user's events as edits of one entry; the newest is sent, all but every seventh is acknowledged, and refused ones are sent again at the end."""
+    log = _log(spark, d).select("user_id", "event_id", "ts")
+    refused: list[int] = []
+
+    def send(rows: DataFrame) -> DataFrame:
+        if refused and rows.filter("user_id % 7 <> 0").isEmpty():
+            return rows
+        refused.append(1)
+        return rows.filter("user_id % 7 <> 0")
+
+    box = Outbox(log.schema, "user_id", "event_id", ["ts", "event_id"], send, shared_path(spark, "outbox"), spark)
+    box.put(log, 0)
+    box.drain()
+    return box.acknowledged().select("user_id", "event_id")
+
+
+def ordered_release(spark: SparkSession, d: str) -> DataFrame:
+    """W11 as a stream: a user's events by place, come in four micro-batches that mix all places; each row leaves with the number of its release."""
+    placed = _log(spark, d).select("user_id", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("place"))
+    path = shared_path(spark, "release")
+    placed.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "part").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, place int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def told(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    with keyed_state(spark):
+        released = in_order(stream, "user_id", "place", ["event_id"])
+        released.writeStream.foreachBatch(told).outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    # Earlier batches hold earlier places, so the batches' sizes say how many were released before each row.
+    before = rows.groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before.select("user_id", "batch", "before", "first"), ["user_id", "batch"]).select("user_id", "event_id", (F.col("before") + F.col("place") - F.col("first")).alias("release"))
+
+
+QUERIES = {f.__name__: f for f in (rate_limit_window, login_expiry, login_state, outbox_delivery, ordered_release, correction_latest, correction_artist_rule, correction_resolve, unsent_queue, gated_mean, sliding_best, hop_windows, onset_flux, local_peaks, lookahead_min, range_feed, spread_mode, batch_tallies)}
 
 _AT = "CAST(floor(epoch(ts)) AS BIGINT)"
 _HOPS = """p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -141,6 +180,8 @@ ORACLE = {
         o AS (SELECT point, user_id, max(at_s) AS ok FROM e JOIN p ON at_s <= point WHERE event_type = 'purchase' GROUP BY ALL)
         SELECT point, user_id, count(*) AS n, min(at_s) AS oldest FROM e JOIN p ON at_s <= point AND at_s > point - 432000 LEFT JOIN o USING (point, user_id)
         WHERE event_type = 'error' AND at_s > coalesce(ok, -1) GROUP BY ALL""",
+    "outbox_delivery": "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id",
+    "ordered_release": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS release FROM events",
     "correction_latest": """
         SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, arg_min(event_id, (ts, event_id)) AS place FROM events GROUP BY user_id, event_type""",
     "correction_artist_rule": """
