@@ -6,6 +6,7 @@ Replies are tables by key, so each key is asked once and its answer, also an emp
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,11 @@ def artist_genres(artists: DataFrame, candidates: DataFrame, replies: DataFrame,
     return recording_genres(named.select(F.col("artist").alias("key"), "id"), replies, genre_map, parents).withColumnRenamed("key", "artist")
 
 
+def top_tag_genres(replies: DataFrame, genre_map: DataFrame, parents: DataFrame, of_tracks: bool = False) -> DataFrame:
+    """Genre and tag of each reply (key): the specific pick of its top tags in their order, weighed by their counts."""
+    return C.specific_pick(lookups.top_tags(replies, of_tracks), "key", [F.col("place")], genre_map, parents).filter("genre is not null")
+
+
 def earliest_recording(asked: DataFrame, replies: DataFrame) -> DataFrame:
     """A2: the earliest plausible year among the first DATED recordings whose title is similar to the track (key, track)."""
     rows = lookups.recordings(replies).filter(F.col("place") < DATED).join(asked.select("key", "track").distinct(), "key")
@@ -75,6 +81,72 @@ def with_era(found: DataFrame, dated: DataFrame) -> DataFrame:
     return both.withColumn("year", F.least("year", "__dated")).withColumn("genre", G.era(F.col("genre"), F.col("year"))).drop("__dated")
 
 
+@dataclass(frozen=True)
+class Replies:
+    """Replies (key, body) by service; None for one that isn't in use. Keys: reply_key() for releases, recordings' dates
+    and tracks, an artist's name in lower case for artists, an id for recordings and artists' records."""
+
+    release_by_field: DataFrame | None = None
+    release_by_text: DataFrame | None = None
+    dated: DataFrame | None = None
+    recording: DataFrame | None = None
+    top_track: DataFrame | None = None
+    top_artist: DataFrame | None = None
+    artist_search: DataFrame | None = None
+    artist: DataFrame | None = None
+
+
+def service_stages(item: str, replies: Replies, genre_map: DataFrame, parents: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """R2: the lookups of service_chain() over replies, by name. Items have artist, track, recording_id, remixer and core.
+
+    A remix asks by its remixer and core. Items without an artist or a track (remixer or core) ask nothing.
+    """
+
+    def asked(items: DataFrame, by: str, what: str) -> DataFrame:
+        named = items.select(item, F.col(by).alias("artist"), F.col(what).alias("track")).filter("artist <> '' and track <> ''")
+        return named.withColumn("key", reply_key(F.col("artist"), F.col("track")))
+
+    def release(by: str, what: str) -> Callable[[DataFrame], DataFrame]:
+        def stage(items: DataFrame) -> DataFrame:
+            wanted = asked(items, by, what)
+            found = release_genres(wanted, replies.release_by_field, replies.release_by_text, genre_map, parents)
+            if by == "artist" and replies.dated is not None:  # only what an era could change is dated again
+                split = wanted.join(found.filter(F.col("genre").isin(*G.ERA_SPLIT)).select("key"), "key", "left_semi")
+                found = with_era(found, earliest_recording(split, replies.dated))
+            return wanted.join(found, "key").select(item, "genre")
+
+        return stage
+
+    def top_artist(by: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda items: items.select(item, F.lower(by).alias("key")).join(top_tag_genres(replies.top_artist, genre_map, parents), "key").select(item, "genre")
+
+    def record(by: str) -> Callable[[DataFrame], DataFrame]:
+        def stage(items: DataFrame) -> DataFrame:
+            found = artist_genres(items.select(F.col(by).alias("artist")), lookups.artists(replies.artist_search), replies.artist, genre_map, parents)
+            return items.select(item, F.col(by).alias("artist")).join(found, "artist").select(item, "genre")
+
+        return stage
+
+    def track(items: DataFrame) -> DataFrame:
+        return asked(items, "artist", "track").join(top_tag_genres(replies.top_track, genre_map, parents, True), "key").select(item, "genre")
+
+    def recording(items: DataFrame) -> DataFrame:
+        return recording_genres(items.select(F.col(item).alias("key"), F.col("recording_id").alias("id")), replies.recording, genre_map, parents).select(F.col("key").alias(item), "genre")
+
+    out: dict[str, Callable[[DataFrame], DataFrame]] = {}
+    if replies.release_by_field is not None:
+        out |= {"remix_release": release("remixer", "core"), "release": release("artist", "track")}
+    if replies.top_artist is not None:
+        out |= {"top_artist": top_artist("artist"), "top_remixer": top_artist("remixer")}
+    if replies.top_track is not None:
+        out |= {"top_track": track}
+    if replies.recording is not None:
+        out |= {"recording": recording}
+    if replies.artist_search is not None:
+        out |= {"artist": record("artist"), "remixer": record("remixer")}
+    return out
+
+
 def service_chain(
     remix: Column,
     correction: Callable[[DataFrame], DataFrame],

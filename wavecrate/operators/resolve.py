@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavecrate.sources.tables import shared_path
+
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -15,8 +17,11 @@ def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, .
 
     Stages that are joins run side by side and one aggregation takes each item's most trusted answer; staging them by
     anti joins would repeat all earlier stages in each later one. Dear stages come last and get what is left open;
-    `kept` writes what is settled after each of them (as a table in the shared folder), so none is run twice.
+    `kept` writes what is settled after each of them, so none is run twice: by default as a table in the shared folder,
+    where more than one stage is dear.
     """
+    if kept is None and sum(name in dear for name, _ in stages) > 1:
+        kept = _written
     answers = None
     for rank, (name, stage) in enumerate(stages):
         if name in dear:
@@ -38,6 +43,12 @@ def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, .
     return told.select(item, F.coalesce("genre", F.lit("Unknown")).alias("genre"), F.coalesce("source", F.lit("no match")).alias("source"))
 
 
+def _written(settled: DataFrame) -> DataFrame:
+    spark, path = settled.sparkSession, shared_path(settled.sparkSession, "settled")
+    settled.write.parquet(path)
+    return spark.read.schema(settled.schema).parquet(path)
+
+
 def _answers(found: DataFrame, item: str, rank: int, name: str) -> DataFrame:
     known = found.filter(F.col("genre").isNotNull() & (F.col("genre") != "Unknown"))
     return known.select(item, F.lit(rank).alias("rank"), "genre", F.lit(name).alias("source"))

@@ -10,7 +10,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 FLAGSHIP = "resolve_chain"
-MODULES: tuple[str, ...] = ("event_queries", "catalog_queries", "media_queries", "file_queries", "sound_queries")
+MODULES: tuple[str, ...] = ("event_queries", "catalog_queries", "media_queries", "file_queries", "sound_queries", "service_queries")
 
 
 def _gathered(attribute: str) -> dict:

@@ -24,6 +24,8 @@ RELEASES = "struct<results: array<struct<title: string, year: string, style: arr
 SONGS = "struct<results: array<struct<trackName: string, artistName: string, releaseDate: string>>>"
 TAGS = "struct<genres: array<struct<name: string, count: double>>, tags: array<struct<name: string, count: double>>>"
 TOP_TAGS = "struct<toptags: struct<tag: array<struct<name: string, count: double>>>>"
+TRACK_TAGS = f"struct<track: {TOP_TAGS}>"
+ARTISTS = "struct<artists: array<struct<id: string, name: string>>>"
 
 
 def http_get(url: str) -> str:
@@ -105,7 +107,14 @@ def entity_tags(replies: DataFrame) -> DataFrame:
     return replies.select("key", F.posexplode(vote_order(F.concat(part("genres", 0), part("tags", 1)))).alias("place", "tag"))
 
 
-def top_tags(replies: DataFrame) -> DataFrame:
-    """Key, place, tag and weight."""
-    rows = replies.select("key", F.posexplode(F.from_json("body", TOP_TAGS)["toptags"]["tag"]).alias("place", "r"))
+def artists(replies: DataFrame) -> DataFrame:
+    """artist_key, place, id and name of the artists that a search found."""
+    rows = replies.select("key", F.posexplode(F.from_json("body", ARTISTS)["artists"]).alias("place", "r"))
+    return rows.select(F.col("key").alias("artist_key"), "place", "r.id", F.coalesce("r.name", F.lit("")).alias("name"))
+
+
+def top_tags(replies: DataFrame, of_tracks: bool = False) -> DataFrame:
+    """Key, place, tag and weight; replies about tracks have their tags one level deeper."""
+    parsed = F.from_json("body", TRACK_TAGS)["track"] if of_tracks else F.from_json("body", TOP_TAGS)
+    rows = replies.select("key", F.posexplode(parsed["toptags"]["tag"]).alias("place", "r"))
     return rows.select("key", "place", F.col("r.name").alias("tag"), F.col("r.count").alias("weight"))
