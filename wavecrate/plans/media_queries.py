@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.functions import fuzzy, names
+from wavecrate.operators import candidates
 from wavecrate.operators import resolve as R
 from wavecrate.sources import audio, lookups
 from wavecrate.sources.tables import load, shared_path
@@ -45,6 +46,14 @@ def identify_chain(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.identified(part, [("songs", False, one), ("songs", True, two), ("recordings", False, one)], "id").select("id", "stage", "via_transliteration")
 
 
+def candidate_search(spark: SparkSession, d: str) -> DataFrame:
+    """Part names with slips of the pen against all parts: the eight nearest of each."""
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("candidate"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
+    slips = part.select(F.col("candidate").alias("query"), F.upper("artist").alias("artist"), F.concat(F.translate("title", "e", "a"), F.lit(" mix")).alias("title"))
+    found = candidates.search(slips, part, "query", "candidate")
+    return found.select("query", F.col("place").cast("long").alias("place"), "candidate", F.floor(F.col("score") * 1_000_000).cast("long").alias("millionths"))
+
+
 def tag_readers(spark: SparkSession, d: str) -> DataFrame:
     """ID3 bytes composed around brand and name."""
 
@@ -149,7 +158,7 @@ def stream_failures(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").groupBy("user_id", "day").agg(F.max_by("n", "number").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (similar_titles, transliterate, split_titles, identify_chain, tag_readers, sound_analysis, sound_tempo, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
+QUERIES = {f.__name__: f for f in (similar_titles, transliterate, split_titles, identify_chain, candidate_search, tag_readers, sound_analysis, sound_tempo, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
 
 _GROUPS = "|".join(latin for latin, _ in fuzzy.TO_CYRILLIC)
 _QUOTED = lambda pairs: "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in pairs) + "}"
@@ -172,6 +181,18 @@ ORACLE = {
         WITH v AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN '(DJ One Extended Remix)' WHEN 1 THEN '(Live Version)' ELSE '(feat. Other)' END AS version FROM part)
         SELECT p_partkey, p_name AS core, version, CASE WHEN p_partkey % 3 = 0 THEN 'DJ One Extended' ELSE '' END AS remixer, p_name || ' ' || version AS merged FROM v""",
     "identify_chain": "SELECT p_partkey AS id, 'songs' AS stage, p_partkey % 3 = 1 AS via_transliteration FROM part WHERE p_partkey % 3 < 2",
+    "candidate_search": f"""
+        WITH q AS (SELECT DISTINCT upper(p_brand) AS artist, translate(p_name, 'e', 'a') || ' mix' AS title FROM part), c AS (SELECT DISTINCT p_brand AS artist, p_name AS title FROM part),
+        x AS (SELECT artist AS t FROM q UNION SELECT title FROM q UNION SELECT artist FROM c UNION SELECT title FROM c),
+        w AS (SELECT t, unnest(regexp_extract_all(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g'), '[^ ]+')) AS w FROM x),
+        g AS (SELECT t, unnest([(' ' || w || ' ')[i : i + 1] for i in range(1, len(w) + 2)]) AS g FROM w),
+        b AS (SELECT t, list(g || '#' || k) AS bag FROM (SELECT t, g, row_number() OVER (PARTITION BY t, g) AS k FROM g) GROUP BY t),
+        near AS (SELECT q.t AS q, c.t AS c, len(list_intersect(q.bag, c.bag)) * 2.0::DOUBLE / (len(q.bag) + len(c.bag)) AS s FROM b q, b c),
+        titles AS (SELECT q, c, s FROM near WHERE s >= {candidates.LEAST} AND q IN (SELECT title FROM q) AND c IN (SELECT title FROM c)),
+        artists AS (SELECT q, c, s FROM near WHERE s >= {candidates.LEAST} AND q IN (SELECT artist FROM q) AND c IN (SELECT artist FROM c)),
+        r AS (SELECT q.artist, q.title, p_partkey AS candidate, t.s * 2 + a.s AS score, row_number() OVER (PARTITION BY q.artist, q.title ORDER BY t.s * 2 + a.s DESC, p_partkey) - 1 AS place
+              FROM q JOIN titles t ON t.q = q.title JOIN artists a ON a.q = q.artist JOIN part ON p_name = t.c AND p_brand = a.c QUALIFY place < 8)
+        SELECT p_partkey AS query, place, candidate, CAST(floor(score * 1000000) AS BIGINT) AS millionths FROM part JOIN r ON artist = upper(p_brand) AND title = translate(p_name, 'e', 'a') || ' mix'""",
     "sound_tempo": """
         SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'constant' ELSE 'dynamic' END AS mode, CAST(100 + s_suppkey % 5 * 10 AS INTEGER) AS low, CAST(100 + s_suppkey % 5 * 10 + s_suppkey % 2 * 20 AS INTEGER) AS high,
                ['8B', '3B', '10B', '5B', '12B', '7B', '2B', '9B', '4B', '11B', '6B', '1B'][s_suppkey % 12 + 1] AS key FROM supplier""",
