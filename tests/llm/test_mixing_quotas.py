@@ -41,3 +41,34 @@ def test_small_sources_play_their_quotas(spark):
     got = [(r.doc_id, r.size, r.taken) for r in mixing.mix(frame).collect()]
     assert Counter(got) == Counter(brute_taken(docs))
     assert {r.doc_id for r in mixing.mixed_documents(frame).select("doc_id").collect()} >= {d for d, *_ in docs if d >= 1000}
+
+
+def test_first_and_last_slots_by_playing(spark):
+    """Plays all points one by one: which block each plays, and so where a document's words first and last come."""
+    rng = random.Random(9)
+    docs = [(k, "w " * rng.randint(0, 300), rng.choice(["a", "b", "b", "b", None])) for k in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix(frame).collect()}
+    sizes = Counter()
+    for d, t, s in docs:
+        sizes[s] += len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    quota = {s: math.ceil(rows[next(d for d, _, x in docs if x == s)].target / mixing.BLOCK_WORDS) for s in order}
+    blocks, slots = {s: math.ceil(sizes[s] / mixing.BLOCK_WORDS) for s in order}, sum(quota.values())
+    edges, upto = {}, 0
+    for s in order:
+        edges[s] = (upto << mixing.BITS) // slots, ((upto + quota[s]) << mixing.BITS) // slots
+        upto += quota[s]
+    played, rank = {}, Counter()
+    for i in range(2 * slots):
+        u = i * mixing.GOLDEN % (1 << mixing.BITS)
+        s = next(s for s in order if edges[s][0] <= u < edges[s][1])
+        if rank[s] < quota[s]:
+            played.setdefault((s, rank[s] % blocks[s]), []).append(i)
+        rank[s] += 1
+    for s in order:
+        stop = 0
+        for _, d, n in sorted((hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest(), d, len(t.split())) for d, t, x in docs if x == s):
+            at = [i for b in range(stop // mixing.BLOCK_WORDS, (stop + n - 1) // mixing.BLOCK_WORDS + 1) for i in played.get((s, b), [])] if n else []
+            assert (rows[d].first_slot, rows[d].last_slot) == ((min(at), max(at)) if at else (None, None))
+            stop += n

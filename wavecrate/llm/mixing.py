@@ -97,7 +97,9 @@ def block_schedule(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, spread_digits: int = 3, key: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken. spread_digits: 16**n hash ranges a source.
+    """One row per document: doc_id, size, source_size, target, taken, first_slot, last_slot. spread_digits: 16**n hash ranges a source.
+
+    The slots are where the schedule first and last plays a block with words of the document; null if it never does.
 
     key: a column that tells rows apart, returned as `key`; it also orders rows that share a doc_id and size.
     """
@@ -115,11 +117,13 @@ def mix(docs: DataFrame, spread_digits: int = 3, key: Column | None = None) -> D
     own = ["sid", "start", "doc_id", "size", "source_size", "target", *named]
     spans = placed.withColumn("block", F.explode(F.sequence(first, last))).select(*own, "stop", "block")
     spans = spans.withColumn("overlap", F.least(F.col("stop"), (F.col("block") + 1) * BLOCK_WORDS) - F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS))
-    times = schedule(sources, slots).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = schedule(sources, slots).groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     played = spans.join(times, ["sid", "block"], "left")
-    taken = played.groupBy(*own).agg(F.sum(F.col("overlap") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken", *named]
-    return taken.select(*out).unionByName(rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+    words = F.sum(F.col("overlap") * F.coalesce(F.col("times"), F.lit(0))).cast("long")
+    taken = played.groupBy(*own).agg(words.alias("taken"), F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot"))
+    out = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot", *named]
+    none = rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return taken.select(*out).unionByName(none.select(*out[:5], *[F.lit(None).cast("long").alias(c) for c in out[5:7]], *named))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -159,13 +163,14 @@ ORACLE = {
         p AS (SELECT sid, quota, n_blocks, ((upto - quota) * {1 << BITS}) // slots AS lo, (upto * {1 << BITS}) // slots AS hi FROM e WHERE quota > 0),
         g AS (SELECT i, (i::HUGEINT * {GOLDEN}) % {1 << BITS} AS u FROM (SELECT unnest(range((SELECT 2 * CAST(coalesce(sum(quota), 0) AS BIGINT) FROM q))) AS i)),
         h AS (SELECT g.i, p.*, row_number() OVER (PARTITION BY p.sid ORDER BY g.i) - 1 AS rnk FROM g JOIN p ON g.u >= p.lo AND g.u < p.hi),
-        y AS (SELECT sid, rnk % n_blocks AS block, count(*) AS times FROM h WHERE rnk < quota GROUP BY ALL),
+        y AS (SELECT sid, rnk % n_blocks AS block, count(*) AS times, min(i) AS first_slot, max(i) AS last_slot FROM h WHERE rnk < quota GROUP BY ALL),
         o AS (SELECT d.doc_id, d.size, q.sid, q.source_size, q.target, row_number() OVER () AS own,
                      CAST(sum(d.size) OVER (PARTITION BY q.sid ORDER BY md5('{SEED}:' || d.doc_id), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
               FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
         x AS (SELECT *, unnest(CASE WHEN size > 0 THEN range((stop - size) // {BLOCK_WORDS}, (stop - 1) // {BLOCK_WORDS} + 1) ELSE [-1] END) AS block FROM o)
         SELECT x.doc_id, CAST(x.size AS BIGINT) AS size, x.source_size, x.target,
-               CAST(sum(CASE WHEN x.block < 0 THEN 0 ELSE (least(x.stop, (x.block + 1) * {BLOCK_WORDS}) - greatest(x.stop - x.size, x.block * {BLOCK_WORDS})) * coalesce(y.times, 0) END) AS BIGINT) AS taken
+               CAST(sum(CASE WHEN x.block < 0 THEN 0 ELSE (least(x.stop, (x.block + 1) * {BLOCK_WORDS}) - greatest(x.stop - x.size, x.block * {BLOCK_WORDS})) * coalesce(y.times, 0) END) AS BIGINT) AS taken,
+               min(y.first_slot)::BIGINT AS first_slot, max(y.last_slot)::BIGINT AS last_slot
         FROM x LEFT JOIN y ON x.sid = y.sid AND x.block = y.block
         GROUP BY x.own, x.doc_id, x.size, x.source_size, x.target
     """
