@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.functions import genres as G
+from wavecrate.sources.tables import packed, unpacked
 
 
 def mapped(items: DataFrame, tag: Column, genre_map: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def _named(rows: pd.DataFrame) -> pd.DataFrame:
             following[path], name = number + 1, f"{stem} ({number}){ext}"
         used.add(name)
         numbers.append(number)
-    return rows.sort_values(["place", "path", "k"])[["path", "k"]].assign(number=pd.array(numbers, "Int64"))
+    return rows.sort_values(["place", "path", "k"])[["path", "k"]].rename(columns={"k": "upto"}).assign(number=pd.array(numbers, "Int64"))
 
 
 def unique_paths(paths: DataFrame, path: str, order: str) -> DataFrame:
@@ -111,21 +112,22 @@ def unique_paths(paths: DataFrame, path: str, order: str) -> DataFrame:
     in order, but never more rows of a path than the largest such number of its root and one: from there on nothing is
     taken, and numbers follow one another.
     """
-    stem, ext = F.regexp_replace(path, r"(?s)(?<=.)\.[^.]*$", ""), F.regexp_extract(path, r"(?s)^.+(\.[^.]*)$", 1)
-    rows = paths.withColumn("__k", F.row_number().over(Window.partitionBy(path).orderBy(order)))
-    names = rows.groupBy(F.col(path).alias("__path"), stem.alias("stem"), ext.alias("ext")).agg(F.count("*").alias("n"))
+    rows = packed(paths, path=path, place=order)
+    stem, ext = F.regexp_replace("path", r"(?s)(?<=.)\.[^.]*$", ""), F.regexp_extract("path", r"(?s)^.+(\.[^.]*)$", 1)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("place")))
+    names = rows.groupBy("path", stem.alias("stem"), ext.alias("ext")).agg(F.count("*").alias("n"))
     names = names.withColumn("root", F.concat(F.regexp_replace("stem", r"(?s)(?<=.)(?: \((?:[2-9]|[1-9][0-9]{1,8})\))+$", ""), "ext"))
     child = names.filter(F.col("stem").rlike(_NUMBERED)).select("root", F.concat(F.regexp_replace("stem", _NUMBERED, "$1"), "ext").alias("parent"), F.regexp_extract("stem", _NUMBERED, 2).cast("long").alias("number"))
-    child = child.join(names.select(F.col("__path").alias("parent")), "parent", "left_semi").groupBy("root").agg(F.max("number").alias("most"))
+    child = child.join(names.select(F.col("path").alias("parent")), "parent", "left_semi").groupBy("root").agg(F.max("number").alias("most"))
     again = names.groupBy("root").agg(F.max("n").alias("n")).filter("n > 1").select("root")
-    clash = names.join(child.join(again, "root"), "root").select("__path", "root", (F.col("most") + 1).alias("most"))
-    rows = rows.join(clash, F.col(path) == F.col("__path"), "left")
-    few = rows.filter("__k <= most").select("root", F.col(path).alias("path"), F.col("__k").alias("k"), F.col(order).alias("place"))
-    found = few.groupBy("root").applyInPandas(lambda group: _named(group), "path string, k int, number long").toDF("__of", "__upto", "number")
-    rows = rows.withColumn("__least", F.least("__k", "most")).join(found, (F.col(path) == F.col("__of")) & (F.col("__least") == F.col("__upto")), "left")
-    number = F.when(F.col("most").isNotNull(), F.col("number") + F.col("__k") - F.col("__least")).otherwise(F.when(F.col("__k") > 1, F.col("__k").cast("long")))
-    name = F.when(number.isNull(), F.col(path)).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ext))
-    return rows.withColumn("unique_path", name).drop("__k", "__path", "root", "most", "__least", "__of", "__upto", "number")
+    clash = names.join(child.join(again, "root"), "root").select("path", "root", (F.col("most") + 1).alias("most"))
+    rows = rows.join(clash, "path", "left").withColumn("upto", F.least("k", "most"))
+    few = rows.filter("k <= most").select("root", "path", "k", "place")
+    found = few.groupBy("root").applyInPandas(lambda group: _named(group), "path string, upto int, number long")
+    rows = rows.join(found, ["path", "upto"], "left")
+    number = F.when(F.col("most").isNotNull(), F.col("number") + F.col("k") - F.col("upto")).otherwise(F.when(F.col("k") > 1, F.col("k").cast("long")))
+    name = F.when(number.isNull(), F.col("path")).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ext))
+    return unpacked(rows.withColumn("unique_path", name), paths.columns, "unique_path")
 
 
 def nearest(items: DataFrame, item: str, features: str, centroids: DataFrame, scale: list[float]) -> DataFrame:

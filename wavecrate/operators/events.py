@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wavecrate.sources.tables import free_names, packed, unpacked
+
+BUCKETS, CELL = 64, 1 << 16  # of a key's order; places of a cell
+
 
 def failure_window(failures: DataFrame, key: str, at_s: str, window_s: int = 900, limit: int = 10) -> DataFrame:
     """For each failure the failures of its key in the window that ends with it, the oldest, and the wait in seconds (0 below the limit).
@@ -86,33 +90,71 @@ def sliding_windows(rows: DataFrame, key: str, at_s: str, length: int, hop: int)
     return out.withColumn("window", F.explode(inside)).drop("begin", "finish", "offset")
 
 
+def positions(rows: DataFrame, key: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """rows with `pos`, the place (from 0) in the order of their key, and `n`, the rows of their key.
+
+    Places are counted within buckets of equal width of the first order column and over the buckets, so a busy key is
+    spread by time. A column that isn't a number or a time has one bucket; null places come first.
+    """
+    kind = rows.schema[order[0]].dataType.typeName()
+    value = F.col(order[0]).cast("double") if kind not in ("string", "binary", "date", "timestamp_ntz") else F.col(order[0]).cast("timestamp").cast("double") if kind in ("date", "timestamp_ntz") else F.lit(0.0)
+    low, high = rows.agg(F.min(value), F.max(value)).first()  # two numbers
+    width = ((high or 0) - (low or 0)) / buckets or 1.0
+    own, first, before = free_names(rows, "__bucket", "__first", "__n")
+    placed = rows.withColumn(own, F.when(value.isNull(), -1).otherwise(F.least(F.floor((value - F.lit(low)) / width), F.lit(buckets - 1))).cast("int"))
+    w = Window.partitionBy(key)
+    counts = placed.groupBy(key, own).agg(F.count("*").alias(before))
+    counts = counts.withColumn(first, F.sum(before).over(w.orderBy(own).rowsBetween(Window.unboundedPreceding, 0)) - F.col(before)).withColumn("n", F.sum(before).over(w))
+    counts = counts.select(F.col(key).alias(f"{own}_key"), F.col(own).alias(f"{own}_of"), first, "n")
+    ranked = placed.withColumn("pos", F.row_number().over(Window.partitionBy(key, own).orderBy(*order)) - 1)
+    both = ranked.join(counts, F.col(key).eqNullSafe(F.col(f"{own}_key")) & (F.col(own) == F.col(f"{own}_of")))
+    return both.withColumn("pos", F.col("pos") + F.col(first)).drop(own, first, f"{own}_key", f"{own}_of")
+
+
+def in_cells(placed: DataFrame, before: int, after: int, cell: int | None = None) -> DataFrame:
+    """Rows with `cell` (of CELL places) and `own`; rows up to `before` places before a cell and `after` places after it stand in it as well."""
+    cell = cell or CELL
+    home, within = F.expr(f"pos div {cell}"), F.col("pos") % cell
+    cells = F.array(home, F.when(within >= cell - before, home + 1), F.when(within < after, home - 1))
+    return placed.withColumn("cell", F.explode(F.filter(cells, lambda c: c.isNotNull()))).withColumn("own", F.col("cell") == home)
+
+
 def hop_windows(rows: DataFrame, key: str, order: list[str], length: int, hop: int) -> DataFrame:
     """Rows by position in whole windows of `length` every `hop`; only keys of at least two lengths have any."""
-    w = Window.partitionBy(key)
-    placed = rows.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w)).filter(F.col("n") >= 2 * length)
+    placed = positions(rows, key, order).filter(F.col("n") >= 2 * length)
     last = F.least(F.floor(F.col("pos") / hop), F.floor((F.col("n") - length) / hop))
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("pos") - length) / hop) + 1)
     inside = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     return placed.withColumn("window", F.explode(inside))
 
 
+def _by_place() -> WindowSpec:
+    return Window.partitionBy("key", "cell").orderBy("pos")
+
+
+def _in_order(rows: DataFrame, key: str, order: list[str], value: str, before: int, after: int) -> DataFrame:
+    """Packed rows with key and value, in cells."""
+    names = {f"by{i}": c for i, c in enumerate(order)}
+    return in_cells(positions(packed(rows, key=key, value=value, **names), "key", list(names)), before, after)
+
+
 def rising_flux(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The rise from the row before, falls as 0."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("flux", F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))))
+    step = F.col("value") - F.lag("value").over(_by_place())
+    out = _in_order(rows, key, order, value, 1, 0).withColumn("flux", F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))))
+    return unpacked(out.filter("own"), rows.columns, "flux")
 
 
 def local_peaks(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Rows over both of their neighbours."""
-    w = Window.partitionBy(key).orderBy(*order)
-    out = rows.withColumn("before", F.lag(value).over(w)).withColumn("after", F.lead(value).over(w))
-    return out.filter((F.col(value) > F.col("before")) & (F.col(value) > F.col("after"))).drop("before", "after")
+    out = _in_order(rows, key, order, value, 1, 1).withColumn("before", F.lag("value").over(_by_place())).withColumn("after", F.lead("value").over(_by_place()))
+    return unpacked(out.filter("own and value > before and value > after"), rows.columns)
 
 
 def lookahead_min(rows: DataFrame, key: str, order: list[str], value: str, ahead: int) -> DataFrame:
-    """The least value from a row to `ahead` rows after it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(0, ahead)
-    return rows.withColumn("ahead_min", F.min(value).over(w))
+    """The least value from a row to `ahead` rows after it (at most CELL)."""
+    out = _in_order(rows, key, order, value, 0, ahead).withColumn("ahead_min", F.min("value").over(_by_place().rowsBetween(0, ahead)))
+    return unpacked(out.filter("own"), rows.columns, "ahead_min")
 
 
 def range_feed(rows: DataFrame, position: str, ranges: DataFrame, cell: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.functions import names as N
@@ -100,17 +100,14 @@ def rendered(content: Column, gain_db: Column, trim: bool = True, rate: int | No
 def catalogue(results: DataFrame, order: str) -> DataFrame:
     """Output paths `folder/name`, unique, with each row's place in its folder; write with partitionBy("folder").
 
-    Places are counted in two steps, within ranges of the order and over the ranges, so no task holds a whole folder.
+    Places are counted within buckets of the order and over them, so no task holds a whole folder.
     """
     from wavecrate.operators.catalog import unique_paths
+    from wavecrate.operators.events import positions
 
     placed = results.withColumn("folder", N.folder_name(F.col("genre"))).withColumn("path", F.concat("folder", F.lit("/"), N.safe_file_name(F.col("name"))))
-    named = unique_paths(placed, "path", order).repartitionByRange(F.col(order)).withColumn("__range", F.spark_partition_id())
-    named = named.withColumn("__own", F.row_number().over(Window.partitionBy("folder", "__range").orderBy(order)))
-    ranges = named.groupBy("folder", "__range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("folder").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.select("folder", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    return named.join(ranges, ["folder", "__range"]).withColumn("place", (F.col("__own") + F.col("__before")).cast("int")).drop("__range", "__own", "__before")
+    named = positions(unique_paths(placed, "path", order), "folder", [order])
+    return named.withColumn("place", (F.col("pos") + 1).cast("int")).drop("pos", "n")
 
 
 def write_catalogue(results: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,3 +22,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
         spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/wavecrate-{label}-{uuid.uuid4().hex}"
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after those that df has already, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed(df: DataFrame, **named: str) -> DataFrame:
+    """Whole rows as one column `row`, beside columns under names of our own: nothing of the table can clash with what is added."""
+    return df.select(F.struct("*").alias("row"), *[F.col(c).alias(name) for name, c in named.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns of packed rows, and more of those beside them, which replace columns of their name."""
+    return df.select(*[F.col("row")[c].alias(c) for c in columns if c not in more], *more)
