@@ -160,19 +160,27 @@ def stream_failures(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (similar_titles, transliterate, split_titles, identify_chain, candidate_search, tag_readers, sound_analysis, sound_tempo, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
 
-_GROUPS = "|".join(latin for latin, _ in fuzzy.TO_CYRILLIC)
-_QUOTED = lambda pairs: "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in pairs) + "}"
-_LETTERS = {**fuzzy.TO_LATIN, "й": "i"}
+# The letters as SQL has them, spelt here once more so that the query is held to them and not to its own tables.
+_CYRILLIC = """MAP {
+    'shch': 'щ', 'sch': 'щ', 'shh': 'щ', 'zh': 'ж', 'ch': 'ч', 'sh': 'ш', 'ia': 'я', 'ja': 'я', 'ya': 'я', 'iu': 'ю', 'ju': 'ю', 'yu': 'ю',
+    'io': 'ё', 'jo': 'ё', 'yo': 'ё', 'ay': 'ай', 'oy': 'ой', 'ey': 'ей', 'uy': 'уй', 'iy': 'ий', 'yy': 'ый', 'je': 'е', 'kh': 'х', 'ts': 'ц',
+    'jj': 'й', 'a': 'а', 'b': 'б', 'v': 'в', 'g': 'г', 'd': 'д', 'e': 'е', 'z': 'з', 'i': 'и', 'j': 'й', 'k': 'к', 'l': 'л',
+    'm': 'м', 'n': 'н', 'o': 'о', 'p': 'п', 'r': 'р', 's': 'с', 't': 'т', 'u': 'у', 'f': 'ф', 'h': 'х', 'c': 'ц', 'y': 'ы'}"""
+_LATIN = """MAP {
+    'а': 'a', 'б': 'b', 'в': 'v', 'г': 'g', 'д': 'd', 'е': 'e', 'ё': 'e', 'ж': 'zh', 'з': 'z', 'и': 'i', 'й': 'i', 'к': 'k',
+    'л': 'l', 'м': 'm', 'н': 'n', 'о': 'o', 'п': 'p', 'р': 'r', 'с': 's', 'т': 't', 'у': 'u', 'ф': 'f', 'х': 'kh', 'ц': 'ts',
+    'ч': 'ch', 'ш': 'sh', 'щ': 'shch', 'ъ': '', 'ы': 'y', 'ь': '', 'э': 'e', 'ю': 'iu', 'я': 'ia'}"""
+_GROUPS = "shch|sch|shh|zh|ch|sh|ia|ja|ya|iu|ju|yu|io|jo|yo|ay|oy|ey|uy|iy|yy|je|kh|ts|jj|[a-z]"
 
 
 def _cyrillic_sql(text: str) -> str:
     """A name in Cyrillic: short i first, then the text in groups of letters, each by the table."""
     short = rf"regexp_replace(regexp_replace({text}, '([aeiouy])i([bcdfghjklmnpqrstvwxz])', '\1j\2', 'gi'), '([aeiouy])i\b', '\1j', 'gi')"
-    cased = f"CASE WHEN x[1] = upper(x[1]) THEN upper(({_QUOTED(fuzzy.TO_CYRILLIC)})[lower(x)]) ELSE ({_QUOTED(fuzzy.TO_CYRILLIC)})[lower(x)] END"
+    cased = f"CASE WHEN x[1] = upper(x[1]) THEN upper(({_CYRILLIC})[lower(x)]) ELSE ({_CYRILLIC})[lower(x)] END"
     return f"array_to_string([coalesce({cased}, x) for x in regexp_extract_all({short}, '(?is){_GROUPS}|.')], '')"
 
 
-_BACK = f"array_to_string([coalesce(CASE WHEN x = lower(x) THEN ({_QUOTED(_LETTERS.items())})[x] ELSE upper(({_QUOTED(_LETTERS.items())})[lower(x)][1:1]) || ({_QUOTED(_LETTERS.items())})[lower(x)][2:] END, x) for x in string_split(cyrillic, '')], '')"
+_BACK = f"array_to_string([coalesce(CASE WHEN x = lower(x) THEN ({_LATIN})[x] ELSE upper(({_LATIN})[lower(x)][1:1]) || ({_LATIN})[lower(x)][2:] END, x) for x in string_split(cyrillic, '')], '')"
 ORACLE = {
     "transliterate": f"""
         WITH c AS (SELECT p_partkey, p_name, p_brand, {_cyrillic_sql("p_name || ' Voina '")} || '(club mix)' || {_cyrillic_sql("' ' || p_brand")} AS cyrillic FROM part)

@@ -1,4 +1,4 @@
-"""Loudness of sounds that tasks make in chunks, held to what the formulas of the filters say about pure tones."""
+"""Loudness of sounds that tasks make in chunks, and lengths and peaks of rendered ones, held to what formulas say about pure tones."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wavecrate.functions import loudness as L
 from wavecrate.operators import loudness_chunks as C
+from wavecrate.sources import audio
 from wavecrate.sources.tables import load
 
 RATE, SECONDS, QUIET_SECONDS, QUIET, CHUNK_SECONDS = 8_000, 12, 4, 0.02, 2.5
@@ -38,7 +39,30 @@ def sound_loudness(spark: SparkSession, d: str) -> DataFrame:
     return C.loudness(_tones(spark, d)).select(F.col("track").alias("s_suppkey"), tenth("integrated").alias("integrated_tenths"), tenth("short_term_max").alias("short_term_tenths"))
 
 
-QUERIES = {"sound_loudness": sound_loudness}
+def sound_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Tones between silences, rendered at three gains: bytes after the trim, frames after resampling as well, and the greatest sample."""
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series) -> pd.Series:
+        def file(k: int) -> bytes:
+            tone = 0.5 * np.sin(2 * np.pi * np.arange(RATE * (1 + k % 4)) / 8)
+            wave = np.concatenate([np.zeros(RATE + k % 5 * 800), tone, np.zeros(RATE)]).astype(np.float32)
+            return L.wav_bytes([wave, wave / 2], RATE)
+
+        return pd.Series([file(int(k)) for k in key])
+
+    @F.pandas_udf("int")
+    def peak(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: int(np.abs(np.frombuffer(c, "<i2", offset=44).astype(np.int32)).max()))
+
+    sounds = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey", made("s_suppkey").alias("content"))
+    gain = F.element_at(F.array(F.lit(-6.0), F.lit(0.0), F.lit(12.0)), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    out = sounds.withColumn("wav", audio.rendered(F.col("content"), gain)).withColumn("again", audio.rendered(F.col("content"), gain, True, 44_100))
+    frames = F.expr("(octet_length(again) - 44) div 4")
+    return out.select("s_suppkey", F.octet_length("wav").cast("long").alias("n_bytes"), frames.cast("long").alias("frames"), peak("wav").alias("peak"))
+
+
+QUERIES = {"sound_loudness": sound_loudness, "sound_lengths": sound_lengths}
 
 _SHELF_HZ, _DB, _Q, _E = L.SHELF
 _PASS_HZ, _PASS_Q = L.PASS
@@ -62,4 +86,10 @@ ORACLE = {
         v AS (SELECT s_suppkey, w, {L.OFFSET} + 10 * log10(avg(power)) AS value FROM x JOIN g USING (s_suppkey, w) WHERE lufs > gate GROUP BY ALL)
         SELECT s_suppkey, CAST(floor(max(value) FILTER (w = -1) * 10 + 0.5) AS BIGINT) AS integrated_tenths, CAST(floor(max(value) FILTER (w >= 0) * 10 + 0.5) AS BIGINT) AS short_term_tenths
         FROM v GROUP BY s_suppkey""",
+    # From 50 ms before the second sample of the tone (its first is 0) to 300 ms after its last; 12 dB more meet the ceiling of -1 dB.
+    "sound_lengths": f"""
+        WITH s AS (SELECT s_suppkey, {RATE} * (1 + s_suppkey % 4) - 2 + {RATE} * 3 // 10 + {RATE} // 20 AS n FROM supplier)
+        SELECT s_suppkey, CAST(44 + n * 4 AS BIGINT) AS n_bytes, CAST(floor(n * 44100.0::DOUBLE / {RATE} + 0.5) AS BIGINT) AS frames,
+               CAST(floor(32767 * CASE s_suppkey % 3 WHEN 0 THEN 0.5::DOUBLE * pow(10.0::DOUBLE, -0.3::DOUBLE) WHEN 1 THEN 0.5::DOUBLE ELSE pow(10.0::DOUBLE, -0.05::DOUBLE) END + 0.5) AS INTEGER) AS peak
+        FROM s""",
 }
