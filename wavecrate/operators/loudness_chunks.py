@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wavecrate.functions import loudness as L
 from wavecrate.functions.signal import biquad, js_round
+from wavecrate.sources.tables import shared_path
 
 CHUNK = "track long, channel int, chunk long, rate int, samples array<float>"
 KEY = ["track", "channel", "chunk"]
@@ -65,26 +66,39 @@ def _states(chunks: pd.DataFrame) -> pd.DataFrame:
 
 def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        found = []
         for row in batch.itertuples():
             size, hop, n = int(js_round(0.4 * row.rate)), int(js_round(0.1 * row.rate)), len(row.samples)
             squares = np.concatenate([[0.0], np.cumsum(_filtered(np.asarray(row.samples, np.float32), row.rate, np.asarray(row.state))[0].astype(np.float64) ** 2)])
             blocks = np.arange(max(0, -(-(row.start - size + 1) // hop)), (row.start + n - 1) // hop + 1)
             lo, hi = (np.clip(blocks * hop + x - row.start, 0, n) for x in (0, size))
-            yield pd.DataFrame({"track": row.track, "channel": row.channel, "block": blocks, "energy": squares[hi] - squares[lo]})
+            found.append(pd.DataFrame({"track": row.track, "channel": row.channel, "block": blocks, "energy": squares[hi] - squares[lo]}))
+        if found:
+            yield pd.concat(found)
 
 
 def _samples(seconds: float) -> Column:
     return F.floor(F.col("rate") * seconds + 0.5)
 
 
-def blocks(chunks: DataFrame) -> DataFrame:
+def ends(chunks: DataFrame) -> DataFrame:
+    """The first pass, written to the shared folder: of each chunk its length and the filters' state after it from silence."""
+    return _kept(chunks.mapInPandas(_ends, "track long, channel int, chunk long, rate int, n long, end array<double>"), "ends")
+
+
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def blocks(chunks: DataFrame, ends: DataFrame) -> DataFrame:
     """Track, rate, n (samples), block, start, size and power (the channels' mean squares with their gains) of all whole blocks."""
-    ends = chunks.mapInPandas(_ends, "track long, channel int, chunk long, rate int, n long, end array<double>")
     states = ends.groupBy("track", "channel").applyInPandas(_states, "track long, channel int, chunk long, start long, state array<double>")
     sums = chunks.join(states, KEY).mapInPandas(_block_sums, "track long, channel int, block long, energy double")
     gains = F.coalesce(F.get(F.array(*map(F.lit, L.CHANNEL_GAINS)), F.col("channel")), F.lit(1.0))
     power = sums.groupBy("track", "block").agg(F.sum(F.col("energy") * gains).alias("energy"))
-    lengths = chunks.filter("channel = 0").groupBy("track").agg(F.max("rate").alias("rate"), F.sum(F.size("samples")).alias("n"))
+    lengths = ends.filter("channel = 0").groupBy("track").agg(F.max("rate").alias("rate"), F.sum("n").alias("n"))
     placed = power.join(lengths, "track").withColumn("size", _samples(0.4)).withColumn("start", F.col("block") * _samples(0.1))
     return placed.filter("start + size <= n").select("track", "rate", "n", "block", "start", "size", (F.col("energy") / F.col("size")).alias("power"))
 
@@ -103,8 +117,12 @@ def gated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def loudness(chunks: DataFrame) -> DataFrame:
-    """Track, integrated and short_term_max (the loudest 3 s every second; the integrated one if shorter) of every track; null if silent."""
-    found = blocks(chunks)
+    """Track, integrated and short_term_max (the loudest 3 s every second; the integrated one if shorter) of every track; null if silent.
+
+    Samples are read twice, once a pass; what each pass finds is written, as it is used more than once.
+    """
+    first = ends(chunks)
+    found = _kept(blocks(chunks, first), "blocks")
     whole = gated(found, ["track"]).withColumnRenamed("value", "integrated")
     span, hop = _samples(3.0), _samples(1.0)
     low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("start") + F.col("size") - span) / hop))
@@ -112,5 +130,5 @@ def loudness(chunks: DataFrame) -> DataFrame:
     inside = F.when((F.col("n") >= span) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
     windows = gated(found.select("track", "power", F.explode(inside).alias("window")), ["track", "window"])
     short = windows.groupBy("track").agg(F.max("value").alias("short_term_max"))
-    out = chunks.select("track").distinct().join(whole, "track", "left").join(short, "track", "left")
+    out = first.select("track").distinct().join(whole, "track", "left").join(short, "track", "left")
     return out.select("track", "integrated", F.coalesce("short_term_max", "integrated").alias("short_term_max"))

@@ -15,6 +15,7 @@ from wavecrate.sources import audio
 from wavecrate.sources.tables import load
 
 RATE, SECONDS, QUIET_SECONDS, QUIET, CHUNK_SECONDS = 8_000, 12, 4, 0.02, 2.5
+ROWS = 64  # chunks of a task, and at most of one Arrow batch
 
 
 def _tones(spark: SparkSession, d: str) -> DataFrame:
@@ -22,15 +23,22 @@ def _tones(spark: SparkSession, d: str) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for key, chunk in zip(batch["s_suppkey"].tolist(), batch["chunk"].tolist(), strict=True):
                 size = int(CHUNK_SECONDS * RATE)
                 at = np.arange(chunk * size, min(SECONDS * RATE, (chunk + 1) * size))
                 wave = np.sin(2 * np.pi * (400 + key % 10 * 200) * at / RATE) * np.where(at < QUIET_SECONDS * RATE, QUIET, 0.1 + key % 10 * 0.05)
-                yield pd.DataFrame({"track": key, "channel": [0, 1], "chunk": chunk, "rate": RATE, "samples": [wave.astype(np.float32), (wave / 2).astype(np.float32)]})
+                rows += [(key, c, chunk, RATE, (wave / (c + 1)).astype(np.float32)) for c in range(2)]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples"])
 
     chunks = -(-SECONDS * RATE // int(CHUNK_SECONDS * RATE))
     keys = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    return keys.repartition("s_suppkey", "chunk").mapInPandas(made, C.CHUNK)
+    tasks = max(1, -(-keys.count() // ROWS))  # one number; few keys stand for much sound, so sizes alone would put them in one task
+    return keys.repartition(tasks, "s_suppkey", "chunk").mapInPandas(made, C.CHUNK)
 
 
 def sound_loudness(spark: SparkSession, d: str) -> DataFrame:
