@@ -136,7 +136,9 @@ def scan(docs: DataFrame, rare: list[list[str]] | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(text.rlike(any_rare), text).otherwise("").alias("__text"))
     rows = rows.withColumn("__words", F.regexp_extract_all(lowered(F.col("__text")), F.lit(WORD), 0)).drop("__text")
     nothing = F.array().cast("array<struct<t:int,q:int>>")
-    starts = F.flatten(F.transform("__words", lambda w, p: F.transform(F.coalesce(F.try_element_at(where, w), nothing), lambda x: F.struct(x["t"].alias("t"), (p - x["q"]).alias("start")))))
+    # Few words propose: those are found by a set first, and only they are looked up in the postings.
+    hits = F.array_compact(F.transform("__words", lambda w, p: F.when(w.isin(*postings), F.struct(w.alias("w"), p.alias("p")))))
+    starts = F.flatten(F.transform(hits, lambda h: F.transform(F.coalesce(F.try_element_at(where, h["w"]), nothing), lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["q"]).alias("start")))))
     rows = rows.withColumn("__starts", F.array_distinct(starts))
     words = F.col("__words")
 
