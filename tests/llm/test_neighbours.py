@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force, and the registered SQL of this subpackage."""
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SF
 from tests.test_queries import bag
@@ -79,3 +80,33 @@ def test_projections_grow_with_the_table():
             hit |= np.isin(own, visited)
         shares.append(hit.mean())
     assert np.mean(shares) > 0.95
+
+
+def test_small_parts_and_blocks_change_no_answer(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>, label int")
+    whole = sorted(map(tuple, neighbours.search(rows).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "PART_BYTES", 1_000)
+    assert sorted(map(tuple, neighbours.search(rows).collect())) == whole
+
+
+def test_parts_stream_over_batches():
+    """Two parts, one without vectors, cut into batches of any size: each query's best of its spots."""
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(500, 6)), rng.normal(size=(600, 6))
+    spots = rng.integers(0, 5, 500)
+    rows = [(0, False, k, x[k].tolist(), [int(spots[k])]) for k in range(500)]
+    rows += [(0, True, 1_000 + k, q[k].tolist(), [k % 5, (k + 1) % 5, 9]) for k in range(600)] + [(1, True, 5_000, q[0].tolist(), [1])]
+    names = ["part", "asks", "id", "vector", "spots"]
+    for size in (7, 300, 2_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[lo : lo + size], strict=True)], names) for lo in range(0, len(rows), size)]
+        got: dict[int, list] = {}
+        for b in neighbours._score(4)(iter(batches)):
+            for qid, cid, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.setdefault(qid, []).append((cid, score))
+        assert len(got) == 600
+        for k in range(600):
+            mine = np.flatnonzero(np.isin(spots, (k % 5, (k + 1) % 5)))
+            scores = neighbours.in_order(q[k], x[mine])
+            assert got[1_000 + k] == [(int(mine[j]), float(scores[j])) for j in np.argsort(-scores)[:4]]

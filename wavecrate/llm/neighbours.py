@@ -15,7 +15,9 @@ near (clusters), and nearly all of it where they aren't: among directions withou
 
 Equal vectors are one class (its TOP + 1 smallest ids are all that an answer can need), so a vector that fills a third
 of the table is indexed once. Large buckets are split into blocks of BLOCK classes, and every block is visited: no
-candidate of a visited bucket is dropped.
+candidate of a visited bucket is dropped. Blocks are gathered in parts of up to PART_BYTES of vectors. A part is sent
+once, before the queries that visit it, which stream past it ASKED at a time: neither is copied for the other's sake,
+and a query gets TOP + 1 classes from a part, however many buckets and tables it visits there.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor those whose
 length isn't that of the row with the smallest id; null ids take no part; rows that repeat an id and vector count once;
@@ -36,7 +38,7 @@ from wavecrate.llm.common import materialise, table
 TOP, EVERY = 20, 20
 TABLES, WIDTH, TARGET = 3, 2.0, 0.985
 FILL, SLOTS, MOST_HASHES = 128, 2.7, 15  # vectors of a bucket; slots that a projection fills in effect; a code has 4 bits each
-SAMPLE, BLOCK, PART, ASKED, REACH = 256, 4_096, 16_384, 8_192, 2
+SAMPLE, BLOCK, PART_BYTES, ASKED, REACH = 256, 4_096, 64 << 20, 256, 2
 ROUNDING = 1e-9  # of the largest product; far over what summing in another order can change
 
 
@@ -199,43 +201,70 @@ def _kept(scores: np.ndarray, keep: int) -> np.ndarray:
     return np.flatnonzero(scores >= last - ROUNDING * max(1e-300, float(np.abs(scores).max())))
 
 
+class Part:
+    """The vectors of one part by spot."""
+
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        self.rows_of: dict[int, np.ndarray] = {}
+        if not rows:
+            return
+        data = pa.Table.from_batches(rows)
+        self.ids, self.x = data["id"].to_numpy(), matrix(data["vector"])
+        spot = data["spots"].combine_chunks().flatten().to_numpy()  # one each
+        order = np.argsort(spot, kind="stable")
+        spots, first = np.unique(spot[order], return_index=True)
+        self.rows_of = dict(zip(spots.tolist(), np.split(order, first[1:]), strict=True))
+
+    def best(self, asked: pa.RecordBatch, keep: int) -> pa.RecordBatch:
+        """The best `keep` classes of each query of the batch among the spots it visits."""
+        qids, q = asked.column("id").to_numpy(), matrix(asked.column("vector"))
+        visits: dict[int, list[int]] = {}
+        for k, own in enumerate(asked.column("spots").to_pylist()):
+            for spot in own:
+                visits.setdefault(spot, []).append(k)
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qids]
+        for spot, askers in visits.items():
+            mine = self.rows_of.get(spot)
+            if mine is None:  # a block that got none of its bucket's classes
+                continue
+            for k, row in zip(askers, q[askers] @ self.x[mine].T, strict=True):
+                best = _kept(row, keep)
+                found[k].append((row[best], mine[best]))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for k, parts in enumerate(found):
+            if not parts:
+                continue
+            rough, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            _, once = np.unique(self.ids[at], return_index=True)  # a class may come from several tables
+            at = at[once][_kept(rough[once], keep)]
+            exact = in_order(q[k], self.x[at])
+            order = np.lexsort((self.ids[at], -exact))[:keep]
+            out.append((np.full(len(order), qids[k]), self.ids[at][order], exact[order]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["qid", "cid", "score"])
+
+
 def _score(keep: int):
-    def group(data: pa.Table, asked: pa.Table) -> pa.Table:
-        """The best `keep` classes of each query among the buckets of one part."""
-        qid, cid, score = [], [], []
-        if data.num_rows and asked.num_rows:
-            ids, x = data["cid"].to_numpy(), matrix(data["vector"])
-            where = data["spot"].to_numpy()
-            order = np.argsort(where, kind="stable")
-            spots, first = np.unique(where[order], return_index=True)
-            rows_of = dict(zip(spots.tolist(), np.split(order, first[1:]), strict=True))
-            qids, q = asked["qid"].to_numpy(), matrix(asked["vector"])
-            visits: dict[int, list[int]] = {}
-            for k, own in enumerate(asked["spots"].to_pylist()):
-                for spot in own:
-                    visits.setdefault(spot, []).append(k)
-            found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qids]
-            for spot, askers in visits.items():
-                mine = rows_of.get(spot)
-                for lo in range(0, len(askers) if mine is not None else 0, 256):
-                    some = askers[lo : lo + 256]
-                    for k, row in zip(some, q[some] @ x[mine].T, strict=True):
-                        best = _kept(row, keep)
-                        found[k].append((row[best], mine[best]))
-            for k, parts in enumerate(found):
-                if parts:
-                    rough, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                    _, once = np.unique(ids[at], return_index=True)  # a class may come from several tables
-                    at = at[once][_kept(rough[once], keep)]
-                    exact = in_order(q[k], x[at])
-                    order = np.lexsort((ids[at], -exact))[:keep]
-                    qid.append(np.full(len(order), qids[k]))
-                    cid.append(ids[at][order])
-                    score.append(exact[order])
-        cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"qid": cat(qid, np.int64), "cid": cat(cid, np.int64), "score": cat(score, np.float64)})
-
-    return group
+    """Over rows in the order of part and asks: each part's vectors, then its queries in slices of ASKED."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, gathered, part = None, [], None
+        for batch in batches:
+            kind = np.stack([batch.column("part").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False).astype(np.int64)])
+            edges = np.flatnonzero((kind[:, 1:] != kind[:, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                if kind[0, lo] != number:
+                    number, gathered, part = kind[0, lo], [], None
+                if not kind[1, lo]:
+                    gathered.append(batch.slice(lo, hi - lo))
+                    continue
+                if part is None:
+                    part, gathered = Part(gathered), []
+                for at in range(lo, hi, ASKED):
+                    yield part.best(batch.slice(at, min(ASKED, hi - at)), keep)
+
+    return rows
 
 
 def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
@@ -251,20 +280,20 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     index = distinct.select("cid", "vector").mapInArrow(_index_rows(hashing), "cid long, vector array<double>, tbl int, bucket long")
     index = materialise(index, "index")
     filled = index.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = max(1, -(-distinct.count() * TABLES // PART))  # a part returns TOP + 1 classes a query, so few are better
+    # Parts of PART_BYTES at most, fewer vectors where cores would idle; the number changes no answer.
+    held = distinct.count() * TABLES
+    parts = max(-(-held * 8 * hashing.axes.shape[1] // PART_BYTES), min(-(-held // BLOCK), 2 * spark.sparkContext.defaultParallelism))
     spot = F.xxhash64("tbl", "bucket", "block")
     part = F.pmod(F.col("spot"), F.lit(parts)).alias("part")
-    data = index.join(filled, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("spot", spot).select(part, "spot", "cid", "vector")
+    data = index.join(filled, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("spot", spot)
+    data = data.select(part, F.lit(False).alias("asks"), F.col("cid").alias("id"), "vector", F.array("spot").alias("spots"))
     sought = distinct.join(asks.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vector")
     probes = sought.mapInArrow(_probe_rows(hashing), "qid long, tbl int, bucket long").join(filled, ["tbl", "bucket"])
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("spot", spot)
     # A query goes to a part once, with all the spots it visits there.
     visits = materialise(probes.select("qid", part, "spot").groupBy("part", "qid").agg(F.collect_set("spot").alias("spots")), "visits")
-    # A part that over ASKED queries visit is dealt out to several tasks, a share of the queries each.
-    shares = visits.groupBy("part").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares"))
-    data = data.join(shares, "part").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    asked = visits.join(shares, "part").withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int")).drop("shares").join(sought.withColumnRenamed("cid", "qid"), "qid")
-    found = data.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(_score(top + 1), "qid long, cid long, score double")
+    asked = visits.join(sought.withColumnRenamed("cid", "qid"), "qid").select("part", F.lit(True).alias("asks"), F.col("qid").alias("id"), "vector", "spots")
+    found = data.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(_score(top + 1), "qid long, cid long, score double")
     found = found.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     found = found.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= top + 1)
