@@ -262,3 +262,24 @@ def test_empty_tables(spark, empty):
 
 def test_rows_without_id(nameless):
     assert [f.count() for f in all_of(nameless)] == [2] * 8
+
+
+def test_an_answer_file_that_another_attempt_wrote_stays(tmp_path):
+    from pyarrow import fs
+
+    from wavecrate.llm import suffix_dedup
+
+    class Strict(fs.LocalFileSystem):
+        """Moves onto no file that exists, as some stores do."""
+
+        def move(self, src, dest):
+            if self.get_file_info(dest).type != fs.FileType.NotFound:
+                raise FileExistsError(dest)
+            super().move(src, dest)
+
+    system, name = Strict(), str(tmp_path / "7")
+    for attempt in range(3):
+        draft = tmp_path / f"7.{attempt}"
+        draft.write_bytes(b"answer")
+        suffix_dedup._published(system, str(draft), name, 6)
+        assert [p.name for p in tmp_path.iterdir()] == ["7"] and (tmp_path / "7").read_bytes() == b"answer"
