@@ -293,7 +293,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     # A query goes to a part once, with all the spots it visits there.
     visits = materialise(probes.select("qid", part, "spot").groupBy("part", "qid").agg(F.collect_set("spot").alias("spots")), "visits")
     asked = visits.join(sought.withColumnRenamed("cid", "qid"), "qid").select("part", F.lit(True).alias("asks"), F.col("qid").alias("id"), "vector", "spots")
-    found = data.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(_score(top + 1), "qid long, cid long, score double")
+    found = data.unionByName(asked).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "asks").mapInArrow(_score(top + 1), "qid long, cid long, score double")
     found = found.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     found = found.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= top + 1)
