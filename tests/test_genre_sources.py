@@ -149,3 +149,9 @@ def test_limiter_sample_by_sample():
             now = goal if goal < now else goal + (now - goal) * rest
             gain.append(now)
         assert np.allclose(loudness.limit([x], sr)[0], np.clip(x * np.array(gain, np.float32), -top, top), atol=1e-5)
+
+
+def test_common_run_of_columns(spark):
+    rows = spark.createDataFrame([("abcd", "xbcdbc"), ("", "a"), (None, "a"), ("ab", "ba"), ("ёж", "жёж")], "a string, b string")
+    got = [tuple(r.r) if r.r else None for r in rows.select(fuzzy.common_run_udf("a", "b").alias("r")).collect()]
+    assert got == [(1, 1, 3), (0, 0, 0), (None, None, None), (0, 1, 1), (0, 1, 2)]

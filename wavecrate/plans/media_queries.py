@@ -1,5 +1,5 @@
-"""Queries over composed names, bytes and generated signals. similar_titles, sound_analysis and sound_rendering have no SQL; tests hold
-them to plain versions and analytic values."""
+"""Queries over composed names, bytes and generated signals. sound_analysis and sound_rendering have no SQL; tests hold
+them to analytic values."""
 
 from __future__ import annotations
 
@@ -28,6 +28,14 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.best_candidates(part.join(candidates, F.col("id") == F.col("near")), "id", "place").select("id", "place", "core_sim", "title_sim", "artist_sim")
 
 
+def name_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Each part's name beside the next part's brand and name: where and how long their longest common run is, and how similar they are."""
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("own"), F.concat_ws(" ", "p_brand", "p_name").alias("other"))
+    both = part.select("id", "own").join(part.select((F.col("id") - 1).alias("id"), "other"), "id")
+    run = fuzzy.common_run_udf(F.col("own"), F.col("other"))
+    return both.withColumn("run", run).select("id", "run.own_start", "run.other_start", "run.size", fuzzy.similarity_udf(F.col("own"), F.col("other")).alias("sim"))
+
+
 def transliterate(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat(p_name, ' Voina (club mix) ', p_brand)")
     return load(spark, d, "part").select("p_partkey", fuzzy.cyrillic_udf(text).alias("cyrillic"), fuzzy.ascii_udf(fuzzy.cyrillic_udf(text)).alias("back"), names.looks_transliterated(text).alias("marked"))
@@ -158,7 +166,7 @@ def stream_failures(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").groupBy("user_id", "day").agg(F.max_by("n", "number").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (similar_titles, transliterate, split_titles, identify_chain, candidate_search, tag_readers, sound_analysis, sound_tempo, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
+QUERIES = {f.__name__: f for f in (similar_titles, name_ratios, transliterate, split_titles, identify_chain, candidate_search, tag_readers, sound_analysis, sound_tempo, sound_rendering, lookup_replies, resolve_chain, stream_failures)}
 
 # The letters as SQL has them, spelt here once more so that the query is held to them and not to its own tables.
 _CYRILLIC = """MAP {
@@ -181,6 +189,20 @@ def _cyrillic_sql(text: str) -> str:
 
 
 _BACK = f"array_to_string([coalesce(CASE WHEN x = lower(x) THEN ({_LATIN})[x] ELSE upper(({_LATIN})[lower(x)][1:1]) || ({_LATIN})[lower(x)][2:] END, x) for x in string_split(cyrillic, '')], '')"
+#: DuckDB, after pairs p (a, b, p): cells of equal letters, their runs along the diagonals, the longest run of what is left of each
+#: pair in turn, and the ratio s.
+_RATIOS = """
+        x AS (SELECT p, b, a[i] AS letter, i FROM (SELECT p, a, b, unnest(range(1, len(a) + 1)) AS i FROM p)),
+        cell AS (SELECT p, i, j FROM (SELECT p, b, letter, i, unnest(range(1, len(b) + 1)) AS j FROM x) WHERE letter = b[j]),
+        island AS (SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS island FROM cell),
+        run AS (SELECT p, i, j, count(*) OVER (PARTITION BY p, i - j, island ORDER BY i DESC) AS k FROM island),
+        rest AS (
+            SELECT p, CAST(1 AS BIGINT) AS a0, len(a) + 1 AS a1, CAST(1 AS BIGINT) AS b0, len(b) + 1 AS b1, CAST(0 AS BIGINT) AS n FROM p
+            UNION ALL
+            SELECT p, unnest([a0, m[1] - m[2]]), unnest([-m[2], a1]), unnest([b0, m[1] - m[3]]), unnest([-m[3], b1]), unnest([m[1], 0])
+            FROM (SELECT rest.p, a0, a1, b0, b1, max([least(k, a1 - i, b1 - j), -i, -j]) AS m FROM rest JOIN run ON run.p = rest.p AND i >= a0 AND i < a1 AND j >= b0 AND j < b1 GROUP BY ALL)),
+        s AS (SELECT a, b, 2.0::DOUBLE * sum(n) / (len(a) + len(b)) AS s FROM rest JOIN p ON p.p = rest.p GROUP BY a, b)"""
+
 ORACLE = {
     "transliterate": f"""
         WITH c AS (SELECT p_partkey, p_name, p_brand, {_cyrillic_sql("p_name || ' Voina '")} || '(club mix)' || {_cyrillic_sql("' ' || p_brand")} AS cyrillic FROM part)
@@ -189,6 +211,24 @@ ORACLE = {
         WITH v AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN '(DJ One Extended Remix)' WHEN 1 THEN '(Live Version)' ELSE '(feat. Other)' END AS version FROM part)
         SELECT p_partkey, p_name AS core, version, CASE WHEN p_partkey % 3 = 0 THEN 'DJ One Extended' ELSE '' END AS remixer, p_name || ' ' || version AS merged FROM v""",
     "identify_chain": "SELECT p_partkey AS id, 'songs' AS stage, p_partkey % 3 = 1 AS via_transliteration FROM part WHERE p_partkey % 3 < 2",
+    "name_ratios": f"""
+        WITH RECURSIVE w AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS own, p_brand || ' ' || p_name AS other FROM part),
+        c AS (SELECT w.id, w.own, o.other FROM w JOIN w AS o ON o.id = w.id + 1),
+        f AS (SELECT *, regexp_replace(lower(own), '[^a-z0-9 ]', '', 'g') AS own_form, regexp_replace(lower(other), '[^a-z0-9 ]', '', 'g') AS other_form FROM c),
+        p AS (SELECT a, b, row_number() OVER () AS p FROM (SELECT own AS a, other AS b FROM f UNION SELECT own_form, other_form FROM f)),
+        {_RATIOS},
+        longest AS (SELECT p, max([k, -i, -j]) AS m FROM run GROUP BY p)
+        SELECT id, CAST(coalesce(-m[2] - 1, 0) AS BIGINT) AS own_start, CAST(coalesce(-m[3] - 1, 0) AS BIGINT) AS other_start, CAST(coalesce(m[1], 0) AS BIGINT) AS size, s AS sim
+        FROM f JOIN s ON s.a = own_form AND s.b = other_form JOIN p ON p.a = own AND p.b = other LEFT JOIN longest ON longest.p = p.p""",
+    "similar_titles": f"""
+        WITH RECURSIVE w AS (SELECT p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9 ]', '', 'g') AS artist, regexp_replace(lower(p_name), '[^a-z0-9 ]', '', 'g') AS title FROM part),
+        c AS (SELECT id, 0 AS place, artist, title, artist AS cand_artist, 'the ' || title AS cand_title, 'the ' || title AS cand_core FROM w
+              UNION ALL SELECT w.id, 1, w.artist, w.title, o.artist, o.title || ' radio edit', o.title FROM w JOIN w AS o ON o.id = w.id + 1),
+        p AS (SELECT a, b, row_number() OVER () AS p FROM (SELECT artist AS a, cand_artist AS b FROM c UNION SELECT title, cand_title FROM c UNION SELECT title, cand_core FROM c)),
+        {_RATIOS},
+        g AS (SELECT id, place, o.s AS core_sim, t.s AS title_sim, r.s AS artist_sim FROM c JOIN s t ON t.a = title AND t.b = cand_title JOIN s r ON r.a = artist AND r.b = cand_artist JOIN s o ON o.a = title AND o.b = cand_core
+              WHERE t.s >= {fuzzy.MIN_TITLE} AND r.s >= {fuzzy.MIN_ARTIST} AND o.s >= {fuzzy.MIN_CORE})
+        SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY core_sim * 2 + title_sim + artist_sim DESC, place) = 1""",
     "candidate_search": f"""
         WITH q AS (SELECT DISTINCT upper(p_brand) AS artist, translate(p_name, 'e', 'a') || ' mix' AS title FROM part), c AS (SELECT DISTINCT p_brand AS artist, p_name AS title FROM part),
         x AS (SELECT artist AS t FROM q UNION SELECT title FROM q UNION SELECT artist FROM c UNION SELECT title FROM c),
