@@ -1,19 +1,22 @@
 """Loudness of sounds whose samples lie in many tasks.
 
-A sound is rows (track, channel, chunk, rate, samples), a chunk some seconds of one channel. The two filters' states at
-the start of a chunk follow from its own samples and the state before by an affine map, so one pass filters every chunk
-from silence and keeps six numbers of each; these are composed in order; a second pass filters every chunk from its true
-state and adds its squares to the blocks it overlaps. Blocks and windows are rows, both gates are aggregations. No task
-holds more than a chunk, or six numbers for each chunk of a channel.
+A sound is rows (track, channel, chunk, rate, samples), a chunk some seconds of one channel, with start (samples of its
+channel before it) where the source knows it. The filters are linear: what a chunk gives is what it gives from silence plus
+what the state before it (six numbers) rings on. So one pass over the samples keeps, of each chunk, the state after it from
+silence, and of each block that it overlaps the energy from silence and its products with the six ways of ringing; the
+states are composed from these in order, and with them the true energies. Samples never leave the task that made them.
+Blocks and windows are rows, both gates are aggregations. No task holds more than its chunks, or seven numbers for each
+block of a channel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.functions import loudness as L
@@ -22,6 +25,8 @@ from wavecrate.sources.tables import shared_path
 
 CHUNK = "track long, channel int, chunk long, rate int, samples array<float>"
 KEY = ["track", "channel", "chunk"]
+PART = "track long, channel int, chunk long, rate int, start long, n long, end array<double>, block long, energies array<double>, products array<double>"
+FADED = 1e-18
 
 
 def _filtered(x: np.ndarray, rate: float, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,44 +51,90 @@ def step(rate: float) -> np.ndarray:
     return np.array([np.zeros(6), [1, 0, 0, 0, 0, 0], middle, [0, 0, 1, 0, 0, 0], out, [0, 0, 0, 0, 1, 0]])
 
 
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ends = [_filtered(np.asarray(x, np.float32), r, np.zeros(6))[1] for x, r in zip(batch["samples"], batch["rate"], strict=True)]
-        yield batch[[*KEY, "rate"]].assign(n=[len(x) for x in batch["samples"]], end=ends)
+@lru_cache(maxsize=16)
+def _ringing(rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """What six states ring on into silence until it no longer counts (samples by six), and sums of its products up to each sample."""
+    one, rows, now = step(rate), [], np.eye(6)
+    largest = 0.0
+    while True:
+        now = one @ now
+        rows.append(now[4])
+        size = float(np.abs(now).max())
+        largest = max(largest, size)
+        if size < FADED * largest:
+            break
+    ring = np.array(rows)
+    return ring, np.concatenate([np.zeros((1, 6, 6)), np.cumsum(ring[:, :, None] * ring[:, None, :], axis=0)])
+
+
+def _blocks(start: int, n: int, rate: float, first: int | None = None, count: int | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first block that a chunk overlaps, and where each one begins and ends in it."""
+    size, hop = int(js_round(0.4 * rate)), int(js_round(0.1 * rate))
+    first = max(0, -(-(start - size + 1) // hop)) if first is None else first
+    count = max(0, (start + n - 1) // hop + 1 - first) if count is None else count
+    at = (first + np.arange(count)) * hop - start
+    return first, np.clip(at, 0, n), np.clip(at + size, 0, n)
 
 
-def _states(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Where each chunk of one channel starts, and its state there."""
-    chunks = chunks.sort_values("chunk")
-    one, power, state, start, rows = step(float(chunks["rate"].iloc[0])), {}, np.zeros(6), 0, []
-    for n, end in zip(chunks["n"], chunks["end"], strict=True):
-        rows.append((start, state))
-        if n not in power:
-            power[n] = np.linalg.matrix_power(one, int(n))
-        state, start = power[n] @ state + np.asarray(end), start + n
-    return chunks[KEY].assign(start=[s for s, _ in rows], state=[x for _, x in rows])
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate([*rows, np.zeros(0)]))
 
 
-def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for row in batch.itertuples():
-            size, hop, n = int(js_round(0.4 * row.rate)), int(js_round(0.1 * row.rate)), len(row.samples)
-            squares = np.concatenate([[0.0], np.cumsum(_filtered(np.asarray(row.samples, np.float32), row.rate, np.asarray(row.state))[0].astype(np.float64) ** 2)])
-            blocks = np.arange(max(0, -(-(row.start - size + 1) // hop)), (row.start + n - 1) // hop + 1)
-            lo, hi = (np.clip(blocks * hop + x - row.start, 0, n) for x in (0, size))
-            found.append(pd.DataFrame({"track": row.track, "channel": row.channel, "block": blocks, "energy": squares[hi] - squares[lo]}))
-        if found:
-            yield pd.concat(found)
+        samples, rows = batch.column("samples"), {"n": [], "end": [], "block": [], "energies": [], "products": []}
+        for k, (rate, start) in enumerate(zip(batch.column("rate").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+            found = samples[k].values
+            x = np.zeros(0, np.float32) if found is None else found.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+            y, end = _filtered(x, rate, np.zeros(6))
+            y, (ring, _) = y.astype(np.float64), _ringing(rate)
+            first, lo, hi = _blocks(start, len(x), rate)
+            squares = np.concatenate([[0.0], np.cumsum(y * y)])
+            m = min(len(ring), len(y))
+            products = np.concatenate([np.zeros((1, 6)), np.cumsum(ring[:m] * y[:m, None], axis=0)])
+            for name, value in zip(rows, (len(x), end, first, squares[hi] - squares[lo], (products[np.minimum(hi, m)] - products[np.minimum(lo, m)]).ravel()), strict=True):
+                rows[name].append(value)
+        made = {name: pa.array(rows[name], pa.int64()) if name in ("n", "block") else _lists(rows[name]) for name in rows}
+        yield pa.RecordBatch.from_pydict({name: made[name] if name in made else batch.column(name) for name in (c.split()[0] for c in PART.split(", "))})
+
+
+def _energies(parts: pa.Table) -> pa.Table:
+    """True energies of one channel's blocks, a row for each chunk that overlaps them."""
+    state, blocks, energies, cache = np.zeros(6), [], [], {}
+    parts = parts.sort_by("chunk")
+    for row in parts.select(["rate", "start", "n", "end", "block", "energies", "products"]).to_pylist():
+        n, rate, count = row["n"], row["rate"], len(row["energies"])
+        _, sums = _ringing(rate)
+        _, lo, hi = _blocks(row["start"], n, rate, row["block"], count)
+        rung = np.einsum("i,bij,j->b", state, sums[np.minimum(hi, len(sums) - 1)] - sums[np.minimum(lo, len(sums) - 1)], state)
+        energies.append(np.maximum(0.0, row["energies"] + 2 * np.reshape(row["products"], (count, 6)) @ state + rung))
+        blocks.append(row["block"] + np.arange(count))
+        if (rate, n) not in cache:
+            cache[rate, n] = np.linalg.matrix_power(step(float(rate)), n)
+        state = cache[rate, n] @ state + np.array(row["end"])
+    block = np.concatenate(blocks)
+    same = {name: pa.array([parts[name][0].as_py()] * len(block), kind) for name, kind in (("track", pa.int64()), ("channel", pa.int32()))}
+    return pa.table(same | {"block": block, "energy": np.concatenate(energies)})
+
+
+def with_start(chunks: DataFrame) -> DataFrame:
+    """Chunks with their start: from the lengths of those before, where the source hasn't given it."""
+    if "start" in chunks.columns:
+        return chunks
+    before = Window.partitionBy("track", "channel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = chunks.select(*KEY, F.coalesce(F.array_size("samples"), F.lit(0)).alias("n"))
+    # The optimizer can't tell how long the samples are and would send them to all.
+    return chunks.join(lengths.select(*KEY, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).hint("merge"), KEY)
 
 
 def _samples(seconds: float) -> Column:
     return F.floor(F.col("rate") * seconds + 0.5)
 
 
-def ends(chunks: DataFrame) -> DataFrame:
-    """The first pass, written to the shared folder: of each chunk its length and the filters' state after it from silence."""
-    return _kept(chunks.mapInPandas(_ends, "track long, channel int, chunk long, rate int, n long, end array<double>"), "ends")
+def parts(chunks: DataFrame) -> DataFrame:
+    """The pass over the samples, written to the shared folder."""
+    rows = with_start(chunks).select(*KEY, "rate", F.col("start").cast("long").alias("start"), "samples")
+    return _kept(rows.mapInArrow(_parts, PART), "parts")
 
 
 def _kept(rows: DataFrame, label: str) -> DataFrame:
@@ -92,13 +143,12 @@ def _kept(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def blocks(chunks: DataFrame, ends: DataFrame) -> DataFrame:
+def blocks(parts: DataFrame) -> DataFrame:
     """Track, rate, n (samples), block, start, size and power (the channels' mean squares with their gains) of all whole blocks."""
-    states = ends.groupBy("track", "channel").applyInPandas(_states, "track long, channel int, chunk long, start long, state array<double>")
-    sums = chunks.join(states, KEY).mapInPandas(_block_sums, "track long, channel int, block long, energy double")
+    sums = parts.groupBy("track", "channel").applyInArrow(_energies, "track long, channel int, block long, energy double")
     gains = F.coalesce(F.get(F.array(*map(F.lit, L.CHANNEL_GAINS)), F.col("channel")), F.lit(1.0))
     power = sums.groupBy("track", "block").agg(F.sum(F.col("energy") * gains).alias("energy"))
-    lengths = ends.filter("channel = 0").groupBy("track").agg(F.max("rate").alias("rate"), F.sum("n").alias("n"))
+    lengths = parts.filter("channel = 0").groupBy("track").agg(F.max("rate").alias("rate"), F.sum("n").alias("n"))
     placed = power.join(lengths, "track").withColumn("size", _samples(0.4)).withColumn("start", F.col("block") * _samples(0.1))
     return placed.filter("start + size <= n").select("track", "rate", "n", "block", "start", "size", (F.col("energy") / F.col("size")).alias("power"))
 
@@ -116,19 +166,28 @@ def gated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(lufs(F.avg("power")).alias("value"))
 
 
+def gated_short(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A6 for keys of a bounded number of blocks, which one aggregation brings together."""
+    mean = lambda powers: F.aggregate(powers, F.lit(0.0), lambda s, x: s + x) / F.size(powers)
+    loud = rows.filter(lufs(F.col("power")) > L.ABSOLUTE_GATE).groupBy(*keys).agg(F.array_sort(F.collect_list("power")).alias("powers"))
+    gate = loud.withColumn("gate", lufs(mean(F.col("powers"))) - L.RELATIVE_GATE)
+    kept = gate.withColumn("powers", F.filter("powers", lambda x: lufs(x) > F.col("gate"))).filter("size(powers) > 0")
+    return kept.select(*keys, lufs(mean(F.col("powers"))).alias("value"))
+
+
 def loudness(chunks: DataFrame) -> DataFrame:
     """Track, integrated and short_term_max (the loudest 3 s every second; the integrated one if shorter) of every track; null if silent.
 
-    Samples are read twice, once a pass; what each pass finds is written, as it is used more than once.
+    Samples are read once (twice without start); what is found is written, as it is used more than once.
     """
-    first = ends(chunks)
-    found = _kept(blocks(chunks, first), "blocks")
+    first = parts(chunks)
+    found = _kept(blocks(first), "blocks")
     whole = gated(found, ["track"]).withColumnRenamed("value", "integrated")
     span, hop = _samples(3.0), _samples(1.0)
     low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("start") + F.col("size") - span) / hop))
     high = F.least(F.floor(F.col("start") / hop), F.floor((F.col("n") - span) / hop))
     inside = F.when((F.col("n") >= span) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    windows = gated(found.select("track", "power", F.explode(inside).alias("window")), ["track", "window"])
+    windows = gated_short(found.select("track", "power", F.explode(inside).alias("window")), ["track", "window"])
     short = windows.groupBy("track").agg(F.max("value").alias("short_term_max"))
     out = first.select("track").distinct().join(whole, "track", "left").join(short, "track", "left")
     return out.select("track", "integrated", F.coalesce("short_term_max", "integrated").alias("short_term_max"))

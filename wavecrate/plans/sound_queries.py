@@ -16,6 +16,7 @@ from wavecrate.sources.tables import load
 
 RATE, SECONDS, QUIET_SECONDS, QUIET, CHUNK_SECONDS = 8_000, 12, 4, 0.02, 2.5
 ROWS = 64  # chunks of a task, and at most of one Arrow batch
+SOUNDS_A_TASK = 32  # bounds an Arrow batch, as a rendered sound has up to a megabyte
 
 
 def _tones(spark: SparkSession, d: str) -> DataFrame:
@@ -28,17 +29,17 @@ def _tones(spark: SparkSession, d: str) -> DataFrame:
                 size = int(CHUNK_SECONDS * RATE)
                 at = np.arange(chunk * size, min(SECONDS * RATE, (chunk + 1) * size))
                 wave = np.sin(2 * np.pi * (400 + key % 10 * 200) * at / RATE) * np.where(at < QUIET_SECONDS * RATE, QUIET, 0.1 + key % 10 * 0.05)
-                rows += [(key, c, chunk, RATE, (wave / (c + 1)).astype(np.float32)) for c in range(2)]
+                rows += [(key, c, chunk, RATE, (wave / (c + 1)).astype(np.float32), chunk * size) for c in range(2)]
                 if len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples"])
+                    yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples", "start"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples"])
+                yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples", "start"])
 
     chunks = -(-SECONDS * RATE // int(CHUNK_SECONDS * RATE))
     keys = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     tasks = max(1, -(-keys.count() // ROWS))  # one number; few keys stand for much sound, so sizes alone would put them in one task
-    return keys.repartition(tasks, "s_suppkey", "chunk").mapInPandas(made, C.CHUNK)
+    return keys.repartition(tasks, "s_suppkey", "chunk").mapInPandas(made, C.CHUNK + ", start long")
 
 
 def sound_loudness(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,9 @@ def sound_lengths(spark: SparkSession, d: str) -> DataFrame:
     def peak(content: pd.Series) -> pd.Series:
         return content.map(lambda c: int(np.abs(np.frombuffer(c, "<i2", offset=44).astype(np.int32)).max()))
 
-    sounds = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey", made("s_suppkey").alias("content"))
+    keys = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey")
+    tasks = max(1, -(-keys.count() // SOUNDS_A_TASK))  # one number
+    sounds = keys.repartition(tasks).select("s_suppkey", made.asNondeterministic()("s_suppkey").alias("content"))
     gain = F.element_at(F.array(F.lit(-6.0), F.lit(0.0), F.lit(12.0)), (F.col("s_suppkey") % 3 + 1).cast("int"))
     out = sounds.withColumn("wav", audio.rendered(F.col("content"), gain)).withColumn("again", audio.rendered(F.col("content"), gain, True, 44_100))
     frames = F.expr("(octet_length(again) - 44) div 4")

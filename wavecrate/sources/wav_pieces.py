@@ -1,6 +1,6 @@
 """A data source of the samples of WAV files in pieces: a long file is read by many tasks, each opening it at its own place.
 
-    spark.read.format("wav_pieces").option("path", folder).load()   # path, channel, chunk, rate, samples
+    spark.read.format("wav_pieces").option("path", folder).load()   # path, channel, chunk, rate, samples, start
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ class PieceReader(DataSourceReader):
                     raw = np.frombuffer(file.read_at((hi - lo) * frame, start + lo * frame), "<i2").reshape(-1, channels)
                     samples = [pa.array([(raw[:, c] / 32768).astype(np.float32)], pa.list_(pa.float32())) for c in range(channels)]
                     yield pa.RecordBatch.from_pydict(
-                        {"path": pa.array([path] * channels), "channel": pa.array(range(channels), pa.int32()), "chunk": pa.array([k] * channels, pa.int64()), "rate": pa.array([rate] * channels, pa.int32()), "samples": pa.concat_arrays(samples)}
+                        {"path": pa.array([path] * channels), "channel": pa.array(range(channels), pa.int32()), "chunk": pa.array([k] * channels, pa.int64()), "rate": pa.array([rate] * channels, pa.int32()), "samples": pa.concat_arrays(samples), "start": pa.array([lo] * channels, pa.int64())}
                     )
 
 
@@ -78,7 +78,7 @@ class WavPieces(DataSource):
         return "wav_pieces"
 
     def schema(self) -> str:
-        return "path string, channel int, chunk long, rate int, samples array<float>"
+        return "path string, channel int, chunk long, rate int, samples array<float>, start long"
 
     def reader(self, schema: StructType) -> PieceReader:
         return PieceReader(self.options)
