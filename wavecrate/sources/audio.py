@@ -42,7 +42,7 @@ def with_tags(files: DataFrame) -> DataFrame:
     return files.withColumn("tags", tag_source.tags(F.col("content"), F.col("extension")))
 
 
-def _analyse(content: bytes | None, with_true_peak: bool, with_genre: bool) -> dict:
+def _analyse(content: bytes | None, with_true_peak: bool, with_genre: bool, with_music: bool = True, with_loudness: bool = True) -> dict:
     from wavecrate.functions import loudness
 
     try:
@@ -51,27 +51,30 @@ def _analyse(content: bytes | None, with_true_peak: bool, with_genre: bool) -> d
             raise ValueError("no sound in the file")
     except (ValueError, IndexError) as problem:
         return {"error": str(problem)}
-    mono = loudness.downmix(channels, sr)
-    tempo, key = signal.analyze_tempo(mono, sr), signal.detect_key(loudness.resample([mono], sr, KEY_RATE)[0], KEY_RATE)
-    out = {"bpm": tempo["bpm"], "bpm_mode": tempo["mode"], "bpm_min": tempo["min"], "bpm_max": tempo["max"], "key": key["key"], "key_confidence": key["confidence"], "key_confident": key["confident"]}
-    out |= loudness.measure(channels, sr, with_true_peak)
+    out, mono = {}, loudness.downmix(channels, sr) if with_music or with_genre else None
+    if with_music:
+        tempo, key = signal.analyze_tempo(mono, sr), signal.detect_key(loudness.resample([mono], sr, KEY_RATE)[0], KEY_RATE)
+        out |= {"bpm": tempo["bpm"], "bpm_mode": tempo["mode"], "bpm_min": tempo["min"], "bpm_max": tempo["max"], "key": key["key"], "key_confidence": key["confidence"], "key_confident": key["confident"]}
+    if with_loudness:
+        out |= loudness.measure(channels, sr, with_true_peak)
     if with_genre:
         short = mono[: FALLBACK_S * sr]
         out["fallback_genre"] = signal.centroid_genre(short, sr, signal.detect_tempo(short, sr))
     return out
 
 
-def analysis(content: Column, with_true_peak: bool = True, with_genre: bool = False) -> Column:
-    """All measures of a WAV file in one pass; the flags leave out the dear ones. What fails has an error instead."""
+def analysis(content: Column, with_true_peak: bool = True, with_genre: bool = False, with_music: bool = True, with_loudness: bool = True) -> Column:
+    """All measures of a WAV file in one pass; the flags leave out the dear ones (music: tempo and key). What fails has an error instead."""
 
     @F.pandas_udf(ANALYSIS)
     def run(batch: pd.Series) -> pd.DataFrame:
         names = [p.split()[0] for p in ANALYSIS.split(", ")]
-        rows = pd.DataFrame([_analyse(c, with_true_peak, with_genre) for c in batch], columns=names).astype(object)
+        rows = pd.DataFrame([_analyse(c, with_true_peak, with_genre, with_music, with_loudness) for c in batch], columns=names).astype(object)
         rows = rows.where(rows.notna(), None)
         return rows
 
-    return run(content)
+    # Spark repeats a deterministic function for each projection that uses its result.
+    return run.asNondeterministic()(content)
 
 
 def rendered(content: Column, gain_db: Column, trim: bool = True, rate: int | None = None) -> Column:
@@ -94,7 +97,7 @@ def rendered(content: Column, gain_db: Column, trim: bool = True, rate: int | No
             out.append(L.wav_bytes(channels, rate or sr))
         return pd.Series(out, dtype=object)
 
-    return run(content, gain_db)
+    return run.asNondeterministic()(content, gain_db)
 
 
 def catalogue(results: DataFrame, order: str) -> DataFrame:
