@@ -150,3 +150,32 @@ def test_progress_counts_tasks(spark, tmp_path):
         seen.append(job.progress())
         time.sleep(0.1)
     assert job.progress().done == 1 and any(p.tasks for p in seen)
+
+
+def test_wide_sends_take_a_fixed_number_of_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outbox, "RUN", 500)
+    calls, sizes = [], []
+
+    def send(rows):
+        calls.append(1)
+        sizes.extend(r["count"] for r in rows.groupBy("send").count().collect())
+        return rows.filter("id % 3 <> 0" if len(calls) == 1 else "true")
+
+    box = Outbox(spark.createDataFrame([], SCHEMA).schema, "id", "v", ["at"], send, str(tmp_path / "box"), spark, wide=True)
+    box.put(spark.range(2_000).selectExpr("id", "1L v", "id at", "'x' genre"), 0)
+    assert box.drain() == 0
+    assert len(calls) == 2 and max(sizes) <= 200 and sum(sizes) == 2_000 + 667
+    assert box.acknowledged().select("id").distinct().count() == box.acknowledged().count() == 2_000
+
+
+def test_a_wide_send_without_an_acknowledgement_ends_the_drain(spark, tmp_path):
+    calls = []
+
+    def send(rows):
+        calls.append(1)
+        return rows.filter("at < 200" if len(calls) == 1 else "true")
+
+    box = Outbox(spark.createDataFrame([], SCHEMA).schema, "id", "v", ["at"], send, str(tmp_path / "box"), spark, wide=True)
+    box.put(spark.range(450).selectExpr("id", "1L v", "id at", "'x' genre"), 0)
+    assert box.drain() == 250 and len(calls) == 1
+    assert box.drain() == 0 and len(calls) == 2
