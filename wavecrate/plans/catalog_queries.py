@@ -10,6 +10,7 @@ from wavecrate.functions import names as N
 from wavecrate.operators import catalog as C
 from wavecrate.sources.tables import load
 
+LINES_A_TASK = 200_000
 # A small map of our own over the part types and brands.
 MAP = (("promo", "House"), ("economy", "Deep House"), ("small", "Hip-Hop"), ("medium", "Trap"), ("large", "Pop"))
 WORDS = ("deep house", "hardcore", "rap hardcore", "ghetto house", "dub metal", "drum & bass", "happy hardcore", "tech house mix", "minimal", "hip-hop", "trance", "salsa")
@@ -67,10 +68,13 @@ def known_genres(spark: SparkSession, d: str) -> DataFrame:
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     """Lines as releases of their order: accepted if the quantity is over 5, ranked by line number; tags are type and brand."""
-    lines = load(spark, d, "lineitem").filter("l_quantity > 5").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = load(spark, d, "lineitem")
+    tasks = max(1, -(-lines.count() // LINES_A_TASK))  # one number; tasks stay as large however many lines there are
+    lines = lines.filter("l_quantity > 5").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(tasks, "l_orderkey")
     lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1)
     part = load(spark, d, "part").select("p_partkey", F.array(F.substring_index("p_type", " ", 1), "p_brand").alias("tags"))
-    return C.ranked_votes(lines.join(part, lines["l_partkey"] == part["p_partkey"]), "l_orderkey", "rank", "tags")
+    tagged = lines.repartition(tasks, "l_partkey").join(part.repartition(tasks, "p_partkey"), lines["l_partkey"] == part["p_partkey"])
+    return C.ranked_votes(tagged.repartition(tasks, "l_orderkey"), "l_orderkey", "rank", "tags")
 
 
 def style_votes(spark: SparkSession, d: str) -> DataFrame:
