@@ -4,10 +4,11 @@ them to analytic values."""
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.functions import fuzzy, names
@@ -17,6 +18,8 @@ from wavecrate.sources import audio, lookups
 from wavecrate.sources.tables import load, shared_path
 
 SOUNDS_A_TASK = 16  # bounds an Arrow batch, as a sound has half a megabyte or more
+SHORT_A_TASK = 64  # of six seconds, which never leave Python
+RATE, KEPT_S = 22_050, 6  # of sounds that are made; the longest triads that a worker keeps
 
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -78,32 +81,44 @@ def tag_readers(spark: SparkSession, d: str) -> DataFrame:
     return audio.with_tags(audio.with_state(files)).select("p_partkey", "state", "tags.genre", "tags.artist", "tags.title")
 
 
-def _sounds(spark: SparkSession, d: str, seconds: int = 6, faster: bool = False) -> DataFrame:
-    """Clicks and a triad for each supplier, as WAV bytes; a supplier without a key has none. faster: odd suppliers' clicks gain 20 a minute half way."""
+@lru_cache(maxsize=12)
+def _triad(step: int, seconds: int) -> np.ndarray:
+    t, root = np.arange(seconds * RATE) / RATE, 261.63 * 2 ** (step / 12)
+    return sum(np.sin(2 * np.pi * root * 2 ** (s / 12) * t) for s in (0, 4, 7)) / 12
 
-    @F.pandas_udf("binary")
-    def made(key: pd.Series) -> pd.Series:
-        from wavecrate.functions.loudness import wav_bytes
 
-        sr = 22_050
-        t = np.arange(seconds * sr) / sr
+def _sound(k: int, seconds: int, faster: bool) -> bytes:
+    """Clicks and a triad as a WAV file."""
+    from wavecrate.functions.loudness import wav_bytes
 
-        def file(k: int) -> bytes:
-            root = 261.63 * 2 ** (k % 12 / 12)
-            tone = sum(np.sin(2 * np.pi * root * 2 ** (s / 12) * t) for s in (0, 4, 7)) / 12
-            gained = np.maximum(0, t - seconds / 2) / 3 if faster and k % 2 else 0
-            beat = (t * (100 + k % 5 * 10) / 60 + gained) % 1 < 0.02
-            return wav_bytes([(tone + beat * 0.5).astype(np.float32)] * 2, sr)
+    t, tone = np.arange(seconds * RATE) / RATE, (_triad if seconds <= KEPT_S else _triad.__wrapped__)(k % 12, seconds)
+    gained = np.maximum(0, t - seconds / 2) / 3 if faster and k % 2 else 0
+    beat = (t * (100 + k % 5 * 10) / 60 + gained) % 1 < 0.02
+    return wav_bytes([(tone + beat * 0.5).astype(np.float32)] * 2, RATE)
 
-        return pd.Series([None if pd.isna(k) else file(int(k)) for k in key], dtype=object)
 
+def _suppliers(spark: SparkSession, d: str, a_task: int) -> DataFrame:
     suppliers = load(spark, d, "supplier").select("s_suppkey")
-    tasks = max(1, -(-suppliers.count() // SOUNDS_A_TASK))  # one number
-    return suppliers.repartition(tasks).select("s_suppkey", made.asNondeterministic()("s_suppkey").alias("content"))
+    return suppliers.repartition(max(1, -(-suppliers.count() // a_task)))  # one number
+
+
+def _made(seconds: int = 6, faster: bool = False) -> Column:
+    """Each supplier's sound; a supplier without a key has none. faster: odd suppliers' clicks gain 20 a minute half way."""
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(k) else _sound(int(k), seconds, faster) for k in key], dtype=object)
+
+    return made.asNondeterministic()("s_suppkey")
+
+
+def _sounds(spark: SparkSession, d: str, seconds: int = 6, faster: bool = False) -> DataFrame:
+    return _suppliers(spark, d, SOUNDS_A_TASK).select("s_suppkey", _made(seconds, faster).alias("content"))
 
 
 def sound_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return _sounds(spark, d).withColumn("a", audio.analysis(F.col("content"), True, True)).select("s_suppkey", "a.*")
+    """All measures of each sound, which goes from one function to the next inside its Python worker."""
+    return _suppliers(spark, d, SHORT_A_TASK).select("s_suppkey", audio.analysis(_made(), True, True).alias("a")).select("s_suppkey", "a.*")
 
 
 def sound_tempo(spark: SparkSession, d: str) -> DataFrame:
