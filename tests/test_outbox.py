@@ -3,6 +3,7 @@
 import random
 import threading
 import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from wavecrate.operators.jobs import Batch
 from wavecrate.streaming import outbox
 from wavecrate.streaming.logins import keyed_state
 from wavecrate.streaming.outbox import Outbox, deliver_versions
-from wavecrate.streaming.release import in_order
+from wavecrate.streaming.release import PLACES, ReleaseProcessor, in_order
 
 SCHEMA = "id long, v long, at long, genre string"
 
@@ -109,6 +110,27 @@ def test_results_leave_in_order(spark, tmp_path):
     assert sum(map(len, seen)) == 180
 
 
+def test_what_comes_early_is_kept_by_runs():
+    """A batch reads and writes a key's state by runs of places, not by rows; later runs stay untouched until they are due."""
+    calls, values, value = [], {}, [None]
+    due = SimpleNamespace(get=lambda: value[0], update=lambda v: calls.append("due") or value.__setitem__(0, v))
+    early = SimpleNamespace(
+        getValue=lambda k: calls.append("get") or values.get(k), updateValue=lambda k, v: calls.append("put") or values.__setitem__(k, v), removeKey=lambda k: calls.append("drop") or values.pop(k)
+    )
+    processor = ReleaseProcessor("who", "place", ["name"], "")
+    processor.init(SimpleNamespace(getValueState=lambda *_: due, getMapState=lambda *_: early))
+    send = lambda places, mark="x": [tuple(r) for r in processor.handleInputRows(("a",), iter([("a", p, f"{mark}{p}") for p in places]), None)]
+    n = 3 * PLACES
+    assert send(range(n - 1, 0, -1)) == [] and calls == ["put"] * 3 + ["due"] and value[0] == (0, n - 1)
+    calls.clear()
+    assert send([5, 6], "again") == [] and calls == ["get", "due"]
+    calls.clear()
+    assert send([0, 1], "again") == [("a", 0, "again0"), *[("a", p, f"x{p}") for p in range(1, n)]]
+    assert calls == ["get"] * 3 + ["drop"] * 3 + ["due"] and value[0] == (n, 0) and not values
+    calls.clear()
+    assert send([3, n]) == [("a", n, f"x{n}")] and calls == ["due"]
+
+
 def slow(rows):
     """Half a second for each row."""
 

@@ -11,6 +11,8 @@ from wavecrate.streaming.logins import as_of, failure_changes, keyed_state
 from wavecrate.streaming.outbox import Outbox
 from wavecrate.streaming.release import in_order
 
+EVENTS_A_FILE = 500_000  # of a stream's input
+
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").filter("event_type = 'error'").select("event_id", "user_id", F.unix_timestamp(F.date_trunc("second", "ts")).alias("at_s"))
@@ -142,8 +144,9 @@ def ordered_release(spark: SparkSession, d: str) -> DataFrame:
     """W11 as a stream: a user's events by place, come in four micro-batches that mix all places; each row leaves with the number of its release."""
     placed = _log(spark, d).select("user_id", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("place"))
     path = shared_path(spark, "release")
-    placed.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "part").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("user_id long, event_id long, place int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    files = max(1, -(-load(spark, d, "events").count() // (4 * EVENTS_A_FILE)))  # one number: of a micro-batch
+    placed.repartition(4 * files, F.xxhash64("event_id")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, place int").option("maxFilesPerTrigger", files).parquet(f"{path}/in")
 
     def told(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
