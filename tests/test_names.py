@@ -97,3 +97,13 @@ def test_failure_limit(spark):
     rows = spark.createDataFrame([("a", k) for k in range(11)] + [("b", 5)], "ip string, at_s long")
     got = {(r.ip, r.at_s): r.retry_after for r in events.failure_window(rows, "ip", "at_s").collect()}
     assert got["a", 8] == 0 and got["a", 9] == 891 and got["b", 5] == 0
+
+
+def test_names_are_cleaned_by_many_tasks(spark, tmp_path):
+    """A table of one file and one group of rows is dealt over tasks by its rows; rules that don't apply leave a name as it is."""
+    from wavecrate.plans import catalog_queries as C
+
+    spark.range(25_000).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'old bolt' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = C.clean_names(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3 and found.count() == 25_000
+    assert {r.cleaned for r in found.select("cleaned").distinct().collect()} == {"Brand#1 - old bolt", "Brand#1 - old bolt (Live)"}

@@ -58,7 +58,8 @@ def _rule_step(key: str, test: str, edits: tuple):
             after = F.regexp_replace(after, pattern, to)
         held = F.array(F.struct(trimmed(after).alias("n")))
         changed = lambda x: F.struct(x["n"].alias("t"), F.array_union(s["k"], F.array(F.lit(key))).alias("k"))
-        return F.get(F.transform(held, lambda x: F.when(s["t"].rlike(test) & (x["n"] != "") & (x["n"] != s["t"]), changed(x)).otherwise(s)), 0)
+        edited = F.get(F.transform(held, lambda x: F.when((x["n"] != "") & (x["n"] != s["t"]), changed(x)).otherwise(s)), 0)
+        return F.when(s["t"].rlike(test), edited).otherwise(s)  # the edits, which are dearer, only run where the test holds
 
     return step
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from wavecrate.functions import genres as G
 from wavecrate.functions import names as N
 from wavecrate.operators import catalog as C
-from wavecrate.sources.tables import load
+from wavecrate.sources.tables import load, spread
 
-LINES_A_TASK = 200_000
+LINES_A_TASK, NAMES_A_TASK = 200_000, 10_000
 # A small map of our own over the part types and brands.
 MAP = (("promo", "House"), ("economy", "Deep House"), ("small", "Hip-Hop"), ("medium", "Trap"), ("large", "Pop"))
 WORDS = ("deep house", "hardcore", "rap hardcore", "ghetto house", "dub metal", "drum & bass", "happy hardcore", "tech house mix", "minimal", "hip-hop", "trance", "salsa")
@@ -123,7 +123,8 @@ def clean_names(spark: SparkSession, d: str) -> DataFrame:
     """Composed stems with a site, a media label, a bitrate or a download id."""
     text = F.expr("concat(p_brand, '_-_', p_name, CASE p_partkey % 5 WHEN 0 THEN ' (320kbps)' WHEN 1 THEN ' [Official Video]' WHEN 2 THEN ' (my-site.com)' WHEN 3 THEN concat(' ', 100000 + p_partkey) ELSE ' (Live)' END)")
     text, keys = N.cleaned(text)
-    return load(spark, d, "part").select("p_partkey", text.alias("cleaned"), F.array_join(keys, ",").alias("changes"))
+    part = spread(load(spark, d, "part").select("p_partkey", "p_brand", "p_name"), NAMES_A_TASK)
+    return part.select("p_partkey", text.alias("cleaned"), F.array_join(keys, ",").alias("changes"))
 
 
 def parse_names(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, a_task: int) -> DataFrame:
+    """The rows of a table dealt over tasks of a_task rows, for work that is dear by row: a small file would be one task."""
+    return rows.repartition(max(1, -(-rows.count() // a_task)))  # one number
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
