@@ -107,3 +107,26 @@ def test_names_are_cleaned_by_many_tasks(spark, tmp_path):
     found = C.clean_names(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == 3 and found.count() == 25_000
     assert {r.cleaned for r in found.select("cleaned").distinct().collect()} == {"Brand#1 - old bolt", "Brand#1 - old bolt (Live)"}
+
+
+def test_pairs_of_names_are_compared_once(spark, tmp_path):
+    """Parts that repeat a pair of names share one comparison; names in ASCII have the form that the general way gives."""
+    from wavecrate.plans import media_queries as M
+
+    spark.range(12_000).selectExpr("id AS p_partkey", "concat('old bolt ', id % 2) AS p_name", "'Brand#1' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    rows = M.name_ratios(spark, str(tmp_path))
+    assert rows.count() == 11_999 and rows.select("size", "sim").distinct().count() <= 2
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[: plan.index("ArrowEvalPython")], plan[plan.index("ArrowEvalPython") :]
+    assert "Join" in above and "Aggregate [own" in below
+
+    every = "".join(map(chr, range(128)))
+    for text in (every, f" {every}", "A\x1c b!", "\x85", "(Ünï) Код"):
+        assert fuzzy.compare_form(text) == fuzzy.trim("".join(c for c in text.lower() if fuzzy.unicodedata.category(c)[0] in "LN" or fuzzy.re.match(fuzzy.S, c)))
+    calls, ratio = [], fuzzy.ratio
+    fuzzy.ratio = lambda a, b: calls.append((a, b)) or ratio(a, b)
+    try:
+        assert fuzzy.similarity("old bolt", "new bolt") == ratio("old bolt", "new bolt") and len(calls) == 1
+        assert fuzzy.similarity("Ёлка", "Elka") == 1 and len(calls) == 3
+    finally:
+        fuzzy.ratio = ratio

@@ -15,9 +15,10 @@ from wavecrate.functions import fuzzy, names
 from wavecrate.operators import candidates
 from wavecrate.operators import resolve as R
 from wavecrate.sources import audio, lookups
-from wavecrate.sources.tables import load, shared_path
+from wavecrate.sources.tables import load, shared_path, spread
 
 SOUNDS_A_TASK = 16  # bounds an Arrow batch, as a sound has half a megabyte or more
+PAIRS_A_TASK = 5_000
 SHORT_A_TASK = 64  # of six seconds, which never leave Python
 RATE, KEPT_S = 22_050, 6  # of sounds that are made; the longest triads that a worker keeps
 
@@ -35,8 +36,10 @@ def name_ratios(spark: SparkSession, d: str) -> DataFrame:
     """Each part's name beside the next part's brand and name: where and how long their longest common run is, and how similar they are."""
     part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("own"), F.concat_ws(" ", "p_brand", "p_name").alias("other"))
     both = part.select("id", "own").join(part.select((F.col("id") - 1).alias("id"), "other"), "id")
-    run = fuzzy.common_run_udf(F.col("own"), F.col("other"))
-    return both.withColumn("run", run).select("id", "run.own_start", "run.other_start", "run.size", fuzzy.similarity_udf(F.col("own"), F.col("other")).alias("sim"))
+    # Each different pair is compared once, however many parts share it. Neither name is ever null.
+    pairs = spread(both.select("own", "other").distinct(), PAIRS_A_TASK)
+    compared = pairs.select("own", "other", fuzzy.common_run_udf(F.col("own"), F.col("other")).alias("run"), fuzzy.similarity_udf(F.col("own"), F.col("other")).alias("sim"))
+    return both.join(compared, ["own", "other"]).select("id", "run.own_start", "run.other_start", "run.size", "sim")
 
 
 def transliterate(spark: SparkSession, d: str) -> DataFrame:
