@@ -4,6 +4,7 @@ import os
 import struct
 import time
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 
@@ -101,3 +102,13 @@ def test_a_failed_and_repeated_task_counts_once(tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["A-00000.zip", "A-00001.zip", "A-00002.zip", "_archives.json"]
     held = [n for p in sorted(tmp_path.glob("*.zip")) for n in zipfile.ZipFile(p).namelist()]
     assert held == [r["output_path"] for r in rows]
+
+
+def test_a_task_reads_several_archives(tmp_path, monkeypatch):
+    """Small archives share a task up to a number and a size; one that is larger has a task of its own, and none is left out."""
+    for k in range(130):
+        (tmp_path / f"A-{k:05}.zip").write_bytes(bytes(1_000 if k != 100 else 3_000_000))
+    monkeypatch.setattr(archive, "TASK_BYTES", 1_000_000)
+    tasks = archive.ArchiveReader({"path": str(tmp_path)}, SimpleNamespace(names=["archive"])).partitions()
+    assert [len(t.paths) for t in tasks] == [64, 36, 1, 29]
+    assert [p[-9:-4] for t in tasks for p in t.paths] == [f"{k:05}" for k in range(130)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wavecrate.sources import archive, audio, prefixes
 from wavecrate.sources.files import opened
-from wavecrate.sources.tables import load, shared_path
+from wavecrate.sources.tables import load, shared_path, spread
 
 
 def id3_bytes(version: int, encoding: int, artist: str, title: str, genre: str) -> bytes:
@@ -78,13 +78,14 @@ def prefix_tags(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("name", "^[0-9]+", 0).cast("long").alias("s_suppkey"), "extension", "state", "tags.genre", "tags.artist", "tags.title")
 
 
+FILES_A_TASK = 50_000
 SHARD = 128  # files of an archive, so that each folder has several
 
 
 def zip_archives(spark: SparkSession, d: str) -> DataFrame:
     """Parts as finished files in five folders, where names repeat; archives by runs of places, written and read back."""
     folders = F.element_at(F.array(*map(F.lit, ("House", "R&B", "Drum & Bass", "Pop", "Techno"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    part = load(spark, d, "part").select("p_partkey", folders.alias("genre"), F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(".mp3")).alias("name"), F.encode(F.concat_ws("|", "p_partkey", "p_name", "p_type"), "utf-8").alias("content"))
+    part = spread(load(spark, d, "part").select("p_partkey", "p_name", "p_type"), FILES_A_TASK).select("p_partkey", folders.alias("genre"), F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(".mp3")).alias("name"), F.encode(F.concat_ws("|", "p_partkey", "p_name", "p_type"), "utf-8").alias("content"))
     placed = audio.catalogue(part, "p_partkey").select("folder", "place", F.col("unique_path").alias("output_path"), "content")
     path = shared_path(spark, "archives")
     archive.write_archives(placed, path, SHARD)

@@ -26,6 +26,8 @@ from wavecrate.sources.files import listed, opened
 
 FILES_A_SHARD = 512  # files of one archive
 BATCH_BYTES = 16 << 20  # of one Arrow batch of contents
+BATCH_ROWS = 10_000
+ARCHIVES_A_TASK, TASK_BYTES = 64, 64 << 20  # that one task reads; a larger archive is a task of its own
 EPOCH = (1980, 1, 1, 0, 0, 0)  # every entry's time, so that the same files give the same bytes
 PENDING = "_pending"
 
@@ -86,35 +88,45 @@ class ArchiveWriter(DataSourceWriter):
 
 @dataclass
 class Archives(InputPartition):
-    path: str
+    paths: list[str]
 
 
 class ArchiveReader(DataSourceReader):
-    """One archive a task; a file's content is only read if a column needs it."""
+    """Archives by the task, up to ARCHIVES_A_TASK or TASK_BYTES; a file's content is only read if a column needs it."""
 
     def __init__(self, options: dict, schema: StructType) -> None:
         self.folder, self.names = options["path"], schema.names
 
     def partitions(self) -> list[Archives]:
         system, root = opened(self.folder)
-        return [Archives(f.path) for f in listed(system, root) if f.path.endswith(".zip") and f"/{PENDING}-" not in f.path]
+        tasks, size = [], 0
+        for f in listed(system, root):
+            if f.path.endswith(".zip") and f"/{PENDING}-" not in f.path:
+                if not tasks or len(tasks[-1].paths) == ARCHIVES_A_TASK or size + f.size > TASK_BYTES:
+                    tasks.append(Archives([]))
+                    size = 0
+                tasks[-1].paths.append(f.path)
+                size += f.size
+        return tasks
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
         system, root = opened(self.folder)
         kinds = {"archive": pa.string(), "output_path": pa.string(), "length": pa.int64(), "crc": pa.int64(), "md5": pa.string(), "content": pa.binary()}
+        batch = lambda rows: pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], kinds[n]) for n in self.names})
         rows, size = [], 0
-        with system.open_input_file(partition.path) as file, zipfile.ZipFile(file) as archive:
-            for info in archive.infolist():
-                row = {"archive": partition.path[len(root) + 1 :], "output_path": info.filename, "length": info.file_size, "crc": info.CRC}
-                if {"md5", "content"} & set(self.names):
-                    row["content"] = archive.read(info)  # checks the CRC
-                    row["md5"] = hashlib.md5(row["content"]).hexdigest()
-                rows.append({n: row[n] for n in self.names})
-                size += len(row["content"]) if "content" in self.names else 0
-                if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], kinds[n]) for n in self.names})
-                    rows, size = [], 0
-        yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], kinds[n]) for n in self.names})
+        for path in partition.paths:
+            with system.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
+                for info in archive.infolist():
+                    row = {"archive": path[len(root) + 1 :], "output_path": info.filename, "length": info.file_size, "crc": info.CRC}
+                    if {"md5", "content"} & set(self.names):
+                        row["content"] = archive.read(info)  # checks the CRC
+                        row["md5"] = hashlib.md5(row["content"]).hexdigest()
+                    rows.append({n: row[n] for n in self.names})
+                    size += len(row["content"]) if "content" in self.names else 0
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield batch(rows)
+                        rows, size = [], 0
+        yield batch(rows)
 
 
 class ZipArchives(DataSource):

@@ -125,13 +125,14 @@ def rendered(content: Column, gain_db: Column, trim: bool = True, rate: int | No
 def catalogue(results: DataFrame, order: str) -> DataFrame:
     """Output paths `folder/name`, unique, with each row's place in its folder; write with partitionBy("folder").
 
-    Places are counted within buckets of the order and over them, so no task holds a whole folder.
+    Places are counted within buckets of the order and over them, so no task holds a whole folder. They come first, as
+    they ask for the least and the greatest of the order, which is cheap only before the paths are made unique.
     """
     from wavecrate.operators.catalog import unique_paths
     from wavecrate.operators.events import positions
 
     placed = results.withColumn("folder", N.folder_name(F.col("genre"))).withColumn("path", F.concat("folder", F.lit("/"), N.safe_file_name(F.col("name"))))
-    named = positions(unique_paths(placed, "path", order), "folder", [order])
+    named = unique_paths(positions(placed, "folder", [order]), "path", order)
     return named.withColumn("place", (F.col("pos") + 1).cast("int")).drop("pos", "n")
 
 
