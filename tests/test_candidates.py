@@ -1,5 +1,7 @@
 """Candidate search: recall 1 of the gates' best among all pairs of the smallest part table, and ties, repeats and empty names."""
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF
 from wavecrate.functions import fuzzy
 from wavecrate.operators.candidates import search
@@ -39,3 +41,22 @@ def test_ties_repeats_and_empty_names(spark):
         got.setdefault(r.q, []).append((r.place, r.c, r.score))
     assert {q: sorted(x) for q, x in got.items()} == {q: [(k, 11 + k, 3.0) for k in range(8)] for q in (1, 5)}
     assert search(queries.limit(0), catalogue, "q", "c").collect() == [] == search(queries, catalogue.limit(0), "q", "c").collect()
+
+
+def test_rows_are_read_once_and_bags_are_of_different_texts(spark):
+    """The catalogue's rows are read once, the queries' twice (their names, and the rows that get the answers)."""
+    counts = {"q": spark.sparkContext.accumulator(0), "c": spark.sparkContext.accumulator(0)}
+
+    def counted(id_):
+        def rows(batches):
+            for batch in batches:
+                counts[id_].add(batch.num_rows)
+                yield batch
+
+        return spark.range(400).select(F.col("id").alias(id_), F.concat(F.lit("Ann "), (F.col("id") % 3).cast("string")).alias("artist"), F.lit("Blue Song").alias("title")).mapInArrow(rows, f"{id_} long, artist string, title string")
+
+    got = {}
+    for r in search(counted("q"), counted("c"), "q", "c").collect():
+        got.setdefault(r.q, []).append((r.place, r.c, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {q: [(k, q % 3 + 3 * k, 3.0) for k in range(8)] for q in range(400)}
+    assert {k: c.value for k, c in counts.items()} == {"q": 800, "c": 400}

@@ -5,7 +5,8 @@ shared tokens count as in a bag. The similarity of two texts is 2 * shared / all
 artist and title both reach LEAST. Two texts that similar share one of their rarest tokens: with n tokens, one of the
 first n - ceil(n * LEAST / (2 - LEAST)) + 1 in order of frequency. Only those are indexed, and names meet where they share
 one of the artist's and one of the title's, so neither a common token nor a common title brings all its names together.
-The join is over different names; rows that repeat a name come in again by their CANDIDATES smallest ids.
+The join is over different names; rows that repeat a name come in again by their CANDIDATES smallest ids. The catalogue is
+read once and the queries twice; the names, and each column's different texts with their bags, are kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from wavecrate.functions import names as N
 from wavecrate.operators.genre_sources import CANDIDATES
+from wavecrate.sources.tables import kept, spread
 
 LEAST = 0.4
+NAMES_A_TASK = 200  # a few names are the work of many, as each meets all that share its tokens
 
 
 def bag(text: Column) -> Column:
@@ -41,19 +44,16 @@ def _names(rows: DataFrame, id_: str) -> DataFrame:
     return spread.groupBy("artist", "title").agg(F.slice(F.array_sort(F.collect_list("id")), 1, CANDIDATES).alias("ids"))
 
 
-def _with_rare(names: DataFrame, column: str, df: DataFrame) -> DataFrame:
-    """Names with their column's bag and its rarest tokens, enough that any similar bag shares one of its own rarest."""
-    texts = names.select(column).distinct().withColumn("bag", bag(F.col(column)))
-    found = texts.select(column, F.explode("bag").alias("token")).join(df, "token")
+def _texts(column: str, *names: DataFrame) -> DataFrame:
+    """Each different text of a column with its bag and its rarest tokens, enough that any similar bag shares one of its own rarest."""
+    texts = reduce(DataFrame.unionByName, [n.select(column) for n in names]).distinct()
+    bags = kept(spread(texts, NAMES_A_TASK).withColumn(f"{column}_bag", bag(F.col(column))), "bags")
+    tokens = bags.select(column, F.explode(f"{column}_bag").alias("token"))
+    found = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("n")), "token")
     ranked = found.groupBy(column).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     keep = F.size("t") - F.ceil(F.size("t") * F.lit(LEAST / (2 - LEAST)) - F.lit(1e-9)).cast("int") + 1
     rare = ranked.select(column, F.transform(F.slice("t", F.lit(1), keep), lambda x: x["token"]).alias(f"{column}_rare"))
-    return names.join(texts.withColumnRenamed("bag", f"{column}_bag").join(rare, column), column)
-
-
-def _frequencies(column: str, *names: DataFrame) -> DataFrame:
-    texts = reduce(DataFrame.unionByName, [n.select(column).distinct() for n in names])
-    return texts.select(F.explode(bag(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return bags.join(rare, column)
 
 
 def search(queries: DataFrame, catalogue: DataFrame, query: str, candidate: str) -> DataFrame:
@@ -63,13 +63,15 @@ def search(queries: DataFrame, catalogue: DataFrame, query: str, candidate: str)
     service's query asks for both; the score is twice the titles' similarity and the artists', ties go to the smaller
     candidate. Names without a letter or digit in artist or title find nothing.
     """
-    own, other = _names(queries, query).drop("ids"), _names(catalogue, candidate)
+    # Kept, so that the tables are read once, and bags are made of different texts, never of rows.
+    own, other = kept(_names(queries, query).drop("ids"), "names"), kept(_names(catalogue, candidate), "names")
     for column in ("artist", "title"):
-        df = _frequencies(column, own, other)
-        own, other = _with_rare(own, column, df), _with_rare(other, column, df)
-    spread = lambda rows: rows.withColumn("a", F.explode("artist_rare")).withColumn("t", F.explode("title_rare"))
-    left = spread(own).select("artist", "title", "a", "t")
-    right = spread(other).select(F.col("artist").alias("cand_artist"), F.col("title").alias("cand_title"), "a", "t")
+        texts = kept(_texts(column, own, other), "texts")
+        own, other = own.join(texts, column), other.join(texts, column)
+    own, other = kept(own, "names"), kept(other, "names")
+    tokens = lambda rows: spread(rows, NAMES_A_TASK).withColumn("a", F.explode("artist_rare")).withColumn("t", F.explode("title_rare"))
+    left = tokens(own).select("artist", "title", "a", "t")
+    right = tokens(other).select(F.col("artist").alias("cand_artist"), F.col("title").alias("cand_title"), "a", "t")
     met = left.join(right, ["a", "t"]).select("artist", "title", "cand_artist", "cand_title").distinct()
     theirs = other.select(F.col("artist").alias("cand_artist"), F.col("title").alias("cand_title"), F.col("artist_bag").alias("cand_artist_bag"), F.col("title_bag").alias("cand_title_bag"), "ids")
     full = met.join(own.select("artist", "title", "artist_bag", "title_bag"), ["artist", "title"]).join(theirs, ["cand_artist", "cand_title"])

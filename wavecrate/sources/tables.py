@@ -29,6 +29,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/wavecrate-{label}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: made once, however often they are read."""
+    path = shared_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores after those that df has already, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []
