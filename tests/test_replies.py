@@ -4,8 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from wavecrate.operators import genre_sources as S
 from wavecrate.operators.resolve import resolve
+from wavecrate.plans import service_queries
 from wavecrate.sources import lookups
 from wavecrate.sources.reply_store import ReplyStore
 
@@ -79,3 +81,47 @@ def test_dear_stages_run_once(spark):
     got = resolve(items, "i", [(f"s{k}", stage(k)) for k in range(3)], ("s0", "s1", "s2"))
     assert {r.i: r.genre for r in got.collect()} == {k: f"g{k % 3}" for k in range(6)}
     assert [c.value for c in counts] == [6, 4, 2]
+
+
+def test_settled_answers_are_written_once(spark):
+    """Each dear stage keeps its own answers and what it leaves open, not all answers so far; columns without a type stay."""
+    items, written = spark.range(6).select(F.col("id").alias("i"), F.lit(None).alias("nothing")), []
+
+    def kept(rows):
+        written.extend(r.i for r in rows.collect() if "genre" in rows.columns)
+        return rows
+
+    stage = lambda k: lambda left: left.filter(F.col("i") % 3 == k).withColumn("genre", F.lit(f"g{k}"))
+    stages = [(f"s{k}", stage(k)) for k in range(3)]
+    want = {k: f"g{k % 3}" for k in range(6)}
+    assert {r.i: r.genre for r in resolve(items, "i", stages, ("s0", "s1", "s2"), kept).collect()} == want
+    assert sorted(written) == list(range(6))
+    assert {r.i: r.genre for r in resolve(items, "i", stages, ("s1", "s2")).collect()} == want
+
+
+def test_service_tables_are_read_once(spark, monkeypatch):
+    """Parts are counted and read once, lines read once, however many services and stages there are."""
+    counts = {"part": spark.sparkContext.accumulator(0), "lineitem": spark.sparkContext.accumulator(0)}
+
+    def load(session, folder, name):
+        def rows(batches):
+            for batch in batches:
+                counts[name].add(batch.num_rows)
+                yield batch
+
+        table = session.read.parquet(f"{folder}/{name}.parquet")
+        return table.mapInArrow(rows, table.schema)
+
+    monkeypatch.setattr(service_queries, "load", load)
+    service_queries.service_genres(spark, SF)
+    size = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
+    assert counts["lineitem"].value == size("lineitem") and counts["part"].value <= 2 * size("part")
+
+
+def test_free_text_counts_where_the_fields_found_nothing(spark):
+    body = lambda *titles: json.dumps({"results": [{"title": t, "year": "1990", "style": [], "genre": []} for t in titles]})
+    replies = lambda *rows: spark.createDataFrame(rows, "key string, body string")
+    by_field = replies(("a", body("A - 1", "A - 2")), ("b", body()), ("c", "broken"), ("e", body("E - 1")), (None, body("N - 1")))
+    by_text = replies(("a", body("A - 3")), ("b", body("B - 1")), ("c", body("C - 1", "C - 2")), ("d", body("D - 1")), ("e", body()))
+    got = sorted((r.key, r.place, r.artist) for r in lookups.releases(by_field, by_text).filter("key is not null").collect())
+    assert got == [("a", 0, "A"), ("a", 1, "A"), ("b", 0, "B"), ("c", 0, "C"), ("c", 1, "C"), ("d", 0, "D"), ("e", 0, "E")]

@@ -17,6 +17,7 @@ from wavecrate.functions import names as N
 from wavecrate.operators import catalog as C
 from wavecrate.operators.resolve import Stage, only
 from wavecrate.sources import lookups
+from wavecrate.sources.tables import kept
 
 # How many entries of a reply count.
 CANDIDATES, ARTISTS, RELEASES, DATED = 8, 1, 5, 25
@@ -27,13 +28,18 @@ def reply_key(artist: Column, track: Column) -> Column:
     return F.lower(F.concat(artist, F.lit(" "), track))
 
 
+def _asked_for(replies: DataFrame, asked: DataFrame) -> DataFrame:
+    """Replies about the keys of asked, before any is parsed."""
+    return replies.join(asked.select("key"), "key", "left_semi")
+
+
 def release_genres(asked: DataFrame, by_field: DataFrame, by_text: DataFrame, genre_map: DataFrame, parents: DataFrame) -> DataFrame:
     """Genre, tag and year of each key of asked (key, artist).
 
     Of the first RELEASES releases those by a similar artist vote with 1 / (1 + their rank among these); the genre is the
     specific pick of the votes, the year the earliest of the same releases.
     """
-    rows = lookups.releases(by_field, by_text).filter(F.col("place") < RELEASES).withColumnRenamed("artist", "released_by")
+    rows = lookups.releases(_asked_for(by_field, asked), _asked_for(by_text, asked)).filter(F.col("place") < RELEASES).withColumnRenamed("artist", "released_by")
     rows = rows.join(asked.select("key", "artist").distinct(), "key")
     rows = rows.filter(fuzzy.similar_enough(fuzzy.MIN_ARTIST)(F.col("artist"), F.col("released_by")).isNotNull())
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("place")) - 1)
@@ -70,7 +76,7 @@ def top_tag_genres(replies: DataFrame, genre_map: DataFrame, parents: DataFrame,
 
 def earliest_recording(asked: DataFrame, replies: DataFrame) -> DataFrame:
     """A2: the earliest plausible year among the first DATED recordings whose title is similar to the track (key, track)."""
-    rows = lookups.recordings(replies).filter(F.col("place") < DATED).join(asked.select("key", "track").distinct(), "key")
+    rows = lookups.recordings(_asked_for(replies, asked)).filter(F.col("place") < DATED).join(asked.select("key", "track").distinct(), "key")
     rows = rows.filter(fuzzy.similar_enough(fuzzy.MIN_TITLE)(F.col("track"), F.coalesce("cand_title", F.lit(""))).isNotNull())
     return C.earliest_year(rows, "key", F.col("year"))
 
@@ -111,6 +117,7 @@ def service_stages(item: str, replies: Replies, genre_map: DataFrame, parents: D
             wanted = asked(items, by, what)
             found = release_genres(wanted, replies.release_by_field, replies.release_by_text, genre_map, parents)
             if by == "artist" and replies.dated is not None:  # only what an era could change is dated again
+                found = kept(found, "releases")
                 split = wanted.join(found.filter(F.col("genre").isin(*G.ERA_SPLIT)).select("key"), "key", "left_semi")
                 found = with_era(found, earliest_recording(split, replies.dated))
             return wanted.join(found, "key").select(item, "genre")
@@ -128,7 +135,8 @@ def service_stages(item: str, replies: Replies, genre_map: DataFrame, parents: D
         return stage
 
     def track(items: DataFrame) -> DataFrame:
-        return asked(items, "artist", "track").join(top_tag_genres(replies.top_track, genre_map, parents, True), "key").select(item, "genre")
+        wanted = asked(items, "artist", "track")
+        return wanted.join(top_tag_genres(_asked_for(replies.top_track, wanted), genre_map, parents, True), "key").select(item, "genre")
 
     def recording(items: DataFrame) -> DataFrame:
         return recording_genres(items.select(F.col(item).alias("key"), F.col("recording_id").alias("id")), replies.recording, genre_map, parents).select(F.col("key").alias(item), "genre")

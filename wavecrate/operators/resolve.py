@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecrate.sources.tables import shared_path
+from wavecrate.sources import tables
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -17,8 +17,8 @@ def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, .
 
     Stages that are joins run side by side and one aggregation takes each item's most trusted answer; staging them by
     anti joins would repeat all earlier stages in each later one. Dear stages come last and get what is left open;
-    `kept` writes what is settled after each of them, so none is run twice: by default as a table in the shared folder,
-    where more than one stage is dear.
+    `kept` writes each one's answers and the items it leaves open, so none is run twice and nothing that is settled is
+    written or joined again: by default as tables in the shared folder, where more than one stage is dear.
     """
     if kept is None and sum(name in dear for name, _ in stages) > 1:
         kept = _written
@@ -31,22 +31,28 @@ def resolve(items: DataFrame, item: str, stages: list[Stage], dear: tuple[str, .
     settled = None
     if answers is not None:
         settled = answers.groupBy(item).agg(F.min(F.struct("rank", "genre", "source")).alias("a")).select(item, "a.genre", "a.source")
+    last = max((rank for rank, (name, _) in enumerate(stages) if name in dear), default=None)
+    left = items
+    if settled is not None and last is not None:
+        settled = kept(settled) if kept else settled
+        left = items.join(settled.select(item), item, "left_anti")
+        left = kept(left) if kept else left
     for rank, (name, stage) in enumerate(stages):
         if name in dear:
-            left = items if settled is None else items.join(settled.select(item), item, "left_anti")
             found = _answers(stage(left), item, rank, name).drop("rank")
+            found = kept(found) if kept else found
             settled = found if settled is None else settled.unionByName(found)
-            settled = kept(settled) if kept else settled
+            if rank != last:
+                left = left.join(found.select(item), item, "left_anti")
+                left = kept(left) if kept else left
     if settled is None:
         return items.select(item, F.lit("Unknown").alias("genre"), F.lit("no match").alias("source"))
     told = items.select(item).join(settled, item, "left")
     return told.select(item, F.coalesce("genre", F.lit("Unknown")).alias("genre"), F.coalesce("source", F.lit("no match")).alias("source"))
 
 
-def _written(settled: DataFrame) -> DataFrame:
-    spark, path = settled.sparkSession, shared_path(settled.sparkSession, "settled")
-    settled.write.parquet(path)
-    return spark.read.schema(settled.schema).parquet(path)
+def _written(rows: DataFrame) -> DataFrame:
+    return tables.kept(rows, "settled")
 
 
 def _answers(found: DataFrame, item: str, rank: int, name: str) -> DataFrame:

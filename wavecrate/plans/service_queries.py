@@ -11,11 +11,12 @@ from wavecrate.operators import catalog as C
 from wavecrate.operators import genre_sources as S
 from wavecrate.operators.resolve import resolve
 from wavecrate.sources import reply_store
-from wavecrate.sources.tables import load, shared_path
+from wavecrate.sources.tables import kept, load, shared_path, spread
 
 GENRES = (("house", "House"), ("tech house", "Tech House"), ("pop", "Pop"), ("hip hop", "Hip-Hop"), ("techno", "Techno"), ("rock", "Rock"))
 STYLES, STYLE = ("House", "Tech House", "pop", "seen live", "Hip Hop", "no such tag", "#techno"), "l_suppkey % 7"
 KINDS, KIND = ("house", "Pop", "hip hop", "rock"), "(l_suppkey + l_linenumber) % 4"
+ITEMS_A_TASK = 20_000
 ID = "00000000-0000-4000-8000-%012d"
 
 
@@ -25,9 +26,9 @@ def _case(number: str, values: tuple[str, ...]) -> str:
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """Parts as tracks of their makers; every fourth is a remix by its brand."""
-    part = load(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_size", "p_name", "p_brand", F.expr("concat('Manufacturer#', p_size % 5 + 1)").alias("artist"), F.expr("concat(p_name, ' ', p_partkey, CASE WHEN p_partkey % 4 = 0 THEN concat(' (', p_brand, ' Remix)') ELSE '' END)").alias("track"))
-    made = part.withColumn("remixer", fuzzy.remixer_udf(F.col("track"))).withColumn("core", fuzzy.core_udf(F.col("track")))
-    return made.withColumn("recording_id", F.expr(f"CASE WHEN item % 5 = 1 THEN format_string('{ID}', item) WHEN item % 5 = 3 THEN 'no id' END"))
+    part = spread(load(spark, d, "part"), ITEMS_A_TASK).select(F.col("p_partkey").alias("item"), "p_size", "p_name", "p_brand", F.expr("concat('Manufacturer#', p_size % 5 + 1)").alias("artist"), F.expr("concat(p_name, ' ', p_partkey, CASE WHEN p_partkey % 4 = 0 THEN concat(' (', p_brand, ' Remix)') ELSE '' END)").alias("track"))
+    made = part.withColumn("split", fuzzy.core_and_remixer_udf(F.col("track"))).withColumns({"remixer": F.col("split.remixer"), "core": F.col("split.core")})
+    return made.drop("split").withColumn("recording_id", F.expr(f"CASE WHEN item % 5 = 1 THEN format_string('{ID}', item) WHEN item % 5 = 3 THEN 'no id' END"))
 
 
 def _composed(spark: SparkSession, d: str, items: DataFrame) -> dict[str, DataFrame]:
@@ -38,7 +39,7 @@ def _composed(spark: SparkSession, d: str, items: DataFrame) -> dict[str, DataFr
     result = F.expr(f"""struct(k, named_struct('title', concat(CASE WHEN l_quantity % 4 = 0 THEN 'Zzyx 0' WHEN remixer <> '' THEN concat(remixer, ' (2)') ELSE artist END, ' - X'), 'year', cast(1980 + cast(l_quantity as int) % 40 as string),
         'style', array({_case(STYLE, STYLES)}), 'genre', array({_case(KIND, KINDS)})) AS r)""")
     found = lines.join(items, F.col("l_partkey") == F.col("item")).groupBy("item", key.alias("key")).agg(F.array_sort(F.collect_list(result)).alias("r"))
-    full = found.select("item", "key", F.to_json(F.struct(F.transform("r", lambda x: x["r"]).alias("results"))).alias("body"))
+    full = kept(found.select("item", "key", F.to_json(F.struct(F.transform("r", lambda x: x["r"]).alias("results"))).alias("body")), "composed")
     # A field search that finds nothing makes way for the free text.
     releases = full.withColumn("field", F.when(F.col("item") % 2 == 0, F.col("body")).otherwise('{"results":[]}'))
     plain = items.filter("remixer = ''").withColumn("key", S.reply_key(F.col("artist"), F.col("track")))
@@ -56,7 +57,7 @@ def _composed(spark: SparkSession, d: str, items: DataFrame) -> dict[str, DataFr
 
 def service_genres(spark: SparkSession, d: str) -> DataFrame:
     """R1, R2, R4, R5, S14, S15 and the store of T3: all services' stages, each only for what is open."""
-    items = _items(spark, d)
+    items = kept(_items(spark, d), "items")
     store = reply_store.ReplyStore(spark, shared_path(spark, "replies"))
     for service, replies in _composed(spark, d, items).items():
         store.ask(service, replies.select("key", F.lit("").alias("url")), reply_store.joined_in(replies.dropDuplicates(["key"])), F.length("body") > 2)

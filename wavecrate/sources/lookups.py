@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from urllib.error import HTTPError
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.functions import names as N
@@ -91,9 +91,10 @@ def songs(replies: DataFrame) -> DataFrame:
 
 def releases(by_field: DataFrame, by_text: DataFrame) -> DataFrame:
     """Key, place, artist, year and tags of each release; the free-text reply counts only where the fields found nothing."""
-    parsed = lambda d: d.select("key", F.from_json("body", RELEASES)["results"].alias("r"))
-    good = parsed(by_field).filter(F.size("r") > 0)
-    rows = good.unionByName(parsed(by_text).join(good.select("key"), "key", "left_anti")).select("key", F.posexplode("r").alias("place", "x"))
+    parsed = lambda d, field: d.select("key", F.from_json("body", RELEASES)["results"].alias("r"), F.lit(field).alias("field"))
+    both = parsed(by_field.filter("key is not null"), True).unionByName(parsed(by_text.filter("key is not null"), False))
+    both = both.withColumn("found", F.max(F.when(F.size("r") > 0, F.col("field"))).over(Window.partitionBy("key")))
+    rows = both.filter(F.col("field") == F.col("found")).select("key", F.posexplode("r").alias("place", "x"))
     tags = F.concat(F.coalesce("x.style", F.array().cast("array<string>")), F.coalesce("x.genre", F.array().cast("array<string>")))
     return rows.select("key", "place", N.release_artist(F.col("x.title")).alias("artist"), N.plausible_year(F.col("x.year")).alias("year"), tags.alias("tags"))
 

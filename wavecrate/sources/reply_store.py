@@ -36,7 +36,7 @@ class ReplyStore:
 
     def missing(self, service: str, requests: DataFrame) -> DataFrame:
         """Requests (key, url), one a key, whose key has no answer yet."""
-        known = self.latest(service).filter("state <> 'failed'").select("key")
+        known = self.all().filter((F.col("service") == service) & (F.col("state") != "failed")).select("key")
         return requests.filter("key is not null").select("key", "url").dropDuplicates(["key"]).join(known, "key", "left_anti")
 
     def ask(self, service: str, requests: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], has_something: Column) -> int:

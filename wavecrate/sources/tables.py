@@ -30,10 +30,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def kept(rows: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: made once, however often they are read."""
-    path = shared_path(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """The rows as a table in the shared folder: made once, however often they are read. Columns without a type aren't written."""
+    path, schema, names = shared_path(rows.sparkSession, label), rows.schema, rows.columns
+    empty = {f.name: F.lit(None) for f in schema if f.dataType.typeName() == "void"}
+    rows.drop(*empty).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.drop(*empty).schema).parquet(path).withColumns(empty).select(*[F.col(f"`{n}`") for n in names])
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
