@@ -20,7 +20,7 @@ from wavecrate.sources.tables import load, shared_path, spread
 SOUNDS_A_TASK = 16  # bounds an Arrow batch, as a sound has half a megabyte or more
 PAIRS_A_TASK = 5_000
 SHORT_A_TASK = 64  # of six seconds, which never leave Python
-RATE, KEPT_S = 22_050, 6  # of sounds that are made; the longest triads that a worker keeps
+RATE, PART = 22_050, 1 << 14  # of sounds that are made; samples that are made together
 
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -85,19 +85,27 @@ def tag_readers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @lru_cache(maxsize=12)
-def _triad(step: int, seconds: int) -> np.ndarray:
-    t, root = np.arange(seconds * RATE) / RATE, 261.63 * 2 ** (step / 12)
-    return sum(np.sin(2 * np.pi * root * 2 ** (s / 12) * t) for s in (0, 4, 7)) / 12
+def _turns(step: int) -> tuple[np.ndarray, np.ndarray]:
+    """How three tones turn with each sample, and their sines and cosines (six rows) over PART samples."""
+    turns = 2 * np.pi * 261.63 * 2 ** ((step + np.array([0, 4, 7])) / 12) / RATE
+    at = np.outer(turns, np.arange(PART))
+    return turns, np.concatenate([np.sin(at), np.cos(at)]) / 12
 
 
 def _sound(k: int, seconds: int, faster: bool) -> bytes:
-    """Clicks and a triad as a WAV file."""
+    """Clicks and a triad as a WAV file, made in parts: sin(a + b) = sin a cos b + cos a sin b, where a is a part's place."""
     from wavecrate.functions.loudness import wav_bytes
 
-    t, tone = np.arange(seconds * RATE) / RATE, (_triad if seconds <= KEPT_S else _triad.__wrapped__)(k % 12, seconds)
-    gained = np.maximum(0, t - seconds / 2) / 3 if faster and k % 2 else 0
-    beat = (t * (100 + k % 5 * 10) / 60 + gained) % 1 < 0.02
-    return wav_bytes([(tone + beat * 0.5).astype(np.float32)] * 2, RATE)
+    (turns, table), out, pace = _turns(k % 12), np.empty(seconds * RATE, np.float32), 100 + k % 5 * 10
+    for lo in range(0, len(out), PART):
+        t = np.arange(lo, min(len(out), lo + PART)) / RATE
+        beats = t * pace / 60
+        if faster and k % 2:
+            beats += np.maximum(0, t - seconds / 2) / 3
+        tone = np.concatenate([np.cos(turns * lo), np.sin(turns * lo)]) @ table[:, : len(t)]
+        tone[beats - np.floor(beats) < 0.02] += 0.5
+        out[lo : lo + PART] = tone
+    return wav_bytes([out] * 2, RATE)
 
 
 def _suppliers(spark: SparkSession, d: str, a_task: int) -> DataFrame:
@@ -115,8 +123,8 @@ def _made(seconds: int = 6, faster: bool = False) -> Column:
     return made.asNondeterministic()("s_suppkey")
 
 
-def _sounds(spark: SparkSession, d: str, seconds: int = 6, faster: bool = False) -> DataFrame:
-    return _suppliers(spark, d, SOUNDS_A_TASK).select("s_suppkey", _made(seconds, faster).alias("content"))
+def _sounds(spark: SparkSession, d: str) -> DataFrame:
+    return _suppliers(spark, d, SOUNDS_A_TASK).select("s_suppkey", _made().alias("content"))
 
 
 def sound_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +134,8 @@ def sound_analysis(spark: SparkSession, d: str) -> DataFrame:
 
 def sound_tempo(spark: SparkSession, d: str) -> DataFrame:
     """A minute for each supplier, so that windows tell a tempo that changes from one that doesn't; tempi to the nearest 5."""
-    found = _sounds(spark, d, 60, True).withColumn("a", audio.analysis(F.col("content"), False, with_loudness=False))
+    # A sound goes from one function to the next inside its Python worker, as it has five megabytes.
+    found = _suppliers(spark, d, SOUNDS_A_TASK).select("s_suppkey", audio.analysis(_made(60, True), False, with_loudness=False).alias("a"))
     near = lambda c: (F.round(F.col(c) / 5) * 5).cast("int")
     return found.select("s_suppkey", F.col("a.bpm_mode").alias("mode"), near("a.bpm_min").alias("low"), near("a.bpm_max").alias("high"), "a.key")
 

@@ -69,12 +69,12 @@ def _analyse(content: bytes | None, with_true_peak: bool, with_genre: bool, with
     return out
 
 
-_KNOWN: OrderedDict[tuple, dict] = OrderedDict()  # of this worker, by the SHA-256 of a file and what was asked
+_KNOWN: OrderedDict[tuple, dict] = OrderedDict()  # of this worker, by the BLAKE2 hash of a file and what was asked
 
 
 def _analysis_once(content: bytes | None, *flags: bool) -> dict:
     """The analysis of a file; a copy, byte for byte, of one that this worker has analysed lately takes over its measures."""
-    key = (hashlib.sha256(content or b"").digest(), *flags)
+    key = (hashlib.blake2b(content or b"", digest_size=32).digest(), *flags)
     found = _KNOWN.pop(key, None) or _analyse(content, *flags)
     _KNOWN[key] = found
     if len(_KNOWN) > REMEMBERED:
