@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,37 +17,50 @@ from wavecrate.sources import audio
 from wavecrate.sources.tables import load
 
 RATE, SECONDS, QUIET_SECONDS, QUIET, CHUNK_SECONDS = 8_000, 12, 4, 0.02, 2.5
-ROWS = 64  # chunks of a task, and at most of one Arrow batch
+CHUNKS_A_TASK, ROWS = 512, 64  # of two channels; rows of one Arrow batch
 SOUNDS_A_TASK = 32  # bounds an Arrow batch, as a rendered sound has up to a megabyte
 
 
-def _tones(spark: SparkSession, d: str) -> DataFrame:
-    """A tone for each supplier in chunks of two channels, the second half as strong: quiet, then loud; pitch and strength by the key."""
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, chunk in zip(batch["s_suppkey"].tolist(), batch["chunk"].tolist(), strict=True):
-                size = int(CHUNK_SECONDS * RATE)
-                at = np.arange(chunk * size, min(SECONDS * RATE, (chunk + 1) * size))
-                wave = np.sin(2 * np.pi * (400 + key % 10 * 200) * at / RATE) * np.where(at < QUIET_SECONDS * RATE, QUIET, 0.1 + key % 10 * 0.05)
-                rows += [(key, c, chunk, RATE, (wave / (c + 1)).astype(np.float32), chunk * size) for c in range(2)]
-                if len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples", "start"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["track", "channel", "chunk", "rate", "samples", "start"])
+@lru_cache(maxsize=10)
+def _pitch(hz: int) -> np.ndarray:
+    """Sines and cosines of a tone over a chunk."""
+    at = 2 * np.pi * hz * np.arange(int(CHUNK_SECONDS * RATE)) / RATE
+    return np.stack([np.sin(at), np.cos(at)])
+
+
+def _chunk(key: int, chunk: int) -> np.ndarray:
+    """A chunk of a supplier's tone: sin(a + b) = sin a cos b + cos a sin b, where a is the chunk's place."""
+    size, hz = int(CHUNK_SECONDS * RATE), 400 + key % 10 * 200
+    at = np.arange(chunk * size, min(SECONDS * RATE, (chunk + 1) * size))
+    place = 2 * np.pi * hz * chunk * size / RATE
+    return np.array([np.cos(place), np.sin(place)]) @ _pitch(hz)[:, : len(at)] * np.where(at < QUIET_SECONDS * RATE, QUIET, 0.1 + key % 10 * 0.05)
+
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and numbers of chunks as chunks of two channels, the second half as strong."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS // 2):
+            batch = whole.slice(lo, ROWS // 2)
+            keys, chunks = (np.repeat(batch.column(c).to_numpy(), 2) for c in ("s_suppkey", "chunk"))
+            waves = [_chunk(int(k), int(n)) for k, n in zip(keys[::2], chunks[::2], strict=True)]
+            samples = np.concatenate([x for wave in waves for x in (wave, wave / 2)]).astype(np.float32)
+            ends = np.cumsum([0, *np.repeat([len(wave) for wave in waves], 2)]).astype(np.int32)
+            columns = {"track": pa.array(keys, pa.int64()), "channel": pa.array(np.tile([0, 1], len(waves)), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "rate": pa.array([RATE] * len(keys), pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns | {"samples": pa.ListArray.from_arrays(ends, samples), "start": pa.array(chunks * int(CHUNK_SECONDS * RATE), pa.int64())})
+
+
+def _tones(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a tone for each supplier: quiet, then loud; pitch and strength by the key."""
     chunks = -(-SECONDS * RATE // int(CHUNK_SECONDS * RATE))
-    keys = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    tasks = max(1, -(-keys.count() // ROWS))  # one number; few keys stand for much sound, so sizes alone would put them in one task
-    return keys.repartition(tasks, "s_suppkey", "chunk").mapInPandas(made, C.CHUNK + ", start long")
+    keys = load(spark, d, "supplier").filter("s_suppkey is not null").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    tasks = max(1, -(-keys.count() // CHUNKS_A_TASK))  # one number; few keys stand for much sound, so sizes alone would put them in one task
+    return keys.repartition(tasks, "s_suppkey", "chunk")
 
 
 def sound_loudness(spark: SparkSession, d: str) -> DataFrame:
-    """Integrated and short-term loudness to a tenth, over chunks."""
+    """Integrated and short-term loudness to a tenth, over chunks, which are made and measured in the same task."""
     tenth = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("long")
-    return C.loudness(_tones(spark, d)).select(F.col("track").alias("s_suppkey"), tenth("integrated").alias("integrated_tenths"), tenth("short_term_max").alias("short_term_tenths"))
+    return C.loudness(_tones(spark, d), _chunks).select(F.col("track").alias("s_suppkey"), tenth("integrated").alias("integrated_tenths"), tenth("short_term_max").alias("short_term_tenths"))
 
 
 def sound_lengths(spark: SparkSession, d: str) -> DataFrame:
