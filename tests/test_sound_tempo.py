@@ -59,3 +59,20 @@ def test_a_long_recursion_goes_on_from_part_to_part():
             x1, x2, y1, y2 = v, x1, y, y1
             want.append(y)
         assert np.allclose(signal.biquad(x, b, a, before=(0.1, -0.2, 0.3, 0.25)), want, rtol=0, atol=1e-6)
+
+
+@pytest.mark.parametrize("k", [1, 4, 9, 30])
+@pytest.mark.parametrize("faster", [False, True])
+def test_only_cells_near_a_beat_are_looked_at(k, faster):
+    t = np.arange(60 * M.RATE) / M.RATE
+    beats = t * (100 + k % 5 * 10) / 60 + (np.maximum(0, t - 30) / 3 if faster and k % 2 else 0)
+    assert np.array_equal(M._clicks(k, 60, faster), np.flatnonzero(beats % 1 < M.CLICK))
+
+
+def test_channels_that_are_the_same_or_differ_are_written_alike():
+    rng = np.random.default_rng(4)
+    x, y = (rng.uniform(-1.2, 1.2, 40_001).astype(np.float32) for _ in range(2))
+    for channels in ([x], [x, x], [x, y, x.copy()], [x[:0], y[:0]]):
+        want = np.floor(np.clip(np.stack(channels, 1).astype(np.float64), -1, 1) * 32767 + 0.5).astype("<i2").tobytes()
+        got = L.wav_bytes(channels, 8_000)
+        assert got[44:] == want and len(got) == 44 + len(want) and int.from_bytes(got[40:44], "little") == len(want)

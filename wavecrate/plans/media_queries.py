@@ -20,7 +20,7 @@ from wavecrate.sources.tables import load, shared_path, spread
 SOUNDS_A_TASK = 16  # bounds an Arrow batch, as a sound has half a megabyte or more
 PAIRS_A_TASK = 5_000
 SHORT_A_TASK = 64  # of six seconds, which never leave Python
-RATE, PART = 22_050, 1 << 14  # of sounds that are made; samples that are made together
+RATE, PART, TURN, CELL, CLICK = 22_050, 1 << 14, 1 << 10, 64, 0.02  # of sounds that are made: samples made together, share of a beat that clicks
 
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -86,24 +86,37 @@ def tag_readers(spark: SparkSession, d: str) -> DataFrame:
 
 @lru_cache(maxsize=12)
 def _turns(step: int) -> tuple[np.ndarray, np.ndarray]:
-    """How three tones turn with each sample, and their sines and cosines (six rows) over PART samples."""
+    """How three tones turn with each sample, and their sines and cosines (six rows) over TURN samples."""
     turns = 2 * np.pi * 261.63 * 2 ** ((step + np.array([0, 4, 7])) / 12) / RATE
-    at = np.outer(turns, np.arange(PART))
+    at = np.outer(turns, np.arange(TURN))
     return turns, np.concatenate([np.sin(at), np.cos(at)]) / 12
 
 
+def _clicks(k: int, seconds: int, faster: bool) -> np.ndarray:
+    """The samples of a sound that click. Beats never fall, so only cells that begin with a click or pass a whole beat are looked at."""
+
+    def beats(at: np.ndarray) -> np.ndarray:
+        t = at / RATE
+        found = t * (100 + k % 5 * 10) / 60
+        return found + np.maximum(0, t - seconds / 2) / 3 if faster and k % 2 else found
+
+    cells = np.arange(0, seconds * RATE + CELL, CELL)
+    edges = beats(cells)
+    near = (edges % 1 < CLICK)[:-1] | (np.diff(np.floor(edges)) > 0)
+    at = (cells[:-1][near][:, None] + np.arange(CELL)).ravel()
+    at = at[at < seconds * RATE]
+    return at[beats(at) % 1 < CLICK]
+
+
 def _sound(k: int, seconds: int, faster: bool) -> bytes:
-    """Clicks and a triad as a WAV file, made in parts: sin(a + b) = sin a cos b + cos a sin b, where a is a part's place."""
+    """Clicks and a triad as a WAV file, made in parts: sin(a + b) = sin a cos b + cos a sin b, where a is a place every TURN samples."""
     from wavecrate.functions.loudness import wav_bytes
 
-    (turns, table), out, pace = _turns(k % 12), np.empty(seconds * RATE, np.float32), 100 + k % 5 * 10
+    (turns, table), out, clicks = _turns(k % 12), np.empty(seconds * RATE, np.float32), _clicks(k, seconds, faster)
     for lo in range(0, len(out), PART):
-        t = np.arange(lo, min(len(out), lo + PART)) / RATE
-        beats = t * pace / 60
-        if faster and k % 2:
-            beats += np.maximum(0, t - seconds / 2) / 3
-        tone = np.concatenate([np.cos(turns * lo), np.sin(turns * lo)]) @ table[:, : len(t)]
-        tone[beats - np.floor(beats) < 0.02] += 0.5
+        at = np.outer(np.arange(lo, min(len(out), lo + PART), TURN), turns)
+        tone = (np.concatenate([np.cos(at), np.sin(at)], 1) @ table).ravel()[: len(out) - lo]
+        tone[clicks[np.searchsorted(clicks, lo) : np.searchsorted(clicks, lo + PART)] - lo] += 0.5
         out[lo : lo + PART] = tone
     return wav_bytes([out] * 2, RATE)
 
